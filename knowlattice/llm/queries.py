@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, packing, simhash, tokens
+from . import decontamination, fingerprints, packing, sharding, simhash, tokens, urlfilter
 from .common import table
 
 
@@ -49,6 +49,14 @@ def op2_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op3_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return sharding.shuffle_into_shards(docs).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
@@ -63,9 +71,52 @@ def op9_rank_synchronous_token_counts(spark: SparkSession, sf_dir: str) -> DataF
     return tokens.count_tokens(docs, keep_text=False)
 
 
+def op10_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("url", "html")
+
+
+def _address_sql(url: str) -> str:
+    host = f"coalesce(translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+    path = f"coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+    query = f"coalesce(regexp_extract({url}, '(?s)^[^?#]*(\\?[^#]*)', 1), '')"
+    return f"{host} AS host, {path} AS path, concat(regexp_replace({host}, '^www\\.', ''), regexp_replace({path}, '/+$', ''), {query}) AS address"
+
+
+OP10_SQL = rf"""
+WITH RECURSIVE rules(verdict, h, p) AS (VALUES {", ".join(str(r) for r in urlfilter.RULES)}),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
+found AS (
+  SELECT url, coalesce(
+    CASE WHEN regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) END,
+    CASE WHEN regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END) AS too FROM tags),
+targets AS (
+  SELECT url, CASE WHEN contains(too, '://') THEN too WHEN starts_with(too, '//') THEN 'http:' || too
+    WHEN starts_with(too, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || too
+    ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || CASE regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*/)', 1) WHEN '' THEN '/' ELSE regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*/)', 1) END || too END AS target
+  FROM found WHERE too IS NOT NULL AND too != ''),
+p AS (SELECT page_id, url, {_address_sql("url")} FROM pages),
+t AS (SELECT target, {_address_sql("target")} FROM targets),
+s AS (SELECT url, {_address_sql("url")} FROM targets),
+e AS (SELECT s.address AS a, t.address AS b FROM targets JOIN s USING (url) JOIN t USING (target)),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+fits AS (
+  SELECT n.host, n.path, r.verdict, r.h || r.p AS rule, row_number() OVER (PARTITION BY n.host, n.path ORDER BY length(r.h || r.p) DESC) AS k
+  FROM (SELECT host, path FROM p UNION SELECT host, path FROM t) n JOIN rules r ON (n.host = r.h OR suffix(n.host, '.' || r.h)) AND starts_with(n.path, r.p)),
+best AS (SELECT * FROM fits WHERE k = 1),
+seeds AS (
+  SELECT address, max(verdict = 'allow') AS allow, max(verdict = 'block') AS block
+  FROM (SELECT host, path, address FROM p WHERE url IS NOT NULL UNION SELECT host, path, address FROM t) JOIN best USING (host, path) GROUP BY address),
+near AS (SELECT address AS a, address AS b FROM p WHERE url IS NOT NULL UNION SELECT a, b FROM reach),
+inherited AS (SELECT a, max(allow) AS allow, max(block) AS block FROM near JOIN seeds ON b = address GROUP BY a)
+SELECT page_id, p.host, p.path, rule, coalesce(best.verdict, CASE WHEN url IS NOT NULL AND inherited.block AND NOT inherited.allow THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN best USING (host, path) LEFT JOIN inherited ON p.address = inherited.a
+"""
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_fm_index_decontamination": OP1_SQL}
+    return {"op1_fm_index_decontamination": OP1_SQL, "op10_redirect_equivalence": OP10_SQL}
