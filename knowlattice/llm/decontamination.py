@@ -32,6 +32,10 @@ _LOWER[65:91] += 32
 RESULT = "n_words long, n_hit long, spans array<struct<start: long, end: long>>, items array<string>"
 
 
+def lower(raw: np.ndarray) -> np.ndarray:
+    return _LOWER[raw]
+
+
 def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte, end byte and row of each word of texts that stand end to end."""
     low = _LOWER[raw]
