@@ -18,7 +18,7 @@ from .common import column, map_text, mix64, span_hashes, text_bytes
 from .decontamination import lower, words
 
 #: Labelled rows that the model is fitted on, at most (those with the smallest hash of doc_id).
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 8_000
 GRADES = 3
 #: Texts with at least this expected severity are rejected.
 REJECT_AT = 0.3
