@@ -2,8 +2,8 @@
 
 Three steps, each a group by key of packed rows rather than one row per n-gram:
 
-1. Texts are dealt to blocks of about ``BLOCK_BYTES``. Each block explodes its n-grams and sends its distinct ones,
-   with their counts, to the hash bucket they belong to. A frequent n-gram costs one entry per block.
+1. A block is a slice of about ``BLOCK_BYTES`` of a scan task's texts. It explodes its n-grams and sends its distinct
+   ones, with their counts, to the hash bucket they belong to. A frequent n-gram costs one entry per block.
 2. A bucket adds up the counts of its n-grams over all blocks: its part of the count tables. It joins them to the
    requests and answers each block in the order asked.
 3. Each block joins the answers to its texts' n-grams and sums the scores per document.
@@ -14,12 +14,15 @@ about one n-gram in 100,000 shares its identity with another, at any size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, span_hashes, text_bytes
+from .common import mix64, partitions, span_hashes, text_bytes, text_chunks
 
 ORDER = 3
 BACKOFF = 0.4
@@ -82,19 +85,38 @@ _REQUEST = "bucket long, block long, n int, rests binary, counts binary"
 _ANSWER = "block long, bucket long, n int, counts binary"
 
 
-def _requests(texts: pa.Table, order: int, buckets: int) -> pa.Table:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of this task's texts with numbers of their own: the same whenever the task runs again."""
+    held, size, number = [], 0, TaskContext.get().partitionId() << 32
+    for part in text_chunks(batches, BLOCK_BYTES // 8):
+        held.append(part)
+        size += len(text_bytes(part.column(1))[0])
+        if size >= BLOCK_BYTES:
+            yield number, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size, number = [], 0, number + 1
+    if held:
+        yield number, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _requests(block: int, texts: pa.RecordBatch, order: int, buckets: int) -> pa.RecordBatch:
     rows: list[list] = [[], [], [], [], []]
-    if texts.num_rows:
-        hashes, row = words(*text_bytes(texts["text"]))
-        block = texts["block"][0].as_py()
-        for n, keys in enumerate(grams(hashes, row, order, buckets), 1):
-            distinct, counts = np.unique(keys[keys != 2**64 - 1], return_counts=True)
-            owner = (distinct >> np.uint64(40)).astype(np.int64)
-            first = np.flatnonzero(np.diff(owner, prepend=-1))
-            for a, b in zip(first, np.append(first[1:], len(owner))):
-                for column_, value in zip(rows, (int(owner[a]), block, n, _pack(distinct[a:b] & _REST), _pack_counts(counts[a:b]))):
-                    column_.append(value)
-    return pa.table([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "block", "n", "rests", "counts"])
+    hashes, row = words(*text_bytes(texts.column(1)))
+    for n, keys in enumerate(grams(hashes, row, order, buckets), 1):
+        distinct, counts = np.unique(keys[keys != 2**64 - 1], return_counts=True)
+        owner = (distinct >> np.uint64(40)).astype(np.int64)
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        for a, b in zip(first, np.append(first[1:], len(owner))):
+            for column, value in zip(rows, (int(owner[a]), block, n, _pack(distinct[a:b] & _REST), _pack_counts(counts[a:b]))):
+                column.append(value)
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=["bucket", "block", "n", "rests", "counts"])
+
+
+def _packed_block(block: int, texts: pa.RecordBatch) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(texts)
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "texts"])
 
 
 def _answers(requests: pa.Table) -> pa.Table:
@@ -137,22 +159,27 @@ def stupid_backoff(counts: list[np.ndarray], total: int, least: int = LEAST_COUN
     return score + backs * np.log(BACKOFF), backs
 
 
-def _scores(texts: pa.Table, answers: pa.Table, order: int, buckets: int, total: int) -> pa.Table:
+def _scores(block: pa.Table, answers: pa.Table, order: int, buckets: int, total: int) -> pa.Table:
+    if not block.num_rows:
+        raise ValueError("the texts came in other slices than before: score() needs a repeatable input, such as a table of files")
+    texts = pa.ipc.open_stream(block["texts"][0].as_py()).read_all()
     rows = texts.num_rows
-    hashes, row = words(*text_bytes(texts["text"])) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    hashes, row = words(*text_bytes(texts.column(1)))
     counts = []
-    by_order = answers.sort_by([("n", "ascending"), ("bucket", "ascending")]) if answers.num_rows else answers
-    n_of = by_order["n"].to_numpy() if answers.num_rows else np.zeros(0, np.int64)
+    answers = answers.sort_by([("n", "ascending"), ("bucket", "ascending")])
+    n_of = answers["n"].to_numpy()
     for n, keys in enumerate(grams(hashes, row, order, buckets), 1):
         present = keys != 2**64 - 1
-        _, which = np.unique(keys[present], return_inverse=True)
-        found = [_unpack_counts(by_order["counts"][int(i)].as_py()) for i in np.flatnonzero(n_of == n)]
+        distinct, which = np.unique(keys[present], return_inverse=True)
+        found = [_unpack_counts(answers["counts"][int(i)].as_py()) for i in np.flatnonzero(n_of == n)]
+        if sum(map(len, found)) != len(distinct):
+            raise ValueError("the texts came in other slices than before: score() needs a repeatable input, such as a table of files")
         known = np.full(len(keys), -1, np.int64)
         if present.any():
             known[present] = np.concatenate(found)[which]
         counts.append(known)
     score, backs = stupid_backoff(counts, total) if len(hashes) else (np.zeros(0), np.zeros(0, np.int64))
-    ids = texts["doc_id"].combine_chunks() if rows else pa.array([], pa.int64())
+    ids = texts.column(0).combine_chunks()
     return pa.table(
         [ids, np.bincount(row, minlength=rows).astype(np.int64), np.bincount(row, score, rows).astype(float), np.bincount(row, backs, rows).astype(np.int64)],
         names=["doc_id", "n_tokens", "log_score", "backed_off"],
@@ -166,16 +193,18 @@ def score(docs: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame:
     least ``LEAST_COUNT`` times, times ``BACKOFF`` for each order given up, down to count(w) / all words. N-grams don't
     cross documents; a text's first words have shorter histories without penalty. Null and blank texts have 0 tokens and
     score 0; ids may be null or repeat, each row is scored and counted; other columns are not read.
+
+    ``docs`` is read twice and must come in the same partitions both times, as a scan of files does (else write it
+    first); a difference is found and raised.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size, total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(_word_count(F.col("text"))), F.lit(0))).first()
-    blocks = max(partitions(docs.sparkSession), -(-size // BLOCK_BYTES))
     # An exploded word takes about 5 bytes an order where it first meets a block; there are some six bytes of text to a word.
     buckets = max(partitions(docs.sparkSession), -(-size * order // (2 * BUCKET_BYTES)))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    requests = dealt.groupBy("block").applyInArrow(lambda t: _requests(t, order, buckets), _REQUEST)
+    requests = docs.mapInArrow(lambda batches: (_requests(n, texts, order, buckets) for n, texts in _blocks(batches)), _REQUEST)
     answers = requests.groupBy("bucket").applyInArrow(_answers, _ANSWER)
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: _scores(t, a, order, buckets, total), _SCORE)
+    blocks = docs.mapInArrow(lambda batches: (_packed_block(n, texts) for n, texts in _blocks(batches)), "block long, texts binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: _scores(t, a, order, buckets, total), _SCORE)
 
 
 def _word_count(text):
