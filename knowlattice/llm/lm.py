@@ -30,6 +30,7 @@ BACKOFF = 0.4
 LEAST_COUNT = 2
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 12 << 20
+SLICE_BYTES = 1 << 20
 
 _REST = np.uint64((1 << 40) - 1)
 _SPACES = np.zeros(256, bool)
@@ -49,6 +50,19 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(low, start, end), np.searchsorted(at, start, "right") - 1
 
 
+def block_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``words`` of a column, hashed about ``SLICE_BYTES`` (or one longer text) at a time, so that temporaries stay small."""
+    raw, at = text_bytes(texts)
+    hashes, rows, start = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while start < len(at) - 1:
+        stop = max(start + 1, int(np.searchsorted(at, at[start] + SLICE_BYTES, "right")) - 1)
+        found, row = words(raw[at[start] : at[stop]], at[start : stop + 1] - at[start])
+        hashes.append(found)
+        rows.append(row + start)
+        start = stop
+    return np.concatenate(hashes), np.concatenate(rows)
+
+
 def grams(hashes: np.ndarray, row: np.ndarray, order: int, buckets: int) -> list[np.ndarray]:
     """For each n up to ``order`` and each word, bucket and rest of the n-gram that ends there (all ones where the text has none)."""
     out, h = [], hashes
@@ -100,7 +114,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
 
 def _requests(block: int, texts: pa.RecordBatch, order: int, buckets: int) -> pa.RecordBatch:
     rows: list[list] = [[], [], [], [], []]
-    hashes, row = words(*text_bytes(texts.column(1)))
+    hashes, row = block_words(texts.column(1))
     for n, keys in enumerate(grams(hashes, row, order, buckets), 1):
         distinct, counts = np.unique(keys[keys != 2**64 - 1], return_counts=True)
         owner = (distinct >> np.uint64(40)).astype(np.int64)
@@ -164,7 +178,7 @@ def _scores(block: pa.Table, answers: pa.Table, order: int, buckets: int, total:
         raise ValueError("the texts came in other slices than before: score() needs a repeatable input, such as a table of files")
     texts = pa.ipc.open_stream(block["texts"][0].as_py()).read_all()
     rows = texts.num_rows
-    hashes, row = words(*text_bytes(texts.column(1)))
+    hashes, row = block_words(texts.column(1))
     counts = []
     answers = answers.sort_by([("n", "ascending"), ("bucket", "ascending")])
     n_of = answers["n"].to_numpy()
