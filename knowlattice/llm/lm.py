@@ -86,13 +86,16 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 
 def _pack_counts(counts: np.ndarray) -> bytes:
-    """A byte each where all fit one, else four or eight; the first byte tells."""
-    kind = "<u1" if counts.max(initial=0) < 256 else "<u4" if counts.max() < 2**32 else "<u8"
-    return bytes([int(kind[2])]) + counts.astype(kind).tobytes()
+    """How many (8 bytes), a byte each, then 8 bytes for each that is 255 or more: a few frequent n-grams don't widen the rest."""
+    large = counts[counts >= 255]
+    return len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + large.astype("<u8").tobytes()
 
 
 def _unpack_counts(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64)
+    n = int.from_bytes(packed[:8], "little")
+    counts = np.frombuffer(packed, np.uint8, n, 8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(packed, "<u8", offset=8 + n)
+    return counts
 
 
 _REQUEST = "bucket long, block long, n int, rests binary, counts binary"
