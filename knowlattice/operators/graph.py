@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import kept
+
 DECAY = (0.5, 0.25)
 PER_HOP = 10
 
@@ -43,17 +45,20 @@ def expand(seeds: DataFrame, links: DataFrame, per_hop: int = PER_HOP, decay: tu
     return out.join(seeds.select("query", "node"), ["query", "node"], "left_anti").select("query", "hop", "node", "score", "path")
 
 
-def closure(parents: DataFrame, most: int = 64) -> DataFrame:
+def closure(parents: DataFrame) -> DataFrame:
     """(node, ancestor, depth, cyclic) from (node, parent): all ancestors, found by joins that double the distance each time.
 
-    A node on a cycle is its own ancestor and marked. ``most`` bounds the depth that is followed.
+    Each step is written to the shared folder, so plans stay small; it ends when no new pair is found. A node on a
+    cycle is its own ancestor and marked. Rows grow with the number of nodes times their depth.
     """
-    step = parents.where("parent is not null").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    found, reach = step, 1
-    while reach < most:
+    found = kept(parents.where("parent is not null").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct(), "closure")
+    pairs = found.count()
+    while pairs:
         further = found.alias("a").join(found.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        found = found.unionByName(further).where(F.col("depth") <= most).groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
-        reach *= 2
+        found, before = kept(found.unionByName(further).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")), "closure"), pairs
+        pairs = found.count()
+        if pairs == before:
+            break
     return found.withColumn("cyclic", F.col("node") == F.col("ancestor"))
 
 

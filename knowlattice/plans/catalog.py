@@ -1,6 +1,6 @@
 """All named queries: importing the modules registers them."""
 
-from . import lifecycle_queries, search_queries, text_queries  # noqa: F401
+from . import graph_queries, lifecycle_queries, search_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
