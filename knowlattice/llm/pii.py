@@ -47,17 +47,19 @@ TITLES = {g: [*ts, *(t.upper() for t in ts)] for g, ts in TITLES.items()}
 _titles = "|".join(t for ts in TITLES.values() for t in ts)
 _given = "|".join(n for by in GIVEN.values() for ns in by.values() for n in ns)
 _name = r"\p{Lu}[\p{L}'’-]+"
-#: Type and pattern of what is replaced, in the order in which alternatives are tried.
+#: Type and pattern of what is replaced, in the order in which alternatives are tried. Each asks for its first
+#: character before anything dearer: a long lookbehind or list of words is then tried at few places of a text.
 PATTERNS = {
     "email": rf"(?<!{_word}){_word}++@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]+)+",
-    "secret": r"""(?<=(?:token|secret|password|passwd|api_key|apikey|api-key)["']?\s{0,3}[=:]\s{0,3}["'])[^"'\s]{8,}(?=["'])|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:sk|pk|ghp)[_-][A-Za-z0-9]{16,}""",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
-    "iban": r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![\d.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d|[.-]\d)",
-    "phone": r"(?<![\p{L}\d.+-])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\+\d{8,14}|\d{3}[ .-]\d{3}[ .-]\d{4}|\d{3}-\d{2}-\d{4})(?!\d|[.-]\d)",
-    "name": rf"(?<!\p{{L}})(?:(?:{_titles})\.? {_name}(?: {_name})?|(?:{_given}) {_name})(?!\p{{L}})",
+    "secret": r"""(?<=["'])(?<=(?:token|secret|password|passwd|api_key|apikey|api-key)["']?\s{0,3}[=:]\s{0,3}["'])[^"'\s]{8,}(?=["'])|(?=A)(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?=[spg])(?<![A-Za-z0-9])(?:sk|pk|ghp)[_-][A-Za-z0-9]{16,}""",
+    "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
+    "iban": r"(?=[A-Z])(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "card": r"(?=\d)(?<![\d.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d|[.-]\d)",
+    "phone": r"(?=[\d(+])(?<![\p{L}\d.+-])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\+\d{8,14}|\d{3}[ .-]\d{3}[ .-]\d{4}|\d{3}-\d{2}-\d{4})(?!\d|[.-]\d)",
+    "name": rf"(?=[\p{{Lu}}г])(?<!\p{{L}})(?:(?:{_titles})\.? {_name}(?: {_name})?|(?:{_given}) {_name})(?!\p{{L}})",
 }
-PATTERN = "|".join(PATTERNS.values())
+#: All of them. Only numbers and capitals may follow a letter at once, so most places inside words fail at the first check.
+PATTERN = rf"(?:(?=[0-9A-Z])|(?<!\p{{L}}))(?=\S)(?:{'|'.join(PATTERNS.values())})"
 TYPES = list(PATTERNS)
 _TITLE = rf"^(?:{_titles})\.? "
 
