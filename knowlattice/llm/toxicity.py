@@ -28,6 +28,8 @@ STEM_BYTES = 6
 MOST_COUNT = 10
 #: A feature stands in at least so many toxic sample texts, and tells them apart by so many standard errors.
 LEAST_TEXTS, LEAST_Z = 5, 6.0
+#: Or most of its texts are toxic, by a test whose level adapts to the labels: of those that pass, chance explains at most this share.
+CHANCE_SHARE = 0.2
 _BANDS, _ROWS = 10, 8
 
 
@@ -124,7 +126,7 @@ def fit_rows(hashes: list[np.ndarray], counts: list[np.ndarray], bands: list[np.
     of_all = np.bincount(which, minlength=len(distinct))
     p, q, share = of_toxic / n_toxic, (of_all - of_toxic) / (n - n_toxic), of_all / n
     z = (p - q) / np.sqrt(share * (1 - share) * (1 / n_toxic + 1 / (n - n_toxic)) + 1e-12)
-    chosen = np.flatnonzero((of_toxic >= LEAST_TEXTS) & (z >= LEAST_Z))
+    chosen = np.flatnonzero((of_toxic >= LEAST_TEXTS) & (z >= LEAST_Z) | _beyond_chance(of_toxic.astype(int), of_all))
     if not len(chosen):
         return nothing
     place = np.full(len(distinct), -1)
@@ -141,6 +143,33 @@ def fit_rows(hashes: list[np.ndarray], counts: list[np.ndarray], bands: list[np.
     return Model(distinct[chosen], weights, thresholds)
 
 
+def _beyond_chance(of_toxic: np.ndarray, of_all: np.ndarray) -> np.ndarray:
+    """Features most of whose texts are toxic, at the widest level of a binomial test that chance explains ``CHANCE_SHARE`` of at most.
+
+    A feature of few texts can reach few levels, so what chance would pass is counted for each number of texts apart.
+    """
+    rate = of_toxic.sum() / of_all.sum()
+    log_factorial = np.concatenate([[0], np.cumsum(np.log(np.arange(1, of_all.max() + 1)))])
+    pairs, which, seen = np.unique(np.stack([of_all, of_toxic], 1), axis=0, return_inverse=True, return_counts=True)
+    tail, levels, chance = np.ones(len(pairs)), [], []
+    for n in np.unique(of_all):
+        k = np.arange(n + 1)
+        above = np.exp(log_factorial[n] - log_factorial[k] - log_factorial[n - k] + k * np.log(rate) + (n - k) * np.log1p(-rate))[::-1].cumsum()[::-1]
+        mine = pairs[:, 0] == n
+        tail[mine] = above[pairs[mine, 1]]
+        use = 2 * k > n
+        levels.append(above[use])
+        chance.append(np.append(above[use][:-1] - above[use][1:], above[-1]) * seen[mine].sum())
+    levels, chance = np.concatenate(levels), np.concatenate(chance)
+    order = np.argsort(levels, kind="stable")
+    expected = np.concatenate([[0], np.cumsum(chance[order])])
+    most = 2 * pairs[:, 1] > pairs[:, 0]
+    by_tail = np.argsort(np.where(most, tail, 2), kind="stable")[: int(most.sum())]
+    passed, at = np.cumsum(seen[by_tail]), tail[by_tail]
+    good = np.flatnonzero(expected[np.searchsorted(levels[order], at, "right")] <= CHANCE_SHARE * passed)
+    return (most & (tail <= at[good[-1]]))[which.ravel()] if len(good) else np.zeros(len(of_all), bool)
+
+
 def _proportional_odds(x: np.ndarray, grade: np.ndarray, steps: int = 800, ridge: float = 1e-3, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood with a small ridge, by Adam; thresholds are the first and positive steps from it."""
     n, m = x.shape
