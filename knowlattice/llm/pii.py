@@ -32,6 +32,11 @@ GIVEN = {
         "n": "Саша Женя Валя Слава".split(),
     },
 }
+#: Further given names that are found but never drawn.
+FOUND = {
+    "f": """Abigail Agnes Amanda Amelia Amy Andrea Angela Angelika Anita Ann Anne Annette Antonia Audrey Aurélie Barbara Beatriz Betty Birgit Brenda Brigitte Camila Carla Carol Caroline Catherine Cécile Céline Charlotte Chloé Christina Christine Claire Claudia Cristina Cynthia Deborah Denise Diana Diane Donna Doris Dorothy Élodie Elizabeth Elisabeth Emilia Emily Émilie Erika Esther Eva Frieda Gabriela Gisela Gloria Hanna Heather Heike Heidi Helen Helena Helga Inge Ingrid Isabel Isabella Isabelle Jacqueline Jana Jane Janet Janice Jasmin Jean Jennifer Jessica Joan Johanna Josefina Joyce Judith Judy Julie Juliette Karen Karin Katharina Katherine Kathleen Katrin Kelly Lara Laure Lea Léa Lena Leonie Linda Lisa Louise Lucy Lydia Madison Manon Margaret Margarita Marie Marta Martha Martina Mary Mathilde Megan Melanie Melissa Mercedes Mia Michelle Mónica Monika Nancy Natalia Nathalie Nicole Nina Olivia Pamela Patricia Paula Petra Pilar Rachel Raquel Rebecca Renate Rocío Rosa Ruth Sabine Samantha Sandra Sara Sarah Sharon Shirley Silvia Sonja Sophia Sophie Stefanie Stephanie Susan Susanne Sylvie Theresa Ursula Ute Valentina Valérie Vanessa Verónica Victoria Virginia""".split(),
+    "m": """Aaron Alain Albert Alberto Alejandro Alexander Alfred Álvaro Andreas Andrew Anthony Antoine Antonio Arnaud Arthur Benjamin Bernd Bernhard Brandon Brian Charles Christian Christoph Christopher Claude Clément Dennis Didier Diego Dieter Dirk Donald Douglas Edward Eduardo Enrique Eric Étienne Ethan Eugene Fabian Fernando Florian Francisco François Frank Franz Frédéric Friedrich Gary George Georg Gerald Gerhard Gérard Gilles Gregory Guillaume Günter Hans Harald Harold Harry Heinrich Heinz Helmut Henri Henry Herbert Horst Ignacio Jack Jacob Jacques Jaime James Jan Jason Javier Jeffrey Jens Jeremy Jerry Jesús Jim Joachim Joe Johann Johannes John Johnny Jonathan Jorge José Jose Joseph Joshua Juan Julien Jürgen Justin Keith Kenneth Kevin Klaus Kurt Kyle Larry Laurent Lars Lawrence Leon Louis Ludwig Luis Luke Manfred Manuel Marcel Mark Markus Mathieu Matthew Matthias Max Maximilian Michael Michel Miguel Mohamed Mohammed Nathan Nicholas Nicolas Niklas Noah Norbert Olaf Olivier Otto Pascal Patrick Pedro Philip Philipp Philippe Pierre Rafael Rainer Ralf Ralph Raúl Raymond René Richard Robert Roberto Roger Roland Rolf Ronald Rüdiger Russell Ryan Samuel Scott Sean Sebastian Sébastien Sergio Stefan Stephan Stephen Steven Sven Terry Théo Thierry Thomas Thorsten Tim Timothy Tobias Tom Tyler Ulrich Uwe Vincent Walter Werner Wilhelm William Wolfgang Xavier Yann Yves Zachary""".split(),
+}
 SYLLABLES = {
     "latin": "bal ben bor dan del dor fal fen gar hal kel kor lan lin lor mar mel mon nar nel nor pal per ran rin ros sal sen sol tal ten tor val ven vor wal wen zan".split(),
     "cyrillic": "бал бер вал вен гор дан дор зор кал кор лан лен мар мер мол нав нор пав пол рав рин сав сол тал тов ход чер шан".split(),
@@ -45,17 +50,25 @@ TITLES = {
 _word = r"[\p{L}\p{N}._%+-]"
 TITLES = {g: [*ts, *(t.upper() for t in ts)] for g, ts in TITLES.items()}
 _titles = "|".join(t for ts in TITLES.values() for t in ts)
-_given = "|".join(n for by in GIVEN.values() for ns in by.values() for n in ns)
+_every = {n for by in (*GIVEN.values(), FOUND) for ns in by.values() for n in ns}
+#: By first letters, so that few of them are tried at a place.
+_given = "|".join(f"{a}(?:{'|'.join(sorted((n[1:] for n in _every if n[0] == a), reverse=True))})" for a in sorted({n[0] for n in _every}))
+_key = r"(?i:token|secret|password|passwd|pwd|api_key|apikey|api-key)"
 _name = r"\p{Lu}[\p{L}'’-]+"
 #: Type and pattern of what is replaced, in the order in which alternatives are tried. Each asks for its first
 #: character before anything dearer: a long lookbehind or list of words is then tried at few places of a text.
 PATTERNS = {
     "email": rf"(?<!{_word}){_word}++@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]+)+",
-    "secret": r"""(?<=["'])(?<=(?:token|secret|password|passwd|api_key|apikey|api-key)["']?\s{0,3}[=:]\s{0,3}["'])[^"'\s]{8,}(?=["'])|(?=A)(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?=[spg])(?<![A-Za-z0-9])(?:sk|pk|ghp)[_-][A-Za-z0-9]{16,}""",
+    "secret": r"""(?<=["'])(?<=(?i:token|secret|password|passwd|pwd|api_key|apikey|api-key)["']?\s{0,3}[=:]\s{0,3}["'])[^"'\s]{8,}(?=["'])|(?=A)(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?=[spg])(?<![A-Za-z0-9])(?:sk|pk|ghp)[_-][A-Za-z0-9]{16,}|(?=e)(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*"""
+    + rf"""|(?<=[=:]\s{{0,3}})(?:(?<={_key}\s{{0,3}}=\s{{0,3}})(?![\w.]*\()|(?<={_key}\s{{0,3}}:\s{{0,3}})(?=[^\s"',;]*\d))[^\s"',;]{{8,}}"""
+    + r"|(?<=[Rr]\s{1,3})(?<=(?i:bearer)\s{1,3})[A-Za-z0-9._~+/=-]{16,}",
+    "ipv6": r"(?=[0-9A-Fa-f:])(?<![\w:.])(?=[A-Fa-f:]{0,8}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:])",
     "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "iban": r"(?=[A-Z])(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?=\d)(?<![\d.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d|[.-]\d)",
-    "phone": r"(?=[\d(+])(?<![\p{L}\d.+-])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\+\d{8,14}|\d{3}[ .-]\d{3}[ .-]\d{4}|\d{3}-\d{2}-\d{4})(?!\d|[.-]\d)",
+    "card": r"(?=\d)(?<![\d.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?:[ -]?\d{3})?(?!\d|[.-]\d)"
+    r"|(?=[3-6])(?<![\d.-])(?:3[47]\d\d[ -]?\d{6}[ -]?\d{5}|3[0689]\d\d[ -]?\d{6}[ -]?\d{4}|4\d{12}|(?:5[0678]|6\d)\d{11,17})(?!\d|[.-]\d)",
+    "phone": r"(?=[\d(+])(?<![\p{L}\d.+-])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\+\d{8,14}|\d{3}[ .-]\d{3}[ .-]\d{4}|\d{3}-\d{2}-\d{4}"
+    r"|\+\d(?:(?:[ ./-]|[ ./-]?\(|\)[ ./-]?)?\d){6,14}|(?:00[1-9]\d|\(?0[1-9])(?!(?<=\d\d)[./-]\d\d[./-]\d{2,4}(?![./-]?\d))(?:(?:[ ./-]|\)[ ./-]?)?\d){6,12}|[67]\d\d[ -](?:\d{3}[ -]\d{3}|\d\d(?:[ -]\d\d){2})|[89]\d[ -]\d{3}(?:[ -]\d\d){2})(?!\d|[.-]\d)",
     "name": rf"(?=[\p{{Lu}}г])(?<!\p{{L}})(?:(?:{_titles})\.? {_name}(?: {_name})?|(?:{_given}) {_name})(?!\p{{L}})",
 }
 #: All of them. Only numbers and capitals may follow a letter at once, so most places inside words fail at the first check.
@@ -67,9 +80,10 @@ _TITLE = rf"^(?:{_titles})\.? "
 def type_of(entity: Column) -> Column:
     """Which pattern found it: the shapes exclude each other once the whole entity is known."""
     return (
-        F.when(entity.contains("@"), "email")
+        F.when(entity.rlike(rf"^(?:{PATTERNS['email']})$"), "email")
         .when(entity.rlike(rf"^(?:{PATTERNS['name']})$"), "name")
         .when(entity.rlike(rf"^(?:{PATTERNS['ip']})$"), "ip")
+        .when(entity.rlike(rf"^(?:{PATTERNS['ipv6']})$"), "ipv6")
         .when(entity.rlike(rf"^(?:{PATTERNS['iban']})$"), "iban")
         .when(entity.rlike(rf"^(?:{PATTERNS['card']})$"), "card")
         .when(entity.rlike(rf"^(?:{PATTERNS['phone']})$"), "phone")
@@ -83,14 +97,14 @@ def _gender(entity: Column) -> Column:
     given = F.regexp_extract(entity, rf"^(?:(?:{_titles})\.? )?({_given})(?!\p{{L}})", 1)
     known = lambda names: F.when(given.isin(*names["f"]), "f").when(given.isin(*names["m"]), "m")
     return F.coalesce(
-        F.when(title.isin(*TITLES["f"]), "f").when(title.isin(*TITLES["m"]), "m"), *[known(by) for by in GIVEN.values()], F.lit("n")
+        F.when(title.isin(*TITLES["f"]), "f").when(title.isin(*TITLES["m"]), "m"), *[known(by) for by in (*GIVEN.values(), FOUND)], F.lit("n")
     )
 
 
 def identity(entity: Column, kind: Column) -> Column:
     """What makes two mentions the same entity: case of an e-mail, spacing of numbers, the title of a name don't."""
     return (
-        F.when(kind == "email", F.lower(entity))
+        F.when(kind.isin("email", "ipv6"), F.lower(entity))
         .when(kind.isin("card", "iban"), F.regexp_replace(entity, "[ -]", ""))
         .when(kind == "phone", F.regexp_replace(entity, r"[^\d+]", ""))
         .when(kind == "name", F.concat(_gender(entity), F.lit("|"), F.lower(F.regexp_replace(entity, _TITLE, ""))))
@@ -143,19 +157,22 @@ def surrogate_identity(kind: Column, same: Column, draw: Column, d: Column, shar
     """
     more = F.when(draw > 0, F.substr(d, F.lit(150), F.lit(6))).otherwise("")
     local, domain = F.substring_index(same, "@", 1), F.substring_index(same, "@", -1)
-    end = F.regexp_extract(domain, r"((?:\.[^.]+){1,2})$", 1)
+    # Only the public suffix stays (and the domains reserved for examples).
+    end = F.regexp_extract(domain, r"(\.example\.(?:com|net|org)|\.(?:ac|co|com|edu|gob|gouv|gov|ne|net|or|org)\.[a-z]{2}|\.[^.]+)$", 1)
     head = F.substr(domain, F.lit(1), F.length(domain) - F.length(end))
     email = F.concat(_reshaped(local, d), more, F.lit("@"), F.when(head == "", domain).otherwise(F.concat(_reshaped(head, shared), end)))
 
     octet = lambda i: (F.pmod(_number(d, 6 * i), F.lit(254)) + 1).cast("string")
     ip = F.concat_ws(".", *[octet(i) for i in range(4)])
 
+    ipv6 = F.concat_ws(":", *[F.substr(d, F.lit(4 * i + 1), F.lit(4)) for i in range(8)])
+
     body = F.substr(_reshaped(same, d, 1), F.lit(1), F.length(same) - 1)
     # The check digit of the body, or another digit where the original number fails the check too.
     check = F.pmod(10 - _luhn(F.concat(body, F.lit("0"))) + F.when(_luhn(same) % 10 == 0, 0).otherwise(1), F.lit(10))
     card = F.concat(body, check.cast("string"))
 
-    phone = _reshaped(same, d, F.length(F.regexp_extract(same, r"^(\+\d{1,2})", 1)))
+    phone = _reshaped(same, d, F.length(F.regexp_extract(same, r"^(\+\d{1,2}|0)", 1)))
 
     gender, name = F.substr(same, F.lit(1), F.lit(1)), F.substr(same, F.lit(3), F.length(same))
 
@@ -169,12 +186,13 @@ def surrogate_identity(kind: Column, same: Column, draw: Column, d: Column, shar
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
+        .when(kind == "ipv6", ipv6)
         .when(kind == "card", card)
         .when(kind == "phone", phone)
         .when(kind == "name", person)
         .when(kind == "iban", _reshaped(same, d, 2))
         .when(same.rlike("^[0-9a-f]+$"), _reshaped(same, d, 0, True))
-        .otherwise(_reshaped(same, d, F.length(F.regexp_extract(same, "^(AKIA|(?:sk|pk|ghp)[_-])", 1))))
+        .otherwise(_reshaped(same, d, F.length(F.regexp_extract(same, "^(AKIA|eyJ|(?:sk|pk|ghp)[_-])", 1))))
     )
 
 
