@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset on a single machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder: on a cluster it must be one that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="knowlattice-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -37,6 +39,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys of more rows than this, and than one in ``MOST_HOT`` of all rows, are hot; so there are at most ``MOST_HOT`` of them.
+HOT_ROWS, MOST_HOT = 256, 10_000
+
+
+def look_up(rows: DataFrame, values: DataFrame, key: str, n_rows: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``values``, which has one row for each ``key`` of ``rows`` and counts them in ``n_rows``.
+
+    A hot key is looked up in a broadcast table of at most ``MOST_HOT`` keys (or total / ``HOT_ROWS``, if that is less),
+    so its rows stay where they are; the others are joined by a shuffle. ``rows`` is read twice: it must be repeatable.
+    Rows of a null key are left out.
+    """
+    is_hot = F.col(n_rows) > max(HOT_ROWS, total // MOST_HOT)
+    hot = F.broadcast(values.where(is_hot).drop(n_rows))
+    cold = rows.join(hot.select(key), key, "left_anti").join(values.where(~is_hot).drop(n_rows), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, all else untouched (``lower`` would change other alphabets too)."""
     return F.translate(c, UPPER, LOWER)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import column, map_text, partitions, text_bytes, written
+from .common import column, look_up, map_text, partitions, text_bytes, written
 from .components import components
 
 MAX_BITS = 3
@@ -188,13 +188,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """One row (``key``, simhash, component_id) per row of ``docs``: the smallest key reachable over links of at most 3 bits.
 
     Null and blank texts have fingerprint 0 and link like any other. Repeated rows are kept and share a component.
-    A null key is never a component's id unless all its keys are null. Only the key and the text are read.
+    A null key is never a component's id unless all its keys are null. Only the key and the text are read. Copies share a
+    fingerprint; one that many rows have is looked up in a broadcast table of bounded size, so no task gets all of them.
     """
     narrow = written(add_simhash(docs.select(F.col(key).alias(key), F.col(text).alias(text)), text, keep_text=False), "simhash")
-    first = written(narrow.groupBy("simhash").agg(F.min(key).alias("_first")), "prints")
+    first = written(narrow.groupBy("simhash").agg(F.min(key).alias("_first"), F.count("*").alias("_n")), "prints")
     groups = components(links(first.select("simhash")))
     linked = first.join(groups, first["simhash"] == groups["node"]).select("simhash", "_first", "root")
     ids = linked.groupBy("root").agg(F.min("_first").alias("_id"))
     joined = linked.join(ids, "root").select("simhash", F.col("_id"))
-    component = first.join(joined, "simhash", "left").select("simhash", F.coalesce("_id", "_first").alias("component_id"))
-    return narrow.join(component, "simhash").select(key, "simhash", "component_id")
+    component = first.join(joined, "simhash", "left").select("simhash", F.coalesce("_id", "_first").alias("component_id"), "_n")
+    return look_up(narrow, written(component, "named"), "simhash", "_n", narrow.count()).select(key, "simhash", "component_id")
