@@ -11,16 +11,18 @@ import json
 import random
 from math import exp, lgamma
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, written
 
 SHARDS = 16
 SEED = 20_240_229
-#: Rows of a block, and of a part of a shard that one task permutes, on average at most.
+#: Rows of a block, and of a part of a shard that one task permutes, on average, until there are ``MOST_BLOCKS``.
 BLOCK_ROWS = 500_000
+#: So the matrix has at most ``MOST_BLOCKS`` x shards numbers; larger blocks are permuted by a sort that spills.
+MOST_BLOCKS = 8_192
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
@@ -70,39 +72,37 @@ def matrix(counts: list[int], shards: int, seed: int) -> list[list[int]]:
     return out
 
 
-def _hash(seed: int, keys: tuple[str, ...]) -> Column:
-    return F.xxhash64(F.lit(seed), *keys)
-
-
-def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, keys: tuple[str, ...] = ("doc_id",), seed: int = SEED) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The rows of ``df`` with ``shard`` (0 to ``shards`` - 1, sizes at most one apart) and ``slot`` (gapless from 0 in it).
 
-    The order is a uniform permutation for the given seed, the same whenever ``keys`` tell the rows apart; rows with
-    equal keys, nulls included, may change places. Columns of ``df`` named shard or slot give way. An empty table stays
-    empty. The driver sees one count per block and draws the matrix; each block and each part of a shard holds
-    about ``BLOCK_ROWS`` rows at most, so no shard is gathered in one task.
+    The order is a uniform permutation. Rows are told apart by a number that is drawn once and written with them, so
+    rows with equal or null ids, equal texts or nothing to tell them apart are spread and permuted like any others; the
+    same seed gives the same order for the same scan. Columns of ``df`` are only carried: any may be null, texts
+    may have any length; columns named shard or slot give way. An empty table stays empty. The driver sees one
+    count per block (at most ``MOST_BLOCKS``) and draws the matrix; no shard is gathered in one task.
     """
     spark = df.sparkSession
-    df = df.drop("shard", "slot")
-    blocks = max(partitions(spark), -(-df.count() // BLOCK_ROWS))
+    rows = written(df.drop("shard", "slot").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    drawn_by = lambda k: F.xxhash64(F.lit(seed + k), "_row")
+    blocks = min(MOST_BLOCKS, max(partitions(spark), -(-rows.count() // BLOCK_ROWS)))
     parts = -(-blocks // shards)
-    block = F.pmod(_hash(seed, keys), F.lit(blocks))
-    counted = {r["_block"]: r["count"] for r in df.select(block.alias("_block")).groupBy("_block").count().collect()}
+    block = F.pmod(drawn_by(0), F.lit(blocks))
+    counted = {r["_block"]: r["count"] for r in rows.select(block.alias("_block")).groupBy("_block").count().collect()}
     drawn = matrix([counted.get(b, 0) for b in range(blocks)], shards, seed)
     cuts = [{"_block": b, "upto": [sum(given[: s + 1]) for s in range(shards)]} for b, given in enumerate(drawn)]
     table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(cuts)), "array<struct<_block: bigint, upto: array<bigint>>>")))
 
-    place = F.row_number().over(W.partitionBy("_block").orderBy(_hash(seed + 1, keys), *keys)) - 1
+    place = F.row_number().over(W.partitionBy("_block").orderBy(drawn_by(1), "_row")) - 1
     assigned = (
-        df.withColumn("_block", block)
+        rows.withColumn("_block", block)
         .withColumn("_place", place)
-        .join(table, "_block")
+        .join(F.broadcast(table), "_block")
         .withColumn("shard", F.size(F.filter("upto", lambda u: u <= F.col("_place"))))
-        .withColumn("_part", F.pmod(_hash(seed + 2, keys), F.lit(parts)))
+        .withColumn("_part", F.pmod(drawn_by(2), F.lit(parts)))
         .drop("_block", "_place", "upto")
     )
     sizes = assigned.groupBy("shard", "_part").count()
     before = sizes.select("shard", "_part", (F.sum("count").over(W.partitionBy("shard").orderBy("_part")) - F.col("count")).alias("_before"))
-    order = F.row_number().over(W.partitionBy("shard", "_part").orderBy(_hash(seed + 3, keys), *keys)) - 1
-    slots = assigned.withColumn("_order", order).join(before, ["shard", "_part"])
-    return slots.withColumn("slot", F.col("_before") + F.col("_order")).select(*df.columns, "shard", "slot")
+    order = F.row_number().over(W.partitionBy("shard", "_part").orderBy(drawn_by(3), "_row")) - 1
+    slots = assigned.withColumn("_order", order).join(F.broadcast(before), ["shard", "_part"])
+    return slots.withColumn("slot", F.col("_before") + F.col("_order")).select(*[c for c in rows.columns if c != "_row"], "shard", "slot")

@@ -39,3 +39,21 @@ def test_matrix_sums():
     drawn = sharding.matrix(counts, 16, 5)
     assert [sum(r) for r in drawn] == counts
     assert {sum(r[s] for r in drawn) for s in range(16)} <= {270 // 16, 270 // 16 + 1}
+
+
+def test_equal_rows_are_spread(spark):
+    """A table of one repeated row: each block and shard still gets its share."""
+    same = spark.createDataFrame([(7, "t")] * 4000, "doc_id long, text string").repartition(8)
+    sizes = Counter(r.shard for r in sharding.shuffle_into_shards(same).collect())
+    assert set(sizes.values()) == {250}
+
+
+def test_every_place_is_equally_likely(spark):
+    """Over many seeds each of six rows stands at each of six places (two shards of three) about equally often."""
+    docs = spark.range(6, numPartitions=2).withColumnRenamed("id", "doc_id").cache()
+    seen = Counter()
+    for seed in range(24):
+        for r in sharding.shuffle_into_shards(docs, shards=2, seed=seed * 1000).collect():
+            seen[r.doc_id, r.shard * 3 + r.slot] += 1
+    chi = sum((seen[a, b] - 4) ** 2 / 4 for a in range(6) for b in range(6))
+    assert chi < 52  # 25 degrees of freedom, one in a thousand
