@@ -116,41 +116,42 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
 PAIRS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>"
 
 
-def _range_of(key: Column, cuts: list[int]) -> Column:
-    """How many of the rising cuts are at most ``key`` (null: none): first in steps of whole groups, then in one group."""
-    if not cuts:
-        return F.lit(0)
+def _cuts_up_to(key: Column, cuts: list[int], equal: bool) -> Column:
+    """How many of the rising cuts are below ``key`` (or at most it): first in steps of whole groups, then in one group."""
     width = max(1, int(len(cuts) ** 0.5))
-    at_most = lambda values: F.size(F.filter(values, lambda c: c <= key))
-    whole = at_most(F.lit(cuts[width - 1 :: width]).cast("array<long>")) * width
-    return F.coalesce(F.when(key.isNotNull(), whole + at_most(F.slice(F.lit(cuts).cast("array<long>"), whole + 1, F.lit(width)))), F.lit(0))
+    passed = lambda values: F.size(F.filter(values, lambda c: c <= key if equal else c < key))
+    whole = passed(F.lit(cuts[width - 1 :: width]).cast("array<long>")) * width
+    return whole + passed(F.slice(F.lit(cuts).cast("array<long>"), whole + 1, F.lit(width)))
 
 
 def compare_neighbours(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint against those of an edited text and of the next document by ascending ``doc_id``.
 
-    Rows are dealt into ranges of ``doc_id`` once, with the first row of each range also sent to the range before
-    it (to the last: the first of all), and read in order. Null ids come first; equal ids are ordered by text;
-    null texts are empty. A single document is its own next.
+    Rows are dealt into ranges of (``doc_id``, hash of the text) once, with the first row of each range also sent to the
+    range before it (to the last: the first of all), and read in order. Null ids come first; equal ids are ordered by
+    their texts' hashes, and an id that fills several ranges is split among them; null texts are empty. A single
+    document is its own next; an empty table has no rows. Very long texts are read whole, one at a time.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("hash", F.xxhash64("text"))
     n = 4 * partitions(spark)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    docs = docs.withColumn("part", _range_of(F.col("doc_id"), cuts))
+    cuts = docs.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 100 * n)).first()[0]
+    if cuts is None:
+        return spark.createDataFrame([], PAIRS)
+    below, up_to = _cuts_up_to(F.col("key"), cuts, False), _cuts_up_to(F.col("key"), cuts, True)
+    # An id that equals several cuts has as many ranges, filled by the rising hash of its texts.
+    within = F.floor((F.col("hash") / F.lit(2.0**64) + 0.5) * (up_to - below)).cast("int")
+    docs = docs.withColumn("part", F.least(up_to, below + F.when(up_to > below, within + 1).otherwise(0)))
     # At most one row for each of the n ranges.
-    firsts = docs.groupBy("part").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("k"))).alias("m")).orderBy("part").collect()
+    firsts = docs.groupBy("part").agg(F.min(F.struct("key", "hash")).alias("m")).orderBy("part").collect()
     before = {r["part"]: firsts[i - 1]["part"] for i, r in enumerate(firsts)}
-    starts = {r["part"]: r["m"]["k"] for r in firsts}
-    if not firsts:
-        return spark.createDataFrame([], PAIRS)
-    lead = spark.createDataFrame([(p, before[p], starts[p]) for p in starts], "part int, sent_to int, start long")
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    head = docs.join(F.broadcast(lead), "part").where(key == F.col("start"))
-    head = head.select("doc_id", "text", F.col("sent_to").alias("part"), F.lit(1).alias("guest"))
+    lead = spark.createDataFrame([(r["part"], before[r["part"]], r["m"]["key"], r["m"]["hash"]) for r in firsts], "part int, sent_to int, key long, hash long")
+    head = docs.join(F.broadcast(lead), ["part", "key", "hash"]).groupBy("sent_to").agg(F.min(F.struct("doc_id", "text")).alias("r"))
+    head = head.select("r.doc_id", "r.text", F.col("sent_to").alias("part"), F.lit(1).alias("guest"))
     both = docs.select("doc_id", "text", "part", F.lit(0).alias("guest")).unionByName(head)
-    dealt = both.repartition(partitions(spark), "part").sortWithinPartitions("part", "guest", "doc_id", "text")
+    # One range to a task, so that none gets several of the long ones by chance of a hash.
+    dealt = both.repartitionById(n, F.col("part")).sortWithinPartitions("part", "guest", "doc_id", F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

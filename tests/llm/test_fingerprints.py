@@ -68,3 +68,12 @@ def test_neighbours(spark, rows):
 def test_equal_texts_and_clashing_column(spark):
     rows = fp.fingerprint(_rows(spark, [(1, "the very same text", "old"), (2, "the very same text", "old"), (3, None, "old")])).collect()
     assert rows[0].fingerprint == rows[1].fingerprint != "" and rows[2].fingerprint == "" and rows[0].fingerprint != "old"
+
+
+def test_hot_id_is_split(spark):
+    """Most rows share one id: their ranges follow the hash of the text, and each row still meets the next in that order."""
+    rows = [(1 if i % 5 else i, f"text number {i} " * 6) for i in range(600)] + [(None, f"no id {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ordered = docs.selectExpr("doc_id", "text", "xxhash64(text) h").orderBy("doc_id", "h", "text").collect()
+    want = sorted(hashlib.sha256(fp.edited(a.text, b.text).encode()).hexdigest() for a, b in zip(ordered, ordered[1:] + ordered[:1]))
+    assert sorted(r.edited_sha256 for r in fp.compare_neighbours(docs).collect()) == want
