@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import column, map_text, partitions, written
+from .common import column, map_text, written
 
 VOCABULARY = "byte_bpe_50k"
 WINDOW = 2048
@@ -29,8 +29,8 @@ END = 1
 STEP = 8
 #: A remainder that no combination takes is cut into powers of two from half a window to this, and a rest below.
 LEAST_CUT = 64
-#: Remainders packed together: at most about GROUP_MOST; at least about GROUP_LEAST where the table has so many.
-GROUP_MOST, GROUP_LEAST = 50_000, 4_096
+#: Rows whose remainders are packed together, on average at most.
+GROUP_ROWS = 8_192
 SWEEPS = 40
 
 
@@ -201,10 +201,8 @@ def pack(docs: DataFrame, text: str = "text", window: int = WINDOW, name: str =
 
     The texts are read and tokenised once; the rows that are packed hold lengths and checksums only.
     """
-    spark = docs.sparkSession
     items = written(tokenised(docs.withColumn("doc_id", F.col("doc_id").cast("long")), text, window, name), "tokenised")
-    n = items.count()
-    groups = max(1, -(-n // GROUP_MOST), min(partitions(spark), n // GROUP_LEAST))
+    groups = max(1, -(-items.count() // GROUP_ROWS))
     whole = items.select("doc_id", "doc_tokens", F.posexplode("whole_crcs").alias("k", "ids_crc32")).select(
         "doc_id",
         (F.col("k") * F.lit(window)).cast("long").alias("start"),

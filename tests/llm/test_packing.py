@@ -89,3 +89,17 @@ def test_plan_wastes_little(lengths):
     pieces = packing.plan(lengths, 2048)
     sequences = len({p[2] for p in pieces})
     assert sequences <= -(-int(lengths.sum()) // 2048) * 1.02 + 1
+
+
+def test_faster_reader_gives_the_librarys_ids(spark):
+    """On all texts of sf0.01 and on random Unicode the ids are those of the named file's own library."""
+    import random
+
+    import pyarrow.parquet as pq
+
+    e, rng = packing.Encoder(packing.VOCABULARY), random.Random(3)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    spans = [(32, 127), (0x80, 0x800), (0x800, 0xD800), (0xE000, 0x10000), (0x10000, 0x110000), (9, 14)]
+    texts += ["".join(chr(rng.randrange(*rng.choice(spans))) if rng.random() < 0.95 else rng.choice(["'s", "<|", " ", " ", "'LL"]) for _ in range(rng.randrange(1, 120))) for _ in range(4000)]
+    library = [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
+    assert all(e.ids(t)[:-1].tolist() == ids for t, ids in zip(texts, library))
