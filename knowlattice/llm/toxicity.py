@@ -1,8 +1,11 @@
 """Toxicity severity by cumulative-link (proportional-odds) ordinal regression on sparse text features.
 
 P(severity >= k) = sigmoid(w . x - threshold_k) with one weight vector for all ordered thresholds; the output is the
-expected severity, the sum of these over k = 1 to 3. Features are counts of the words and word beginnings whose
+expected severity, the sum of these over k = 1 to 3. Features are log(1 + count) of the words and word beginnings whose
 presence tells labelled toxic texts from others. The model is fitted on a bounded sample of labelled rows.
+
+The labels say toxic or not. A toxic text's grade is the third it falls in by a toxicity score from a model fitted
+without it (on the other folds, with words chosen there), so no grade is made of the features that then predict it.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import column, map_text, mix64, span_hashes, text_bytes
@@ -19,13 +23,14 @@ from .decontamination import lower, words
 
 #: Labelled rows that the model is fitted on, at most (those with the smallest hash of doc_id).
 SAMPLE_ROWS = 8_000
+#: And as many of these as have so many bytes of text in all; texts of more than ``LONG_BYTES`` come last.
+SAMPLE_BYTES, LONG_BYTES = 64 << 20, 1 << 20
+FOLDS = 5
 GRADES = 3
 #: Texts with at least this expected severity are rejected.
 REJECT_AT = 0.3
 #: Words of more bytes also count by their beginning, which catches inflected forms.
 STEM_BYTES = 6
-#: Beyond so many a word in a text tells no more.
-MOST_COUNT = 10
 #: A feature stands in at least so many toxic sample texts, and tells them apart by so many standard errors.
 LEAST_TEXTS, LEAST_Z = 5, 6.0
 #: Or most of its texts are toxic, by a test whose level adapts to the labels: of those that pass, chance explains at most this share.
@@ -77,18 +82,24 @@ def _sample_features(batch: pa.RecordBatch) -> list[pa.Array]:
     ]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """The model for the texts of ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic 0/1).
 
-    Copies and near copies in the sample count once (they share a min-hash band), so that no repeated text makes
-    its own words look toxic. Rows without text, id or label are not used. Without toxic or other labels the model has no
-    features and rates everything 0.
+    The sample has at most ``sample_rows`` texts, one for each id (repeated rows count once), and at most
+    ``sample_bytes`` of text, or one longer text. Copies and near copies in it count once (they share a min-hash
+    band), so that no repeated text makes its own words look toxic. Rows without text, id or label are not used; an id
+    with both labels is toxic. Without toxic or other labels the model has no features and rates everything 0.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    # At most sample_rows small rows are broadcast, and as many texts' word hashes come back.
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
-    rows = map_text(texts, _sample_features, "hashes array<long>, counts array<int>, bands array<long>", drop=("text",)).orderBy("doc_id").toArrow()
+    drawn = F.xxhash64("doc_id")
+    # Each broadcast has at most sample_rows small rows.
+    sample = known.orderBy(drawn, "doc_id").limit(sample_rows)
+    texts = docs.select("doc_id", "text").where("text is not null")
+    one = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"))).alias("m"), F.first("_toxic").alias("_toxic"))
+    up_to = F.sum("m.size").over(W.orderBy(F.col("m.size") > LONG_BYTES, drawn, "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    chosen = one.withColumn("_upto", up_to).where((F.col("_upto") <= sample_bytes) | (F.col("_upto") == F.col("m.size"))).select("doc_id", "_toxic", F.col("m.h").alias("_h"))
+    texts = texts.join(F.broadcast(chosen), "doc_id").where(F.xxhash64("text") == F.col("_h")).dropDuplicates(["doc_id"]).drop("_h")
+    rows = map_text(texts, _sample_features, "hashes array<long>, counts array<int>, bands array<long>", drop=("text",)).toArrow().sort_by("doc_id")
     return fit_rows(
         [np.array(h, np.int64).view(np.uint64) for h in _lists(rows["hashes"])],
         [np.array(c) for c in _lists(rows["counts"])],
@@ -114,35 +125,55 @@ def fit_rows(hashes: list[np.ndarray], counts: list[np.ndarray], bands: list[np.
             kept.append(i)
         seen |= keys
     toxic = toxic[kept] if len(toxic) else toxic
-    n, n_toxic = len(kept), int(toxic.sum())
-    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES, 50.0))
-    if not n_toxic or n_toxic == n:
+    n, nothing = len(kept), Model(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES, 50.0))
+    if not toxic.any() or toxic.all():
         return nothing
-    flat = np.concatenate([hashes[i] for i in kept])
     text = np.repeat(np.arange(n), [len(hashes[i]) for i in kept])
-    value = np.minimum(np.concatenate([counts[i] for i in kept]), MOST_COUNT).astype(float)
-    distinct, which = np.unique(flat, return_inverse=True)
-    of_toxic = np.bincount(which, toxic[text], len(distinct))
-    of_all = np.bincount(which, minlength=len(distinct))
-    p, q, share = of_toxic / n_toxic, (of_all - of_toxic) / (n - n_toxic), of_all / n
-    z = (p - q) / np.sqrt(share * (1 - share) * (1 / n_toxic + 1 / (n - n_toxic)) + 1e-12)
-    chosen = np.flatnonzero((of_toxic >= LEAST_TEXTS) & (z >= LEAST_Z) | _beyond_chance(of_toxic.astype(int), of_all))
+    distinct, which = np.unique(np.concatenate([hashes[i] for i in kept]), return_inverse=True)
+    value = np.log1p(np.concatenate([counts[i] for i in kept]))
+
+    def design(use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The features that tell the toxic texts among ``use``, and their values in all texts."""
+        inside = use[text]
+        of_toxic, of_all = np.bincount(which[inside], toxic[text[inside]], len(distinct)), np.bincount(which[inside], minlength=len(distinct))
+        chosen = _telling(of_toxic, of_all, int(toxic[use].sum()), int(use.sum()))
+        place = np.full(len(distinct), -1)
+        place[chosen] = np.arange(len(chosen))
+        held = place[which] >= 0
+        x = np.zeros((n, len(chosen)))
+        x[text[held], place[which[held]]] = value[held]
+        return chosen, x
+
+    chosen, x = design(np.ones(n, bool))
     if not len(chosen):
         return nothing
-    place = np.full(len(distinct), -1)
-    place[chosen] = np.arange(len(chosen))
-    use = place[which] >= 0
-    x = np.zeros((n, len(chosen)))
-    x[text[use], place[which[use]]] = value[use]
-    # Grades: labelled toxic texts by thirds of how much of the telling words they hold; one without any is of the lowest.
-    strength = x.sum(1)
-    strong = strength[toxic & (strength > 0)]
-    cuts = np.quantile(strong, [i / GRADES for i in range(1, GRADES)]) if len(strong) else np.ones(GRADES - 1)
+    # Log-odds of being toxic by the other folds' model; lowest where the text has none of its words.
+    fold, strength = np.arange(n) % FOLDS, np.full(n, -np.inf)
+    for k in range(FOLDS):
+        own, others = fold == k, fold != k
+        if toxic[others].any() and not toxic[others].all():
+            _, x_k = design(others)
+            if x_k.shape[1]:
+                w, t = _proportional_odds(x_k[others], toxic[others].astype(int), steps=300, grades=1, floor=0.0)
+                strength[own] = np.where(x_k[own].any(1), x_k[own] @ w - t[0], -np.inf)
+    strong = strength[toxic & np.isfinite(strength)]
+    cuts = np.quantile(strong, [i / GRADES for i in range(1, GRADES)]) if len(strong) else np.zeros(GRADES - 1)
     grade = np.where(toxic, 1 + (strength[:, None] > cuts[None, :]).sum(1), 0)
-    weights, thresholds = _proportional_odds(x, grade)
+    # Every chosen word tells toxic texts: few labels must not make one of them speak against it.
+    weights, thresholds = _proportional_odds(x, grade, floor=0.0)
     return Model(distinct[chosen], weights, thresholds)
 
 
+def _telling(of_toxic: np.ndarray, of_all: np.ndarray, n_toxic: int, n: int) -> np.ndarray:
+    """The features held by so many more of the toxic texts than of the others that chance does not explain it."""
+    p, q, share = of_toxic / n_toxic, (of_all - of_toxic) / (n - n_toxic), of_all / n
+    z = (p - q) / np.sqrt(share * (1 - share) * (1 / n_toxic + 1 / (n - n_toxic)) + 1e-12)
+    some = np.flatnonzero(of_all)
+    beyond = np.zeros(len(of_all), bool)
+    beyond[some] = _beyond_chance(of_toxic[some].astype(int), of_all[some])
+    return np.flatnonzero((of_toxic >= LEAST_TEXTS) & (z >= LEAST_Z) | beyond)
+
+
 def _beyond_chance(of_toxic: np.ndarray, of_all: np.ndarray) -> np.ndarray:
     """Features most of whose texts are toxic, at the widest level of a binomial test that chance explains ``CHANCE_SHARE`` of at most.
 
@@ -170,10 +201,10 @@ def _beyond_chance(of_toxic: np.ndarray, of_all: np.ndarray) -> np.ndarray:
     return (most & (tail <= at[good[-1]]))[which.ravel()] if len(good) else np.zeros(len(of_all), bool)
 
 
-def _proportional_odds(x: np.ndarray, grade: np.ndarray, steps: int = 800, ridge: float = 1e-3, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood with a small ridge, by Adam; thresholds are the first and positive steps from it."""
+def _proportional_odds(x: np.ndarray, grade: np.ndarray, steps: int = 800, ridge: float = 1e-3, rate: float = 0.05, grades: int = GRADES, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum likelihood with a small ridge, by Adam; thresholds are the first and positive steps from it; no weight below ``floor``."""
     n, m = x.shape
-    theta = np.concatenate([np.zeros(m), [1.0], np.zeros(GRADES - 1)])
+    theta = np.concatenate([np.zeros(m), [1.0], np.zeros(grades - 1)])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -40, 40)))
     row = np.arange(n)
@@ -185,26 +216,30 @@ def _proportional_odds(x: np.ndarray, grade: np.ndarray, steps: int = 800, ridge
         share = np.maximum(here - above, 1e-12)
         slope_here, slope_above = here * (1 - here) / share, above * (1 - above) / share
         of_logit = -(slope_here - slope_above) / n
-        of_threshold = np.zeros(GRADES + 2)
+        of_threshold = np.zeros(grades + 2)
         np.add.at(of_threshold, grade, slope_here / n)
         np.add.at(of_threshold, grade + 1, -slope_above / n)
-        of_threshold = of_threshold[1 : GRADES + 1]
+        of_threshold = of_threshold[1 : grades + 1]
         tail = np.cumsum(of_threshold[::-1])[::-1]
         gradient = np.concatenate([x.T @ of_logit + ridge * weights, [tail[0]], tail[1:] * gaps])
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         theta = theta - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        theta[:m] = np.maximum(theta[:m], floor)
     return theta[:m], theta[m] + np.concatenate([[0], np.cumsum(np.exp(theta[m + 1 :]))])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """The rows of ``docs`` with ``severity`` (expected, 0 to 3) and ``rejected``; null and empty texts hold no toxic word."""
+    """The rows of ``docs`` with ``severity`` (expected, 0 to 3) and ``rejected``; null and empty texts hold no toxic word.
+
+    Repeated rows are each rated; a very long text is rated whole; columns named like a result give way.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         m = shared.value
         row, place, count = _word_counts(*text_bytes(column(batch, text)), m.features)
-        logit = np.bincount(row, m.weights[place] * np.minimum(count, MOST_COUNT), batch.num_rows) if len(row) else np.zeros(batch.num_rows)
+        logit = np.bincount(row, m.weights[place] * np.log1p(count), batch.num_rows) if len(row) else np.zeros(batch.num_rows)
         severity = m.severity(logit)
         return [pa.array(severity), pa.array(severity >= REJECT_AT)]
 
