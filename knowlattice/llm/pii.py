@@ -8,6 +8,7 @@ real entity, and draws these again until all are distinct; only documents with s
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -55,6 +56,9 @@ _every = {n for by in (*GIVEN.values(), FOUND) for ns in by.values() for n in ns
 _given = "|".join(f"{a}(?:{'|'.join(sorted((n[1:] for n in _every if n[0] == a), reverse=True))})" for a in sorted({n[0] for n in _every}))
 _key = r"(?i:token|secret|password|passwd|pwd|api_key|apikey|api-key)"
 _name = r"\p{Lu}[\p{L}'’-]+"
+#: Words after which two or three capitalised words are a person's name, whatever the given name.
+INTRODUCED = ["name is ", "Name: ", "Dear ", "Regards, ", "regards, ", "Sincerely, ", "Signed, ", "Signed: ", "heiße ", "Gruß, ", "m'appelle ", "llamo ", "Atentamente, ", "зовут "]
+_introduced = "|".join(re.escape(i[:-1]) + r"\s" for i in INTRODUCED)
 #: Type and pattern of what is replaced, in the order in which alternatives are tried. Each asks for its first
 #: character before anything dearer: a long lookbehind or list of words is then tried at few places of a text.
 PATTERNS = {
@@ -69,7 +73,7 @@ PATTERNS = {
     r"|(?=[3-6])(?<![\d.-])(?:3[47]\d\d[ -]?\d{6}[ -]?\d{5}|3[0689]\d\d[ -]?\d{6}[ -]?\d{4}|4\d{12}|(?:5[0678]|6\d)\d{11,17})(?!\d|[.-]\d)",
     "phone": r"(?=[\d(+])(?<![\p{L}\d.+-])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\+\d{8,14}|\d{3}[ .-]\d{3}[ .-]\d{4}|\d{3}-\d{2}-\d{4}"
     r"|\+\d(?:(?:[ ./-]|[ ./-]?\(|\)[ ./-]?)?\d){6,14}|(?:00[1-9]\d|\(?0[1-9])(?!(?<=\d\d)[./-]\d\d[./-]\d{2,4}(?![./-]?\d))(?:(?:[ ./-]|\)[ ./-]?)?\d){6,12}|[67]\d\d[ -](?:\d{3}[ -]\d{3}|\d\d(?:[ -]\d\d){2})|[89]\d[ -]\d{3}(?:[ -]\d\d){2})(?!\d|[.-]\d)",
-    "name": rf"(?=[\p{{Lu}}г])(?<!\p{{L}})(?:(?:{_titles})\.? {_name}(?: {_name})?|(?:{_given}) {_name})(?!\p{{L}})",
+    "name": rf"(?=[\p{{Lu}}г])(?<!\p{{L}})(?:(?:{_titles})\.? {_name}(?: {_name})?|(?:{_given})(?: \p{{Lu}}\.)? {_name}|(?<=\s)(?<=(?:{_introduced})){_name}(?: \p{{Lu}}\.)?(?: {_name}){{1,2}})(?!\p{{L}})",
 }
 #: All of them. Only numbers and capitals may follow a letter at once, so most places inside words fail at the first check.
 PATTERN = rf"(?:(?=[0-9A-Z])|(?<!\p{{L}}))(?=\S)(?:{'|'.join(PATTERNS.values())})"
@@ -87,6 +91,8 @@ def type_of(entity: Column) -> Column:
         .when(entity.rlike(rf"^(?:{PATTERNS['iban']})$"), "iban")
         .when(entity.rlike(rf"^(?:{PATTERNS['card']})$"), "card")
         .when(entity.rlike(rf"^(?:{PATTERNS['phone']})$"), "phone")
+        # Found by the words before it; no secret has a space in it.
+        .when(entity.rlike(rf"^{_name}(?: \p{{Lu}}\.)?(?: {_name}){{1,2}}$"), "name")
         .otherwise("secret")
     )
 
@@ -112,10 +118,11 @@ def identity(entity: Column, kind: Column) -> Column:
     )
 
 
-def _stream(*of: Column) -> Column:
-    """192 hexadecimal digits that nobody without the key can tell from random ones."""
-    first = F.sha2(F.concat_ws("\u0001", *of), 256)
-    return F.concat(first, F.sha2(F.concat(F.lit("2"), *of), 256), F.sha2(F.concat(F.lit("3"), *of), 256))
+def _stream(size: Column, *of: Column) -> Column:
+    """Hexadecimal digits, three for each of ``size`` characters and 192 at least, that nobody without the key can tell from random ones."""
+    seed = F.concat_ws("\u0001", *of)
+    blocks = F.sequence(F.lit(1), F.greatest(F.lit(3), F.ceil(size * 3 / 64).cast("int")))
+    return F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("\u0001", b.cast("string"), seed), 256)), "")
 
 
 def _number(stream: Column, place: int | Column, width: int = 6) -> Column:
@@ -127,7 +134,7 @@ def _reshaped(value: Column, stream: Column, keep: int | Column = 0, hexadecimal
     """The value with each letter and digit after the first ``keep`` characters replaced by one of its class, from the stream."""
 
     def one(c: Column, i: Column) -> Column:
-        n = _number(stream, F.pmod(i * 3, F.lit(186)))
+        n = _number(stream, i * 3, 3)
         pick = lambda letters: F.substr(F.lit(letters), F.pmod(n, F.lit(len(letters))).cast("int") + 1, F.lit(1))
         low, high = ("abcdef", "ABCDEF") if hexadecimal else ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
         new = F.when(c.rlike("[0-9]"), pick("0123456789")).when(c.rlike(r"\p{IsCyrillic}"), pick("абвгдежзиклмнопрстуфхцчшэюя")).when(c.rlike(r"\p{Lu}"), pick(high)).when(c.rlike(r"\p{L}"), pick(low)).otherwise(c)
@@ -180,7 +187,11 @@ def surrogate_identity(kind: Column, same: Column, draw: Column, d: Column, shar
         choose = lambda values, at: F.get(F.array(*map(F.lit, values)), F.pmod(_number(d, at), F.lit(len(values))).cast("int"))
         given = F.lower(F.when(gender == "f", choose(GIVEN[script]["f"], 0)).when(gender == "m", choose(GIVEN[script]["m"], 0)).otherwise(choose(GIVEN[script]["n"], 0)))
         surname = F.concat(*[choose(SYLLABLES[script], 6 * k) for k in (1, 2, 3)], F.when(draw > 0, F.concat(*[choose(SYLLABLES[script], 6 * k) for k in (4, 5)])).otherwise(""))
-        return F.when(name.contains(" "), F.concat_ws(" ", given, surname)).otherwise(surname)
+        # A middle initial stays one, and a third name is a second surname.
+        second = F.get(F.split(name, " "), F.lit(1))
+        middle = F.when(second.endswith("."), F.concat(_reshaped(second, F.substr(d, F.lit(100), F.lit(6)))))
+        further = F.when(F.size(F.split(name, " ")) - F.when(middle.isNotNull(), 1).otherwise(0) > 2, F.concat(*[choose(SYLLABLES[script], 6 * k) for k in (6, 7, 8)]))
+        return F.when(name.contains(" "), F.concat_ws(" ", given, middle, surname, further)).otherwise(surname)
 
     person = F.concat(gender, F.lit("|"), F.when(name.rlike(r"\p{IsCyrillic}"), named("cyrillic")).otherwise(named("latin")))
     return (
@@ -203,8 +214,8 @@ def _adding(array: Column, name: str, value: Callable[[Column], Column]) -> Colu
 
 def _with_surrogates(array: Column, key: str) -> Column:
     """The array of structs (kind, same, draw) with the field ``new``."""
-    array = _adding(array, "d", lambda x: _stream(F.lit(key), x["kind"], x["same"], x["draw"].cast("string")))
-    array = _adding(array, "shared", lambda x: F.when(x["kind"] == "email", _stream(F.lit(key), F.lit("domain"), F.substring_index(x["same"], "@", -1))))
+    array = _adding(array, "d", lambda x: _stream(F.length(x["same"]), F.lit(key), x["kind"], x["same"], x["draw"].cast("string")))
+    array = _adding(array, "shared", lambda x: F.when(x["kind"] == "email", _stream(F.length(x["same"]), F.lit(key), F.lit("domain"), F.substring_index(x["same"], "@", -1))))
     return _adding(array, "new", lambda x: surrogate_identity(x["kind"], x["same"], x["draw"], x["d"], x["shared"]))
 
 
@@ -242,7 +253,8 @@ def _named(array: Column) -> Column:
 def redraws(found: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, same, draw) of the entities whose first surrogate coincides with another's or with a real entity; draw tells which is free."""
     drawn = written(found.withColumn("draw", F.lit(0)), "entities")
-    real = found.select("kind", F.col("same").alias("new"))
+    # From the written table: reading ``found`` again would search all texts again.
+    real = drawn.select("kind", F.col("same").alias("new"))
     for _ in range(MAX_DRAWS):
         named = drawn.withColumn("new", F.get(_with_surrogates(F.array(F.struct("kind", "same", "draw")), key), 0)["new"])
         # Only the few entities of one surrogate meet in a window.

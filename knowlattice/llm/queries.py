@@ -76,7 +76,8 @@ def op7_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = spark.conf.get("spark.knowlattice.surrogateKey", pii.KEY)
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=key)
 
 
 def op9_rank_synchronous_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

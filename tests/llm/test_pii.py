@@ -72,3 +72,12 @@ def test_other_key_other_surrogates(spark):
     docs = spark.createDataFrame([(1, "97.51.17.173")], "doc_id long, text string")
     assert pii.pseudonymise(docs, key="a").first().text != pii.pseudonymise(docs, key="b").first().text
     assert pii.pseudonymise(docs.limit(0)).count() == 0
+
+
+def test_names_by_context_and_long_secrets(spark):
+    secret = "Ab3" * 60
+    rows = [(1, "my name is Zorblax Quend, Zorblax Quend"), (2, "Regards, Xenia T. Okoye"), (3, f'token = "{secret}"'), (4, "New Yorkers like Green Apples")]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "my name is Zorblax" not in got[1] and re.fullmatch(r"Regards, \w+ [A-Z]\. \w+", got[2]) and "Okoye" not in got[2]
+    new = re.fullmatch(r'token = "(\w+)"', got[3])[1]
+    assert len(new) == len(secret) and not any(new[:60] == new[k : k + 60] for k in range(1, 120)) and got[4] == rows[3][1]
