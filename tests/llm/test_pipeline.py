@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from knowlattice.llm import pii, simhash, toxicity
+from knowlattice.llm import pii, toxicity
 
 D = "/root/testdata/sf0.01"
 
@@ -44,22 +44,31 @@ def test_toxic_go_and_clean_stay(stages):
 
 
 def test_one_of_each_group_stays(stages):
+    """Links are pairs whose sets of five-word shingles have a Jaccard likeness of 0.8 or more, found here by comparing all pairs."""
     before, after = rows(stages[1]), rows(stages[2])
-    prints = {i: simhash.simhash((r.text or "").encode()) for i, r in before.items()}
-    root = {i: i for i in prints}
+    sets, held = {}, defaultdict(list)
+    for i in sorted(before):
+        w = (before[i].text or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        for g in sets[i] or [None]:
+            held[g].append(i)
+    root = {i: i for i in sets}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    ids = sorted(prints)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= 3:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    assert sorted(after) == sorted({find(i) for i in ids})
+    shared = defaultdict(int)
+    for ids in held.values():
+        for n, a in enumerate(ids):
+            for b in ids[n + 1 :]:
+                shared[a, b] += 1
+    for (a, b), n in shared.items():
+        if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    assert sorted(after) == sorted({find(i) for i in sets}) and len(after) < len(before)
 
 
 def test_passages_are_cut(spark, stages):
@@ -122,3 +131,19 @@ def test_nulls_repeats_and_empty(spark, tmp_path, monkeypatch):
             stage(spark, docs, D).write.parquet(path)
             docs = spark.read.parquet(path)
         assert docs.count() >= (3 if data else 0)
+
+
+def test_near_duplicates_survive_another_cluster_size(spark, tmp_path):
+    """Splits of a scan follow the cores at hand; with other splits at each reading the same documents stay."""
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    docs.repartition(12, "doc_id").write.parquet(f"{tmp_path}/docs")
+    kept = []
+    try:
+        for first, then in ((4, 4), (4, 2)):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", first)
+            found = cp.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/docs"), D)
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", then)
+            kept.append(sorted(r.doc_id for r in found.select("doc_id").collect()))
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert kept[0] == kept[1] and len(kept[0]) == len(set(kept[0])) > 800
