@@ -16,10 +16,24 @@ from pyspark.sql import types as T
 
 # Words that a query does without.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with", "what", "which", "who", "how", "why"]
-# Pictographs, as ranges that Java knows.
-EMOJI = r"[\x{A9}\x{AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{21AA}\x{231A}-\x{23FF}\x{24C2}\x{25AA}-\x{25FE}\x{2600}-\x{27BF}\x{2934}\x{2935}\x{2B05}-\x{2B55}\x{3030}\x{303D}\x{3297}\x{3299}\x{1F000}-\x{1FAFF}]"
+
+
+def _pictographs() -> str:
+    """The inside of a character class of Extended_Pictographic, which Java 17 does not know by name."""
+    picture = regex.compile(r"\p{Extended_Pictographic}")
+    points = [p for block in (range(0xA9, 0x3300), range(0x1F000, 0x20000)) for p in block if picture.match(chr(p))]
+    first = [p for i, p in enumerate(points) if i == 0 or points[i - 1] != p - 1]
+    last = [p for i, p in enumerate(points) if i == len(points) - 1 or points[i + 1] != p + 1]
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(first, last))
+
+
+EMOJI = f"[{_pictographs()}]"
+# White space in the sense of Unicode, as the inside of a character class.
+SPACE = r"\t\n\x0B\f\r\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 # Secrets in free text.
 SECRET = r"(?i)(?:sk-[A-Za-z0-9_-]{8,}|Bearer\s+[A-Za-z0-9._~-]{8,})"
+# Names of keys whose values are secret.
+SECRET_KEY = r"(?i)(?:api[_-]?key|authorization|password|secret|token|private[_-]?key)"
 SNIPPET = 360
 
 
@@ -28,7 +42,7 @@ def nfkc(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
-def normalised(c: Column) -> Column:
+def normalised(c: Column | str) -> Column:
     """Lower case, single spaces, trimmed (apply ``nfkc`` before, where texts are not known to be in that form)."""
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
@@ -61,12 +75,13 @@ def searchable(c: Column) -> Column:
 
 
 def estimate_tokens(c: Column) -> Column:
-    """Han count 1, pictographs 2, each run of letters and digits a quarter of its length (rounded up), each run of white space 1, all else 1."""
-    rest = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\p{IsHan}", "\u0001"), EMOJI, "\u0002")
-    runs = F.regexp_extract_all(rest, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Han count 1, pictographs 2, each run of letters and digits a quarter of its length (rounded up), each run of white space 1, all else 1; null is empty."""
+    c = F.coalesce(c, F.lit(""))
+    runs = F.regexp_extract_all(c, F.lit(rf"[\p{{L}}\p{{N}}&&[^\p{{IsHan}}]&&[^{EMOJI[1:-1]}]]+"), F.lit(0))
     in_words = F.aggregate(runs, F.lit(0), lambda n, w: n + F.ceil(F.length(w) / 4).cast("int"))
-    left = F.regexp_replace(rest, r"[\p{L}\p{N}]+", "")
-    return (in_words + F.length(F.regexp_replace(left, r"\s+", " ")) + F.regexp_count(left, F.lit("\u0002"))).cast("long")
+    other = F.length(F.regexp_replace(c, rf"[\p{{L}}\p{{N}}\p{{IsHan}}{SPACE}{EMOJI[1:-1]}]+", ""))
+    count = lambda pattern: F.regexp_count(c, F.lit(pattern))
+    return (in_words + count(r"\p{IsHan}") + 2 * count(EMOJI) + count(f"[{SPACE}]+") + other).cast("long")
 
 
 def canonical(c: Column) -> Column:
@@ -99,7 +114,7 @@ def redacted(c: Column) -> Column:
 
 def redacted_map(m: Column) -> Column:
     """Values of secret-looking keys are hidden, other values redacted."""
-    hidden = lambda k, v: F.when(k.rlike(r"(?i)(?:api[_-]?key|authorization|password|secret|token|private[_-]?key)"), F.lit("[REDACTED]")).otherwise(redacted(v))
+    hidden = lambda k, v: F.when(k.rlike(SECRET_KEY), F.lit("[REDACTED]")).otherwise(redacted(v))
     return F.transform_values(m, hidden)
 
 
@@ -119,14 +134,6 @@ def coverage(wanted: Column, have: Column) -> Column:
     return F.when(F.size(wanted) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(wanted, have)) / F.size(wanted))
 
 
-def match_score(wanted: Column, query: Column, title: Column, content: Column) -> Column:
-    """0 to 1: coverage of the query's terms by content (0.40) and title (0.20), the query as a phrase (0.25), all terms in content (0.15)."""
-    covered = coverage(wanted, words_and_bigrams_once(content))
-    phrase = F.lower(F.coalesce(content, F.lit(""))).contains(normalised(query)) | F.lower(F.coalesce(title, F.lit(""))).contains(normalised(query))
-    score = 0.4 * covered + 0.2 * coverage(wanted, words_and_bigrams_once(title)) + F.when(phrase, 0.25).otherwise(0.0) + F.when(covered == 1, 0.15).otherwise(0.0)
-    return F.when(F.size(wanted) == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), score))
-
-
 def words_and_bigrams_once(c: Column) -> Column:
     return F.array_distinct(terms(F.coalesce(c, F.lit(""))))
 
@@ -147,21 +154,27 @@ def context_slice(content: Column, start: Column, end: Column, around: int = 160
 
 @lru_cache(maxsize=1)
 def _token_pattern() -> regex.Pattern:
-    emoji = regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), EMOJI)
-    return regex.compile(rf"(?P<one>\p{{Han}})|(?P<two>{emoji})|(?P<word>(?:(?!\p{{Han}}|{emoji})[\p{{L}}\p{{N}}_])+)|(?P<space>\s+)|(?P<other>.)", regex.S)
+    emoji, space = (regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), c) for c in (EMOJI, f"[{SPACE}]"))
+    return regex.compile(rf"(?P<one>\p{{Han}})|(?P<two>{emoji})|(?P<word>(?:(?!\p{{Han}}|{emoji})[\p{{L}}\p{{N}}])+)|(?P<space>{space}+)|(?P<other>.)", regex.S)
 
 
 def _prefix(text: str, budget: int) -> str:
-    """The longest beginning of the text whose token estimate is within the budget."""
-    used = 0
+    """The longest beginning of the text whose token estimate is within the budget; of a text beyond it at most four code points a token."""
+    used, whole = 0, text
+    text = text[: 4 * budget + 1]
     for m in _token_pattern().finditer(text):
         kind, size = m.lastgroup, m.end() - m.start()
         cost = 2 if kind == "two" else -(-size // 4) if kind == "word" else 1
         if used + cost > budget:
             fits = 4 * (budget - used) if kind == "word" else 0
-            return text[: m.start() + fits]
+            return text[: min(m.start() + fits, 4 * budget)]
         used += cost
-    return text
+    return whole if len(whole) <= 4 * budget or _estimate(whole) <= budget else text[: 4 * budget]
+
+
+def _estimate(text: str) -> int:
+    cost = {"two": lambda n: 2, "word": lambda n: -(-n // 4)}
+    return sum(cost.get(m.lastgroup, lambda n: 1)(m.end() - m.start()) for m in _token_pattern().finditer(text))
 
 
 @F.arrow_udf(T.StringType())

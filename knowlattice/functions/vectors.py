@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .text import terms
+from .text import nfkc, terms
 
 HASH_DIMENSIONS = 32
 
@@ -49,18 +55,31 @@ def problem(v: Column, dimensions: int | None = None) -> Column:
     )
 
 
-def hash_embedding(docs: DataFrame, key: str, text: str, dimensions: int = HASH_DIMENSIONS) -> DataFrame:
+def hash_embedding(docs: DataFrame, key: str, text: str | None, dimensions: int = HASH_DIMENSIONS) -> DataFrame:
     """(key, embedding): each term adds 1 at one hashed place and half at another, with a hashed sign; length 1.
 
-    The sums are taken per (key, place) before the vector is put together, so no text's terms are gathered.
+    One narrow pass: each batch hashes its distinct terms and adds them up where they are. ``text`` None reads a column
+    ``terms`` that is there already. Every row has its own vector, whatever its key; a null text has a zero one.
     """
-    digest = F.sha2("term", 256)
-    number = lambda first: F.conv(F.substring(digest, first, 8), 16, 10).cast("long") % dimensions
-    sign = F.when(F.conv(F.substring(digest, 10, 1), 16, 10).cast("int") % 2 == 1, -1.0).otherwise(1.0)
-    exploded = docs.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").count()
-    parts = exploded.select(key, F.explode(F.array(F.struct(number(1).alias("at"), (sign * F.col("count")).alias("w")), F.struct(number(11).alias("at"), (sign * 0.5 * F.col("count")).alias("w")))).alias("p"))
-    sums = parts.groupBy(key, "p.at").agg(F.sum("p.w").alias("w"))
-    places = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("m"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0.0)))
-    zero = F.array_repeat(F.lit(0.0), dimensions)
-    return docs.select(key).join(places, key, "left").select(key, F.when(F.col("m").isNull(), zero).otherwise(unit(raw)).alias("embedding"))
+    made = docs.select(F.col(key).alias(key), (F.col("terms") if text is None else terms(nfkc(text))).alias("terms"))
+    schema = T.StructType([made.schema[0], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1).fill_null([])
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            coded = lists.flatten().dictionary_encode()
+            digest = [hashlib.sha256(t.encode()).hexdigest() for t in coded.dictionary.to_pylist()]
+            first, second = (np.array([int(d[a : a + 8], 16) % dimensions for d in digest], np.int64) for a in (0, 10))
+            sign = np.array([-1.0 if int(d[9], 16) % 2 else 1.0 for d in digest])
+            term = coded.indices.to_numpy()
+            sums = np.zeros((batch.num_rows, dimensions))
+            if len(term):
+                np.add.at(sums, (row, first[term]), sign[term])
+                np.add.at(sums, (row, second[term]), 0.5 * sign[term])
+            length = np.linalg.norm(sums, axis=1, keepdims=True)
+            vectors = sums / np.where(length > 0, length, 1)
+            at = pa.array(np.arange(batch.num_rows + 1) * dimensions, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(vectors.ravel()))], names=[key, "embedding"])
+
+    return made.mapInArrow(run, schema)

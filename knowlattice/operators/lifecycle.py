@@ -27,25 +27,29 @@ def progress_percent(ready: Column, total: Column) -> Column:
     return F.when(total > 0, F.floor(ready * 100 / total)).otherwise(0).cast("int")
 
 
-def run_status(total: Column, ready: Column, pending: Column, failed: Column, cancelled: Column) -> Column:
-    """One status for a run from its items' counts, the first that applies."""
+def run_status(run: Column, enabled: Column, total: Column, ready: Column, pending: Column, failed: Column, cancelled: Column, missing: Column) -> Column:
+    """One status for a run from its own and its items' counts, the first that applies."""
     part = F.when(ready > 0, "degraded")
     return (
-        F.when(pending > 0, "running")
+        F.when(run.isin("superseded", "failed"), run)
+        .when(~enabled, "disabled")
+        .when(run.isin("pending", "processing"), run)
+        .when(pending > 0, "running")
         .when((total > 0) & (ready == total), "completed")
-        .when(failed > 0, part.otherwise("failed"))
+        .when(failed + missing > 0, part.otherwise("failed"))
         .when(cancelled > 0, part.otherwise("cancelled"))
         .otherwise("integrity_warning")
     )
 
 
 def item_status(task: Column, embedding: Column, error: Column, right_size: Column) -> Column:
-    """An active task's status, else ready, else how the embedding failed, else missing."""
+    """An active task's status, else ready, else how the task or the embedding failed (by the task's error code), else missing."""
+    bad = F.coalesce(task == "failed", F.lit(False)) | F.coalesce(embedding == "failed", F.lit(False))
     return (
         F.when(task.isin("queued", "running", "retrying"), task)
         .when((embedding == "ready") & right_size, "ready")
-        .when((embedding == "failed") & (error == "TASK_CANCELLED"), "cancelled")
-        .when(embedding.isNotNull(), "failed")
+        .when(bad & (error == "TASK_CANCELLED"), "cancelled")
+        .when(bad, "failed")
         .otherwise("missing")
     )
 
@@ -72,6 +76,7 @@ def retention_candidates(runs: DataFrame, cutoff: str, active_tasks: DataFrame)
     return runs.where(old & rule).join(active_tasks.select("run_id"), "run_id", "left_anti")
 
 
+# Error codes after which a task is tried again.
 TRANSIENT = ["TRANSIENT_ERROR", "SQLITE_BUSY", "WORKER_INTERRUPTED", "PROCESSING_TIMEOUT"]
 
 

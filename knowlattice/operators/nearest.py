@@ -19,7 +19,7 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str, query:
 
     Blocks of at most ``BLOCK`` query vectors go to the executors; each task keeps its k best per query, so what is
     shuffled is k rows a task and query, whatever the number of vectors. Ties go by key. Rows without a vector, with
-    another length or values that aren't finite are not compared; a query without length is dropped, a row without has cosine 0.
+    another length or values that aren't finite are not compared; keys may be null or repeat; a query without length is dropped, a row without has cosine 0.
     """
     sc = vectors.sparkSession.sparkContext
     asked = queries.where(F.col(embedding).isNotNull()).select(query, F.col(embedding).cast("array<double>").alias("v")).orderBy(query)
@@ -39,8 +39,9 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str, query:
 
             def best(batches: Iterator[pa.RecordBatch], shared=shared, size=size) -> Iterator[pa.RecordBatch]:
                 ids, units = shared.value
-                kept = [(np.zeros(0), [])] * len(ids)
+                kept, batch_key = [(np.zeros(0), [])] * len(ids), None
                 for batch in batches:
+                    batch_key = batch.schema.field(0).type
                     lists = batch.column(1)
                     usable = np.flatnonzero(lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == size)
                     if not len(usable):
@@ -55,12 +56,12 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str, query:
                         old, names = kept[q]
                         values, names = np.concatenate([old, cosines[q]]), names + keys
                         if len(values) > k:
-                            order = sorted(range(len(values)), key=lambda j: (-round(values[j], 9), names[j])) if len(values) < 4 * k else _first(values, names, k)
+                            order = sorted(range(len(values)), key=lambda j: (-round(values[j], 9), _order(names[j]))) if len(values) < 4 * k else _first(values, names, k)
                             values, names = values[order[:k]], [names[j] for j in order[:k]]
                         kept[q] = (values, names)
                 for q, (values, names) in enumerate(kept):
                     if names:
-                        yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(names)), pa.array(names), pa.array(values, pa.float64())], names=[query, key, "cosine"])
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(names)), pa.array(names, batch_key), pa.array(values, pa.float64())], names=[query, key, "cosine"])
 
             parts.append(vectors.select(key, embedding).mapInArrow(best, schema))
     found = parts[0]
@@ -69,9 +70,14 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str, query:
     return top(found, k, query, key, "cosine")
 
 
+def _order(key) -> tuple:
+    """Null keys go first among ties."""
+    return (key is not None, key)
+
+
 def _first(values: np.ndarray, names: list, k: int) -> list[int]:
     """Places of the k best, ties by name: those at least as good as the k-th are sorted."""
     rounded = np.round(values, 9)
     limit = np.partition(rounded, len(rounded) - k)[len(rounded) - k]
     near = np.flatnonzero(rounded >= limit)
-    return sorted(near.tolist(), key=lambda j: (-rounded[j], names[j]))
+    return sorted(near.tolist(), key=lambda j: (-rounded[j], _order(names[j])))

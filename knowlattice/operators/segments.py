@@ -13,10 +13,32 @@ TARGET, OVERLAP = 384, 76
 # Patterns of line classes (the same in Java and RE2).
 FENCE = r"^\s*(?:```|~~~)"
 HEADING = r"^\s{0,3}#{1,6}\s+\S"
-NUMBERED = r"(?i)^\s*(?:\d+(?:\.\d+){0,5}[.)]?|(?:chapter|section|kapitel)\s+\d+)\s+\S+"
+NUMBERED = r"(?i)^\s*(?:\d+(?:\.\d+){0,5}[.)]?|第\s*[一二三四五六七八九十百千万\d]+\s*[章节]|(?:chapter|section|kapitel)\s+\d+)\s+\S+"
 RULE = r"^\s*[-*_](?:\s*[-*_]){2,}\s*$"
-CAPITALS = r"^[^a-z]*[A-Z][^a-z]*$"
-TABLE = r"^\s*\|.*\|\s*$|\s\|\s|\|.*\|"
+DASHES = r"^:?-{3,}:?$"
+
+
+def trimmed(line: Column) -> Column:
+    return F.regexp_replace(line, r"^\s+|\s+$", "")
+
+
+def cells(line: Column) -> Column:
+    """What the pipes of a line part, without one at either end."""
+    return F.split(F.regexp_replace(F.regexp_replace(trimmed(line), r"^\|", ""), r"\|$", ""), r"\|", -1)
+
+
+def is_table_row(line: Column) -> Column:
+    return line.contains("|") & (F.size(cells(line)) >= 2)
+
+
+def is_separator(line: Column) -> Column:
+    return is_table_row(line) & F.forall(cells(line), lambda c: trimmed(c).rlike(DASHES))
+
+
+def is_table_line(line: Column) -> Column:
+    """A row that looks like one of a table: a pipe at an end or between blanks, three cells, or a rule of dashes."""
+    t = trimmed(line)
+    return is_table_row(line) & (t.startswith("|") | t.endswith("|") | t.rlike(r"\s\|\s") | (F.size(cells(line)) >= 3) | is_separator(line))
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -27,32 +49,38 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def is_marker(line: Column) -> Column:
-    """Numbered headings, rules, and short lines in capitals."""
-    short = F.trim(line)
-    return line.rlike(NUMBERED) | line.rlike(RULE) | (F.length(short).between(4, 100) & short.rlike(CAPITALS))
+    """Numbered headings, rules, and lines of 4 to 100 characters in capitals, one of A to Z among them."""
+    short = trimmed(line)
+    capitals = F.length(short).between(4, 100) & short.rlike("[A-Z]") & (F.upper(short) == short)
+    return line.rlike(NUMBERED) | line.rlike(RULE) | capitals
 
 
 def classified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``lines`` with kind: code (fences and what they hold), heading, marker, table, text; and page_break."""
-    fence = F.col("line_text").rlike(FENCE)
+    """``lines`` with code (fences and what they hold) and, outside it and independent of each other, heading, marker, table and page_break.
+
+    ``kind`` is the first of these that holds, else text.
+    """
+    line, fence = F.col("line_text"), F.col("line_text").rlike(FENCE)
     upto = W.partitionBy(key).orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    code = fence | (F.sum(fence.cast("int")).over(upto) % 2 == 1)
-    kind = F.when(code, "code").when(F.col("line_text").rlike(HEADING), "heading").when(is_marker(F.col("line_text")), "marker").when(F.col("line_text").rlike(TABLE), "table").otherwise("text")
-    return lines(docs, key, text).withColumns({"kind": kind, "page_break": ~code & F.col("line_text").contains("\f")})
+    found = lines(docs, key, text).withColumn("code", fence | (F.sum(fence.cast("int")).over(upto) % 2 == 1))
+    out = lambda c: ~F.col("code") & c
+    found = found.withColumns({"heading": out(line.rlike(HEADING)), "marker": out(is_marker(line)), "table": out(is_table_line(line)), "page_break": out(line.contains("\f"))})
+    return found.withColumn("kind", F.when(F.col("code"), "code").when(F.col("heading"), "heading").when(F.col("marker"), "marker").when(F.col("table"), "table").otherwise("text"))
 
 
 def profile(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: lines of each kind, page breaks, code points, headings per code point."""
-    n = lambda kind: F.count_if(F.col("kind") == kind)
+    """Per document: its lines of each class (one line may count in several), page breaks, code points, headings per code point."""
     counted = classified(docs, key, text).groupBy(key).agg(
-        n("heading").alias("headings"), n("marker").alias("markers"), n("table").alias("table_lines"), n("code").alias("code_lines"),
+        F.count_if("heading").alias("headings"), F.count_if("marker").alias("markers"), F.count_if("table").alias("table_lines"), F.count_if("code").alias("code_lines"),
         F.count_if("page_break").alias("page_breaks"), (F.sum(F.length("line_text") + 1) - 1).alias("code_points"),
     )
     return counted.withColumn("density", F.when(F.col("code_points") > 0, F.col("headings") / F.col("code_points")).otherwise(0.0))
 
 
-def strategy(headings: Column, density: Column, markers: Column, page_breaks: Column) -> Column:
-    return F.when((headings >= 3) & (density > 0.005), "heading").when((markers >= 5) | (page_breaks > 0), "heuristic").otherwise("legacy")
+def strategy(headings: Column, density: Column, markers: Column, page_breaks: Column, parser_blocks: Column | None = None, parser_pages: Column | None = None, strong_blocks: Column | None = None) -> Column:
+    """How a text is cut: by a parser's blocks (a code, table or formula block, several blocks or several pages), headings, markers, or size."""
+    count = lambda c: F.lit(0) if c is None else F.coalesce(c, F.lit(0))
+    return F.when((count(strong_blocks) > 0) | (count(parser_blocks) > 1) | (count(parser_pages) > 1), "parser").when((headings >= 3) & (density > 0.005), "heading").when((markers >= 5) | (page_breaks > 0), "heuristic").otherwise("legacy")
 
 
 def sections(docs: DataFrame, starts: Column, key: str = "doc_id", text: str = "text") -> DataFrame:

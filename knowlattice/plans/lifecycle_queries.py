@@ -43,12 +43,15 @@ def progress_counts(spark, sf):
     return L.status_counts(table(spark, sf, "events").withColumnRenamed("user_id", "run"), ["run"], "event_type", _KINDS)
 
 
-@query(f"""WITH c AS ({_COUNTS}) SELECT run, CAST(floor(purchase * 100 / total) AS INTEGER) AS percent, CASE WHEN signup > 40 THEN 'running' WHEN total > 0 AND purchase = total THEN 'completed'
-  WHEN error > 0 THEN CASE WHEN purchase > 0 THEN 'degraded' ELSE 'failed' END WHEN click > 0 THEN CASE WHEN purchase > 0 THEN 'degraded' ELSE 'cancelled' END ELSE 'integrity_warning' END AS status FROM c""")
+@query(f"""WITH c AS ({_COUNTS}) SELECT run, CAST(floor(purchase * 100 / total) AS INTEGER) AS percent, CASE WHEN run % 11 = 0 THEN 'superseded' WHEN run % 11 = 1 THEN 'failed' WHEN run % 13 = 0 THEN 'disabled'
+  WHEN run % 11 = 2 THEN 'pending' WHEN run % 11 = 3 THEN 'processing' WHEN signup > 40 THEN 'running' WHEN total > 0 AND purchase = total THEN 'completed'
+  WHEN greatest(error - 20, 0) + greatest(view - 20, 0) > 0 THEN CASE WHEN purchase > 0 THEN 'degraded' ELSE 'failed' END WHEN click > 0 THEN CASE WHEN purchase > 0 THEN 'degraded' ELSE 'cancelled' END ELSE 'integrity_warning' END AS status FROM c""")
 def progress_status(spark, sf):
     c = L.status_counts(table(spark, sf, "events").withColumnRenamed("user_id", "run"), ["run"], "event_type", _KINDS)
-    pending = F.greatest(F.col("signup") - 40, F.lit(0))
-    return c.select("run", L.progress_percent(F.col("purchase"), F.col("total")).alias("percent"), L.run_status(F.col("total"), F.col("purchase"), pending, F.col("error"), F.col("click")).alias("status"))
+    over = lambda name, least: F.greatest(F.col(name) - least, F.lit(0))
+    run = F.get(F.array(*map(F.lit, ["superseded", "failed", "pending", "processing"])), (F.col("run") % 11).cast("int"))
+    status = L.run_status(F.coalesce(run, F.lit("indexed")), F.col("run") % 13 != 0, F.col("total"), F.col("purchase"), over("signup", 40), over("error", 20), F.col("click"), over("view", 20))
+    return c.select("run", L.progress_percent(F.col("purchase"), F.col("total")).alias("percent"), status.alias("status"))
 
 
 @query("SELECT 'E' || CAST(event_id % 9 AS VARCHAR) AS code, event_type AS provider, count(*) AS n FROM events WHERE event_type != 'view' GROUP BY ALL")
@@ -57,16 +60,16 @@ def error_groups(spark, sf):
     return table(spark, sf, "events").where("event_type != 'view'").groupBy(code.alias("code"), F.col("event_type").alias("provider")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "code", "provider")
 
 
-_TASK = ["queued", "running", "retrying", "succeeded"]
+_TASK = ["queued", "running", "retrying", "succeeded", "failed"]
 
 
-@query("""WITH t AS (SELECT event_id, ['queued', 'running', 'retrying', 'succeeded'][CAST(event_id % 4 AS INTEGER) + 1] AS task, CASE event_id % 3 WHEN 0 THEN 'ready' WHEN 1 THEN 'failed' END AS embedding, CASE WHEN event_id % 6 = 1 THEN 'TASK_CANCELLED' ELSE 'OTHER' END AS error, event_id % 5 != 0 AS fits FROM events)
-SELECT event_id, CASE WHEN task IN ('queued', 'running', 'retrying') THEN task WHEN embedding = 'ready' AND fits THEN 'ready' WHEN embedding = 'failed' AND error = 'TASK_CANCELLED' THEN 'cancelled' WHEN embedding IS NOT NULL THEN 'failed' ELSE 'missing' END AS status FROM t""")
+@query("""WITH t AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'retrying' WHEN 3 THEN 'succeeded' WHEN 4 THEN 'failed' END AS task, CASE event_id % 3 WHEN 0 THEN 'ready' WHEN 1 THEN 'failed' END AS embedding, event_id % 2 = 1 AS stopped, event_id % 5 != 0 AS fits FROM events)
+SELECT event_id, CASE WHEN task IN ('queued', 'running', 'retrying') THEN task WHEN embedding = 'ready' AND fits THEN 'ready' WHEN task = 'failed' OR embedding = 'failed' THEN CASE WHEN stopped THEN 'cancelled' ELSE 'failed' END ELSE 'missing' END AS status FROM t""")
 def item_status(spark, sf):
     e = F.col("event_id")
-    task = F.get(F.array(*map(F.lit, _TASK)), (e % 4).cast("int"))
+    task = F.get(F.array(*map(F.lit, _TASK)), (e % 7).cast("int"))
     embedding = F.when(e % 3 == 0, "ready").when(e % 3 == 1, "failed")
-    error = F.when(e % 6 == 1, "TASK_CANCELLED").otherwise("OTHER")
+    error = F.when(e % 2 == 1, "TASK_CANCELLED").otherwise("OTHER")
     return table(spark, sf, "events").select("event_id", L.item_status(task, embedding, error, e % 5 != 0).alias("status"))
 
 

@@ -32,8 +32,12 @@ scored AS (SELECT item_id, doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS keyword_rank FROM scored)"""
 
 
+def _scored(spark, sf) -> DataFrame:
+    return keyword.bm25(keyword.index(table(spark, sf, "documents")), _queries(spark, sf))
+
+
 def _ranked(spark, sf, k: int) -> DataFrame:
-    return keyword.top(keyword.bm25(table(spark, sf, "documents"), _queries(spark, sf)), k)
+    return keyword.top(_scored(spark, sf), k).withColumnRenamed("key", "doc_id")
 
 
 @query(f"WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents), tf AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(t) AS term FROM d)) SELECT term, count(*) AS df FROM tf GROUP BY term")
@@ -46,21 +50,38 @@ def bm25_topk(spark, sf):
     return _ranked(spark, sf, 10).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-_MATCH = f"""{_Q}, tf AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents)),
-hits AS (SELECT item_id, doc_id, n, count(*) AS matched FROM tf JOIN (SELECT item_id, len(terms) AS n, unnest(terms) AS term FROM q) USING (term) GROUP BY ALL),
-matches AS (SELECT item_id, doc_id, matched, contains(trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(q.text), '\\s+', ' ', 'g'))) AS phrase, matched / n AS c, matched = n AS every FROM hits JOIN documents d USING (doc_id) JOIN q USING (item_id)),
-match_scores AS (SELECT item_id, doc_id, matched, phrase, least(1.0, 0.4 * c + CASE WHEN phrase THEN 0.25 ELSE 0 END + CASE WHEN every THEN 0.15 ELSE 0 END) AS match_score FROM matches)"""
+def _once_sql(c: str) -> str:
+    return f"list_distinct(list_concat({words_sql(c)}, {bigrams_sql(c)}))"
+
+
+_FLAT = lambda c: f"trim(regexp_replace(lower({c}), '\\s+', ' ', 'g'))"
+_TITLE = "substring(split_part({0}, chr(10), 1), 1, 80)"
+_HITS = f"""hits AS (SELECT item_id, doc_id, n, count(*) AS matched FROM (SELECT DISTINCT doc_id, term FROM tf) JOIN (SELECT item_id, len(terms) AS n, unnest(terms) AS term FROM q) USING (term) GROUP BY ALL)"""
+_MATCH = f"""{_HITS}, matches AS (SELECT item_id, doc_id, keyword_rank, matched, contains({_FLAT('d.text')}, {_FLAT('q.text')}) AS phrase, matched / n AS c, matched = n AS every,
+  len(list_intersect(terms, {_once_sql(_TITLE.format('d.text'))})) / n AS t FROM hits JOIN ranked USING (item_id, doc_id) JOIN documents d USING (doc_id) JOIN q USING (item_id) WHERE keyword_rank <= 400),
+match_scores AS (SELECT item_id, doc_id, keyword_rank, matched, phrase, least(1.0, 0.4 * c + 0.2 * t + CASE WHEN phrase THEN 0.25 ELSE 0 END + CASE WHEN every THEN 0.15 ELSE 0 END) AS match_score FROM matches)"""
+
+
+def _titled(spark, sf) -> DataFrame:
+    """Documents with a title: the first 80 characters of their first line."""
+    return table(spark, sf, "documents").select("doc_id", "text", F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"))
+
 
+def _matched(spark, sf, k: int) -> DataFrame:
+    found = keyword.top(_scored(spark, sf), k, rank="keyword_rank")
+    return keyword.match_scores(found, _titled(spark, sf), _queries(spark, sf), title="title").withColumnRenamed("key", "doc_id")
 
-@query(f"WITH {_MATCH} SELECT item_id, doc_id, round(match_score, 6) AS match_score, matched, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(match_score, 9) DESC, doc_id) AS INTEGER) AS rank FROM match_scores) WHERE rank <= 10")
+
+@query(f"WITH {_BM25}, {_MATCH} SELECT item_id, doc_id, round(match_score, 6) AS match_score, matched, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(match_score, 9) DESC, doc_id) AS INTEGER) AS rank FROM match_scores WHERE keyword_rank <= 200) WHERE rank <= 10")
 def match_score_topk(spark, sf):
-    found = keyword.match_scores(table(spark, sf, "documents"), _queries(spark, sf))
-    return keyword.top(found, 10, score="match_score").select("item_id", "doc_id", F.round("match_score", 6).alias("match_score"), "matched", "rank")
+    """The 200 best by BM25, ordered anew by match score."""
+    found = keyword.top(_matched(spark, sf, 200), 10, key="doc_id", score="match_score")
+    return found.select("item_id", "doc_id", F.round("match_score", 6).alias("match_score"), "matched", "rank")
 
 
-@query(f"WITH {_MATCH} SELECT item_id, doc_id FROM match_scores WHERE phrase")
+@query(f"WITH {_BM25}, {_HITS} SELECT item_id, doc_id FROM hits JOIN documents d USING (doc_id) JOIN q USING (item_id) WHERE contains({_FLAT('d.text')}, {_FLAT('q.text')})")
 def phrase_hits(spark, sf):
-    return keyword.match_scores(table(spark, sf, "documents"), _queries(spark, sf)).where("phrase").select("item_id", "doc_id")
+    return keyword.phrase_hits(_scored(spark, sf), table(spark, sf, "documents"), _queries(spark, sf))
 
 
 @query(rf"""WITH {_BM25}, best AS (SELECT item_id, doc_id FROM ranked WHERE keyword_rank <= 3),
@@ -123,19 +144,23 @@ DIMS = 64
 _VECTOR = f"""dv AS {_hash_sql('documents', 'doc_id', DIMS)}, qt AS (SELECT item_id, substring(text, 1, {QUERY_CHARS}) AS text FROM benchmark), qv AS {_hash_sql('qt', 'item_id', DIMS)},
 cosines AS (SELECT item_id, doc_id, CASE WHEN list_max(list_transform(dv.embedding, lambda x: abs(x))) = 0 THEN 0.0 ELSE list_cosine_similarity(qv.embedding, dv.embedding) END AS cosine FROM qv, dv WHERE list_max(list_transform(qv.embedding, lambda x: abs(x))) > 0),
 vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(cosine, 9) DESC, doc_id) AS vector_rank FROM cosines) WHERE vector_rank <= 200)"""
-_FUSED = f"""{_BM25}, {_VECTOR}, {_MATCH.replace(_Q + ', tf AS', 'tf2 AS').replace('FROM tf JOIN', 'FROM tf2 JOIN')},
-kw AS (SELECT item_id, doc_id, keyword_rank, match_score AS keyword_score FROM ranked JOIN match_scores USING (item_id, doc_id) WHERE keyword_rank <= 400),
+_FUSED = f"""{_BM25}, {_VECTOR}, {_MATCH},
+kw AS (SELECT item_id, doc_id, keyword_rank, match_score AS keyword_score FROM match_scores),
 fused AS (SELECT item_id, doc_id, keyword_rank, keyword_score, vector_rank, cosine, coalesce(1.0 / (10 + keyword_rank), 0.0) + coalesce(1.0 / (10 + vector_rank), 0.0) AS rrf, coalesce(keyword_score, greatest(0.0, least(1.0, (cosine + 1) / 2)), 0.0) AS normalised FROM kw FULL JOIN vec USING (item_id, doc_id)),
 placed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(rrf, 12) DESC, doc_id) AS rank FROM fused) WHERE rank <= 10)"""
 
 
 def fused(spark, sf, k: int = 10) -> DataFrame:
-    """Hybrid results for each benchmark query: BM25 ranks with match scores, cosine of hash embeddings, fused."""
-    docs, asked = table(spark, sf, "documents"), _queries(spark, sf)
-    scores = keyword.match_scores(docs, asked).select("item_id", "doc_id", F.col("match_score").alias("keyword_score"))
-    words = keyword.top(keyword.bm25(docs, asked), 400, rank="keyword_rank").select("item_id", "doc_id", "keyword_rank").join(scores, ["item_id", "doc_id"])
-    vectors = V.hash_embedding(docs, "doc_id", "text", DIMS)
-    near = nearest.cosine_topk(vectors, V.hash_embedding(asked, "item_id", "text", DIMS), 200, "doc_id", "item_id").withColumnRenamed("rank", "vector_rank")
+    """Hybrid results for each benchmark query: BM25 ranks with match scores, cosine of hash embeddings, fused.
+
+    Texts are taken apart once, into an index that BM25 and the embeddings both read.
+    """
+    asked = _queries(spark, sf)
+    indexed = keyword.index(table(spark, sf, "documents"))
+    found = keyword.top(keyword.bm25(indexed, asked), 400, rank="keyword_rank")
+    words = keyword.match_scores(found, _titled(spark, sf), asked, title="title").select("item_id", F.col("key").alias("doc_id"), "keyword_rank", F.col("match_score").alias("keyword_score"))
+    vectors = V.hash_embedding(indexed.select(F.col("key").alias("doc_id"), "terms"), "doc_id", None, DIMS)
+    near = nearest.cosine_topk(vectors, V.hash_embedding(asked.select("item_id", "text"), "item_id", "text", DIMS), 200, "doc_id", "item_id").withColumnRenamed("rank", "vector_rank")
     return fusion.fuse(words, near, k)
 
 
@@ -173,14 +198,11 @@ def hybrid_search(spark, sf):
 
 
 def qrels(spark, sf) -> DataFrame:
-    """(item_id, doc_id, grade): 2 holds the whole item, 1 its first 40 characters, 0 stated negatives.
-
-    The items are a stated, small set that each document is held against where it lies.
-    """
-    asked = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
-    pairs = table(spark, sf, "documents").select("doc_id", "text").crossJoin(asked)
-    grade = F.when(F.contains("text", "item"), 2).when(F.contains("text", F.substring("item", 1, 40)), 1).when(F.col("doc_id") % 97 == F.col("item_id") % 97, 0)
-    return pairs.select("item_id", "doc_id", grade.alias("grade")).where("grade is not null")
+    """(item_id, doc_id, grade): 2 holds the whole item, 1 its first 40 characters, 0 stated negatives."""
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    held = evaluation.passages(docs, items.select("item_id", F.col("text").alias("item")), 40)
+    stated = docs.select("doc_id", (F.col("doc_id") % 97).alias("r")).join(items.select("item_id", (F.col("item_id") % 97).alias("r")), "r").select("item_id", "doc_id", F.lit(0).alias("grade"))
+    return held.unionByName(stated).groupBy("item_id", "doc_id").agg(F.max("grade").alias("grade"))
 
 
 _QRELS = """qrels AS (SELECT * FROM (SELECT item_id, doc_id, CASE WHEN contains(d.text, b.text) THEN 2 WHEN contains(d.text, substring(b.text, 1, 40)) THEN 1 WHEN doc_id % 97 = item_id % 97 THEN 0 END AS grade FROM documents d, benchmark b) WHERE grade IS NOT NULL)"""
@@ -260,17 +282,28 @@ def channel_coverage(spark, sf):
     return fused(spark, sf).agg(F.count("*").alias("returned"), F.count_if(F.col("keyword_rank").isNull()).alias("without_keyword"), F.count_if(F.col("vector_rank").isNull()).alias("without_vector"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS item_id, 'x' AS rule WHERE false")
-def v_ranking(spark, sf):
-    return evaluation.ranking_violations(_ranked(spark, sf, 10))
+_BENT = """bent AS (SELECT item_id, CASE WHEN item_id % 5 = 0 AND keyword_rank = 3 THEN 4 ELSE keyword_rank END AS rank, CASE WHEN item_id % 7 = 0 AND keyword_rank <= 2 THEN -1 ELSE doc_id END AS doc_id, CASE WHEN item_id % 3 = 0 AND keyword_rank = 1 THEN NULL ELSE score END AS score FROM ranked WHERE keyword_rank <= 10)"""
 
 
-@query(rf"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(text, '\n'), lambda l: trim(l) != '') AS lines FROM documents), b AS (SELECT doc_id, unnest(lines) AS line, CAST(unnest(range(len(lines))) AS INTEGER) AS block FROM t),
-q AS (SELECT {query_terms_sql("text")} AS terms FROM benchmark WHERE item_id = 0) SELECT doc_id, block FROM b, q WHERE len(list_intersect(terms, {words_sql("line")})) > 0""")
+@query(f"""WITH {_BM25}, {_BENT}, per AS (SELECT item_id, count(*) AS n, count(DISTINCT doc_id) AS ids, count(DISTINCT rank) AS ranks, count(score) AS scores FROM bent GROUP BY item_id)
+SELECT item_id, 'duplicate_id' AS rule FROM per WHERE ids < n UNION ALL SELECT item_id, 'rank_gap' FROM per WHERE ranks < n UNION ALL SELECT item_id, 'score_not_finite' FROM per WHERE scores < n""")
+def v_ranking(spark, sf):
+    """The rules that a ranking with planted faults breaks."""
+    item, rank = F.col("item_id"), F.col("rank")
+    bent = _ranked(spark, sf, 10).select(
+        "item_id",
+        F.when((item % 5 == 0) & (rank == 3), 4).otherwise(rank).alias("rank"),
+        F.when((item % 7 == 0) & (rank <= 2), -1).otherwise(F.col("doc_id")).alias("doc_id"),
+        F.when((item % 3 == 0) & (rank == 1), F.lit(None).cast("double")).otherwise(F.col("score")).alias("score"),
+    )
+    return evaluation.ranking_violations(bent)
+
+
+@query()
 def matched_blocks(spark, sf):
-    """Blocks (lines) of documents that hold a term of the first query."""
-    asked = table(spark, sf, "benchmark").where("item_id = 0").select(F.explode(X.query_terms(F.col("text"))).alias("term"))
+    """(item_id, doc_id, block): the blocks (lines) of all documents that hold a term of each benchmark query."""
+    asked = _queries(spark, sf).select("item_id", F.explode("terms").alias("term"))
     lines = F.filter(F.split("text", "\n"), lambda l: F.trim(l) != "")
     blocks = table(spark, sf, "documents").select("doc_id", F.posexplode(lines).alias("block", "line"))
-    found = blocks.select("doc_id", "block", F.explode(F.array_distinct(X.words(F.col("line")))).alias("term")).join(asked, "term", "left_semi")
-    return found.select("doc_id", "block").distinct()
+    found = blocks.select("doc_id", "block", F.explode(F.array_distinct(X.terms(F.col("line")))).alias("term")).join(asked, "term")
+    return found.select("item_id", "doc_id", "block").distinct()

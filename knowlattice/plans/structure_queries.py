@@ -11,9 +11,10 @@ from ..operators import segments as S
 from ..sources.tables import table
 from .registry import query
 from .search_queries import _BM25, _ranked
+from .text_queries import est_tokens_sql
 
 #: Markdown put after every third text, so that each class of line occurs.
-TAIL = "\n# Alpha\n```py\n# none\n```\n## Beta\n| a | b |\n|---|---|\n1.2 Numbered part\nALL CAPITALS HERE\n---\n### Gamma"
+TAIL = "\n# Alpha\n```py\n# none\n```\n## Beta\n| a | b |\n|---|---|\n1.2 Numbered part\nALL CAPITALS HERE\n---\n| A1 | B2 |\nABC é DEF\n第三章 Titel\n### Gamma"
 _TAIL = "'" + TAIL.replace("\n", "' || chr(10) || '") + "'"
 
 
@@ -23,13 +24,17 @@ def _marked(spark, sf) -> DataFrame:
 
 
 _UPTO = "OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND"
-_LINES = f"""md AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || {_TAIL} ELSE text END AS text FROM documents),
+_LINES = rf"""md AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || {_TAIL} ELSE text END AS text FROM documents),
 ln AS (SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS line, unnest(l) AS line_text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM md)),
 rec AS (SELECT *, CAST(coalesce(sum(length(line_text) + 1) {_UPTO} 1 PRECEDING), 0) AS BIGINT) AS start FROM ln),
-fenced AS (SELECT *, sum(CASE WHEN regexp_matches(line_text, '{S.FENCE}') THEN 1 ELSE 0 END) {_UPTO} CURRENT ROW) % 2 = 1 OR regexp_matches(line_text, '{S.FENCE}') AS code FROM rec),
-cls AS (SELECT *, CASE WHEN code THEN 'code' WHEN regexp_matches(line_text, '{S.HEADING}') THEN 'heading'
-  WHEN regexp_matches(line_text, '{S.NUMBERED}') OR regexp_matches(line_text, '{S.RULE}') OR (length(trim(line_text)) BETWEEN 4 AND 100 AND regexp_matches(trim(line_text), '{S.CAPITALS}')) THEN 'marker'
-  WHEN regexp_matches(line_text, '{S.TABLE}') THEN 'table' ELSE 'text' END AS kind, NOT code AND contains(line_text, chr(12)) AS page_break FROM fenced)"""
+fenced AS (SELECT *, sum(CASE WHEN regexp_matches(line_text, '^\s*(```|~~~)') THEN 1 ELSE 0 END) {_UPTO} CURRENT ROW) % 2 = 1 OR regexp_matches(line_text, '^\s*(```|~~~)') AS code FROM rec),
+sorted AS (SELECT *, NOT code AND regexp_matches(line_text, '^\s{{0,3}}#{{1,6}}\s+\S') AS heading,
+  NOT code AND (regexp_matches(line_text, '(?i)^\s*(\d+(\.\d+){{0,5}}[.)]?|第\s*[一二三四五六七八九十百千万\d]+\s*[章节]|(chapter|section|kapitel)\s+\d+)\s+\S+') OR regexp_matches(line_text, '^\s*[-*_](\s*[-*_]){{2,}}\s*$')
+    OR (length(t) BETWEEN 4 AND 100 AND regexp_matches(t, '[A-Z]') AND t = upper(t))) AS marker,
+  NOT code AND contains(t, '|') AND len(c) >= 2 AND (t[1] = '|' OR t[-1] = '|' OR regexp_matches(t, '\s\|\s') OR len(c) >= 3 OR len(list_filter(c, lambda x: NOT regexp_matches(trim(x), '^:?-{{3,}}:?$'))) = 0) AS table_,
+  NOT code AND contains(line_text, chr(12)) AS page_break
+  FROM (SELECT *, string_split(regexp_replace(regexp_replace(t, '^\|', ''), '\|$', ''), '|') AS c FROM (SELECT *, regexp_replace(line_text, '^\s+|\s+$', '', 'g') AS t FROM fenced))),
+cls AS (SELECT *, CASE WHEN code THEN 'code' WHEN heading THEN 'heading' WHEN marker THEN 'marker' WHEN table_ THEN 'table' ELSE 'text' END AS kind FROM sorted)"""
 
 
 @query(f"WITH {_LINES} SELECT doc_id, line, start, md5(line_text) AS h FROM rec")
@@ -37,8 +42,8 @@ def line_records(spark, sf):
     return S.lines(_marked(spark, sf)).select("doc_id", "line", "start", F.md5("line_text").alias("h"))
 
 
-_PROFILE = f"""{_LINES}, prof AS (SELECT doc_id, count(*) FILTER (kind = 'heading') AS headings, count(*) FILTER (kind = 'marker') AS markers, count(*) FILTER (kind = 'table') AS table_lines,
-count(*) FILTER (kind = 'code') AS code_lines, count(*) FILTER (page_break) AS page_breaks, CAST(sum(length(line_text) + 1) - 1 AS BIGINT) AS code_points FROM cls GROUP BY doc_id)"""
+_PROFILE = f"""{_LINES}, prof AS (SELECT doc_id, count(*) FILTER (heading) AS headings, count(*) FILTER (marker) AS markers, count(*) FILTER (table_) AS table_lines,
+count(*) FILTER (code) AS code_lines, count(*) FILTER (page_break) AS page_breaks, CAST(sum(length(line_text) + 1) - 1 AS BIGINT) AS code_points FROM cls GROUP BY doc_id)"""
 
 
 @query(f"WITH {_PROFILE} SELECT *, round(CASE WHEN code_points > 0 THEN headings / code_points ELSE 0.0 END, 6) AS density FROM prof")
@@ -133,12 +138,12 @@ def budget_split(spark, sf):
 
 
 BUDGET = 3200
-_SIZED = f"{_BM25}, sizes AS (SELECT item_id, doc_id, keyword_rank AS rank, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM ranked JOIN documents USING (doc_id) WHERE keyword_rank <= 10), run AS (SELECT *, coalesce(sum(tokens + 1) OVER (PARTITION BY item_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sizes)"
+_SIZED = f"{_BM25}, sizes AS (SELECT item_id, doc_id, keyword_rank AS rank, {est_tokens_sql('text')} AS tokens FROM ranked JOIN documents USING (doc_id) WHERE keyword_rank <= 10), run AS (SELECT *, coalesce(sum(tokens + 1) OVER (PARTITION BY item_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sizes)"
 
 
 def _sized(spark, sf) -> DataFrame:
     """The ten best documents of each query with their size and what those before them and a separator each take."""
-    docs = table(spark, sf, "documents").select("doc_id", F.ceil(F.length("text") / 4).alias("tokens"))
+    docs = table(spark, sf, "documents").select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"))
     before = W.partitionBy("item_id").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
     return _ranked(spark, sf, 10).select("item_id", "doc_id", "rank").join(docs, "doc_id").withColumn("before", F.coalesce(F.sum(F.col("tokens") + 1).over(before), F.lit(0)))
 

@@ -47,12 +47,15 @@ def tok_query_terms(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_join(X.query_terms(F.col("text")), " ").alias("terms"))
 
 
-_REST = r"regexp_replace(regexp_replace(coalesce(text, ''), '\p{Han}', chr(1), 'g'), '" + X.EMOJI.replace("'", "''") + r"', chr(2), 'g')"
-_LEFT = rf"regexp_replace({_REST}, '[\p{{L}}\p{{N}}]+', '', 'g')"
+def est_tokens_sql(c: str) -> str:
+    c, inner = f"coalesce({c}, '')", X.EMOJI[1:-1]
+    words = rf"list_transform(regexp_extract_all(regexp_replace({c}, '[\p{{Han}}{inner}]', chr(1), 'g'), '[\p{{L}}\p{{N}}]+'), lambda w: ceil(length(w) / 4.0))"
+    n = lambda pattern: f"len(regexp_extract_all({c}, '{pattern}'))"
+    han = r"\p{Han}"
+    return rf"CAST(coalesce(list_sum({words}), 0) + {n(han)} + 2 * {n(X.EMOJI)} + {n(f'[{X.SPACE}]+')} + length(regexp_replace({c}, '[\p{{L}}\p{{N}}\p{{Han}}{X.SPACE}{inner}]+', '', 'g')) AS BIGINT)"
 
 
-@query(rf"""SELECT doc_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all({_REST}, '[\p{{L}}\p{{N}}]+'), lambda w: ceil(length(w) / 4.0))), 0)
-  + length(regexp_replace({_LEFT}, '\s+', ' ', 'g')) + len(regexp_extract_all({_LEFT}, chr(2))) AS BIGINT) AS tokens FROM documents""")
+@query(f"SELECT doc_id, {est_tokens_sql('text')} AS tokens FROM documents")
 def est_tokens(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"))
 
@@ -157,11 +160,13 @@ def pdf_literals(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.regexp_replace(found, r"\\(.)", "$1").alias("literal"))
 
 
-@query()
+@query(f"SELECT doc_id, true AS within, true AS begins, true AS longest FROM documents WHERE {est_tokens_sql('text')} > 100")
 def prefix_truncate(spark, sf):
-    """Texts cut to 100 estimated tokens, and what the cut comes to."""
-    cut = table(spark, sf, "documents").select("doc_id", X.truncate_to_tokens(F.col("text"), F.lit(100)).alias("prefix"))
-    return cut.withColumn("tokens", X.estimate_tokens(F.col("prefix")))
+    """Texts of more than 100 estimated tokens cut to that: the cut is within, begins the text, and one more character exceeds it."""
+    texts = table(spark, sf, "documents").select("doc_id", "text").where(X.estimate_tokens(F.col("text")) > 100)
+    cut = texts.withColumn("prefix", X.truncate_to_tokens(F.col("text"), F.lit(100)))
+    more = F.substr("text", F.lit(1), F.length("prefix") + 1)
+    return cut.select("doc_id", (X.estimate_tokens(F.col("prefix")) <= 100).alias("within"), F.col("text").startswith(F.col("prefix")).alias("begins"), ((X.estimate_tokens(more) > 100) | (F.length("prefix") == 400)).alias("longest"))
 
 
 @query(f"""SELECT a.item_id, array_to_string(list_filter(wa, lambda x, i: list_contains(wb, x)), ' ') AS matched, array_to_string(list_filter(wa, lambda x, i: NOT list_contains(wb, x)), ' ') AS missing
