@@ -104,6 +104,16 @@ def link_targets(markdown: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(markdown, F.lit(r"(?i)wiki://([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})"), F.lit(1)), F.lower))
 
 
+def wiki_links(markdown: Column) -> Column:
+    """All identifiers of wiki://id links as they are written, repeats kept."""
+    return F.regexp_extract_all(markdown, F.lit(r"(?i)wiki://([0-9a-f-]{36})"), F.lit(1))
+
+
+def embedding_input(header: Column, content: Column, between: str = "\n\n") -> Column:
+    """What is embedded: the parts that are not empty, with ``between`` them."""
+    return F.concat_ws(between, F.nullif(header, F.lit("")), F.nullif(content, F.lit("")))
+
+
 def hrefs(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"""(?i)href\s*=\s*"([^"]*)\""""), F.lit(1))
 
@@ -158,7 +168,7 @@ def _token_pattern() -> regex.Pattern:
     return regex.compile(rf"(?P<one>\p{{Han}})|(?P<two>{emoji})|(?P<word>(?:(?!\p{{Han}}|{emoji})[\p{{L}}\p{{N}}])+)|(?P<space>{space}+)|(?P<other>.)", regex.S)
 
 
-def _prefix(text: str, budget: int) -> str:
+def prefix(text: str, budget: int) -> str:
     """The longest beginning of the text whose token estimate is within the budget; of a text beyond it at most four code points a token."""
     used, whole = 0, text
     text = text[: 4 * budget + 1]
@@ -169,10 +179,11 @@ def _prefix(text: str, budget: int) -> str:
             fits = 4 * (budget - used) if kind == "word" else 0
             return text[: min(m.start() + fits, 4 * budget)]
         used += cost
-    return whole if len(whole) <= 4 * budget or _estimate(whole) <= budget else text[: 4 * budget]
+    return whole if len(whole) <= 4 * budget or estimate(whole) <= budget else text[: 4 * budget]
 
 
-def _estimate(text: str) -> int:
+def estimate(text: str) -> int:
+    """``estimate_tokens`` of one text."""
     cost = {"two": lambda n: 2, "word": lambda n: -(-n // 4)}
     return sum(cost.get(m.lastgroup, lambda n: 1)(m.end() - m.start()) for m in _token_pattern().finditer(text))
 
@@ -181,4 +192,4 @@ def _estimate(text: str) -> int:
 def truncate_to_tokens(texts: pa.Array, budgets: pa.Array) -> pa.Array:
     """Each text's longest beginning within its budget of estimated tokens; null stays null."""
     pairs = zip(texts.to_pylist(), budgets.to_pylist())
-    return pa.array([None if t is None or b is None else _prefix(t, max(b, 0)) for t, b in pairs], pa.string())
+    return pa.array([None if t is None or b is None else prefix(t, max(b, 0)) for t, b in pairs], pa.string())

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import spread
 from .text import nfkc, terms
 
 HASH_DIMENSIONS = 32
@@ -61,7 +62,7 @@ def hash_embedding(docs: DataFrame, key: str, text: str | None, dimensions: int
     One narrow pass: each batch hashes its distinct terms and adds them up where they are. ``text`` None reads a column
     ``terms`` that is there already. Every row has its own vector, whatever its key; a null text has a zero one.
     """
-    made = docs.select(F.col(key).alias(key), (F.col("terms") if text is None else terms(nfkc(text))).alias("terms"))
+    made = spread(docs).select(F.col(key).alias(key), (F.col("terms") if text is None else terms(nfkc(text))).alias("terms"))
     schema = T.StructType([made.schema[0], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

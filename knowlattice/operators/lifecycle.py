@@ -76,6 +76,49 @@ def retention_candidates(runs: DataFrame, cutoff: str, active_tasks: DataFrame)
     return runs.where(old & rule).join(active_tasks.select("run_id"), "run_id", "left_anti")
 
 
+def with_active_parent(rows: DataFrame, key: str, parent: str, active: Column, keep: Sequence[str]) -> DataFrame:
+    """Each row with its parent's ``keep`` columns (parent_...), null where it has none that is ``active``."""
+    parents = rows.where(active).select(F.col(key).alias(parent), *[F.col(c).alias(f"parent_{c}") for c in keep])
+    return rows.join(parents, parent, "left")
+
+
+# Page types that are made by the system.
+SYSTEM_PAGES = ["index", "log"]
+
+
+def active_pages(pages: DataFrame, base: object = None, space: object = None) -> DataFrame:
+    """Pages (status, page_type, base, space, version, current_version) that are active, not the system's, in their current version, and in the base and space if these are given."""
+    found = pages.where((F.col("status") == "active") & ~F.col("page_type").isin(*SYSTEM_PAGES) & (F.col("version") == F.col("current_version")))
+    found = found if base is None else found.where(F.col("base") == F.lit(base))
+    return found if space is None else found.where(F.col("space") == F.lit(space))
+
+
+def in_base(pages: DataFrame, chunks: DataFrame, base: object, space: object = None) -> DataFrame:
+    """(channel, id): active pages of the base, and of the space if one is given, and all chunks of the base: a space never narrows these."""
+    wiki = active_pages(pages, base, space).select(F.lit("wiki").alias("channel"), F.col("page_id").alias("id"))
+    return wiki.unionByName(chunks.where(F.col("base") == F.lit(base)).select(F.lit("raw").alias("channel"), F.col("chunk_id").alias("id")))
+
+
+def valid_edges(edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """Edges (source, source_version, target) whose source is still in that version, and whose ends are active pages of one base."""
+    ends = pages.where((F.col("status") == "active") & ~F.col("page_type").isin(*SYSTEM_PAGES))
+    of = lambda name: ends.select(F.col("page_id").alias(name), F.col("current_version").alias(f"_{name}_version"), F.col("base").alias(f"_{name}_base"))
+    met = edges.join(of("source"), "source").join(of("target"), "target")
+    return met.where((F.col("source_version") == F.col("_source_version")) & (F.col("_source_base") == F.col("_target_base"))).select(*edges.columns)
+
+
+def swap_generation(runs: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The runs (keys, run_id, status) after ``new`` (keys, run_id) became active: what was active before is superseded."""
+    marked = runs.join(new.select(*keys, F.col("run_id").alias("_new")), [*keys], "left")
+    status = F.when(F.col("run_id") == F.col("_new"), "active").when(F.col("_new").isNotNull() & (F.col("status") == "active"), "superseded").otherwise(F.col("status"))
+    return marked.withColumn("status", status).drop("_new")
+
+
+def common_columns(source: DataFrame, target: DataFrame) -> DataFrame:
+    """The source's rows in the target's columns: those it has are copied, the others null."""
+    return source.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in source.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in target.schema])
+
+
 # Error codes after which a task is tried again.
 TRANSIENT = ["TRANSIENT_ERROR", "SQLITE_BUSY", "WORKER_INTERRUPTED", "PROCESSING_TIMEOUT"]
 

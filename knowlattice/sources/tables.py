@@ -13,14 +13,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a local folder is set only where that is unset, as in tests."""
+    """A new path below ``spark.checkpoint.dir``; a temporary folder only where that is unset on a single machine, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder: on a cluster it must be one that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="knowlattice-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{what}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores where its scan has fewer splits than there are cores (so it is small); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def kept(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
     path = shared_folder(df.sparkSession, what)
