@@ -18,17 +18,18 @@ def components(edges: DataFrame) -> DataFrame:
     pair = lambda a, b: F.struct(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     edges = edges.where(F.col("a") != F.col("b")).select(pair("a", "b").alias("e")).select("e.*").distinct()
     edges, seen = written(edges, "edges"), None
+    n = edges.count()
     while True:
         # Large star: each larger neighbour of a node goes to the node's smallest neighbour (or the node).
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = written(look_up(both.where(F.col("b") > F.col("a")), written(least, "least"), "a", "n", 2 * edges.count()).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        large = look_up(both.where(F.col("b") > F.col("a")), least, "a", "n", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: a node and its smaller neighbours go to the smallest of them.
-        least = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
-        moved = look_up(large, least, "a", "n", large.count()).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        moved = look_up(large, least, "a", "n", 2 * n).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
         if state == seen or state[0] == 0:
             break
-        seen = state
+        seen, n = state, state[0]
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -99,38 +99,35 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     up_to = F.sum("m.size").over(W.orderBy(F.col("m.size") > LONG_BYTES, drawn, "doc_id").rowsBetween(W.unboundedPreceding, 0))
     chosen = one.withColumn("_upto", up_to).where((F.col("_upto") <= sample_bytes) | (F.col("_upto") == F.col("m.size"))).select("doc_id", "_toxic", F.col("m.h").alias("_h"))
     texts = texts.join(F.broadcast(chosen), "doc_id").where(F.xxhash64("text") == F.col("_h")).dropDuplicates(["doc_id"]).drop("_h")
-    rows = map_text(texts, _sample_features, "hashes array<long>, counts array<int>, bands array<long>", drop=("text",)).toArrow().sort_by("doc_id")
-    return fit_rows(
-        [np.array(h, np.int64).view(np.uint64) for h in _lists(rows["hashes"])],
-        [np.array(c) for c in _lists(rows["counts"])],
-        list(_lists(rows["bands"])),
-        np.array(rows["_toxic"].to_pylist(), bool),
-    )
+    found = map_text(texts, _sample_features, "hashes array<long>, counts array<int>, bands array<long>", drop=("text",)).toArrow()
+    # In the order of the ids, one of those that share a band; only their words are kept from here on.
+    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
+    bands, seen, kept = list(_lists(found["bands"])), set(), []
+    for i in order.tolist():
+        keys = {(j, int(v)) for j, v in enumerate(bands[i])}
+        if not keys & seen:
+            kept.append(i)
+        seen |= keys
+    found = found.select(["_toxic", "hashes", "counts"]).take(pa.array(kept, pa.int64()))
+    del bands, seen
+    hashes = found["hashes"].combine_chunks()
+    return fit_rows(hashes.value_lengths().to_numpy(), hashes.flatten().to_numpy().view(np.uint64), found["counts"].combine_chunks().flatten().to_numpy(), np.array(found["_toxic"].to_pylist(), bool))
 
 
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
     flat = column.combine_chunks()
-    if isinstance(flat, pa.ChunkedArray):
-        flat = pa.concat_arrays(flat.chunks)
     at, values = flat.offsets.to_numpy(), flat.values.to_numpy(zero_copy_only=False)
     return [values[a:b] for a, b in zip(at, at[1:])]
 
 
-def fit_rows(hashes: list[np.ndarray], counts: list[np.ndarray], bands: list[np.ndarray], toxic: np.ndarray) -> Model:
-    seen: set[tuple[int, int]] = set()
-    kept = []
-    for i, b in enumerate(bands):
-        keys = {(j, int(v)) for j, v in enumerate(b)}
-        if not keys & seen:
-            kept.append(i)
-        seen |= keys
-    toxic = toxic[kept] if len(toxic) else toxic
-    n, nothing = len(kept), Model(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES, 50.0))
+def fit_rows(size: np.ndarray, hashes: np.ndarray, counts: np.ndarray, toxic: np.ndarray) -> Model:
+    """The model for texts of ``size`` distinct words each, whose ``hashes`` and ``counts`` lie end to end."""
+    n, nothing = len(size), Model(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES, 50.0))
     if not toxic.any() or toxic.all():
         return nothing
-    text = np.repeat(np.arange(n), [len(hashes[i]) for i in kept])
-    distinct, which = np.unique(np.concatenate([hashes[i] for i in kept]), return_inverse=True)
-    value = np.log1p(np.concatenate([counts[i] for i in kept]))
+    text = np.repeat(np.arange(n, dtype=np.int32), size)
+    distinct, which = np.unique(hashes, return_inverse=True)
+    which, value = which.astype(np.int32), np.log1p(counts.astype(np.float32))
 
     def design(use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The features that tell the toxic texts among ``use``, and their values in all texts."""
