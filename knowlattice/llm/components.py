@@ -5,31 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import look_up, written
+from .common import written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root): the smallest node reachable over ``edges`` (a, b: two comparable columns), for each node in an edge.
 
     No neighbour list is ever gathered: each step takes the minimum of a node's neighbours by ``groupBy`` and joins
-    it back to the edges (a node of very many edges by ``look_up``, which leaves them where they are). Self loops and nulls carry no link; repeated and reversed edges are one. An empty edge
+    it back to the edges; a node of so many edges that their partition is large is split by Spark's adaptive execution. Self loops and nulls carry no link; repeated and reversed edges are one. An empty edge
     table has no rows. Rounds grow with the logarithm of a component's size.
     """
     pair = lambda a, b: F.struct(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     edges = edges.where(F.col("a") != F.col("b")).select(pair("a", "b").alias("e")).select("e.*").distinct()
     edges, seen = written(edges, "edges"), None
-    n = edges.count()
     while True:
         # Large star: each larger neighbour of a node goes to the node's smallest neighbour (or the node).
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = look_up(both.where(F.col("b") > F.col("a")), least, "a", "n", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: a node and its smaller neighbours go to the smallest of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        moved = look_up(large, least, "a", "n", 2 * n).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
         if state == seen or state[0] == 0:
             break
-        seen, n = state, state[0]
+        seen = state
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

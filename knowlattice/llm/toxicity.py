@@ -110,6 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
         seen |= keys
     found = found.select(["_toxic", "hashes", "counts"]).take(pa.array(kept, pa.int64()))
     del bands, seen
+    pa.default_memory_pool().release_unused()
     hashes = found["hashes"].combine_chunks()
     return fit_rows(hashes.value_lengths().to_numpy(), hashes.flatten().to_numpy().view(np.uint64), found["counts"].combine_chunks().flatten().to_numpy(), np.array(found["_toxic"].to_pylist(), bool))
 
