@@ -77,11 +77,14 @@ def searchable(c: Column) -> Column:
 def estimate_tokens(c: Column) -> Column:
     """Han count 1, pictographs 2, each run of letters and digits a quarter of its length (rounded up), each run of white space 1, all else 1; null is empty."""
     c = F.coalesce(c, F.lit(""))
-    runs = F.regexp_extract_all(c, F.lit(rf"[\p{{L}}\p{{N}}&&[^\p{{IsHan}}]&&[^{EMOJI[1:-1]}]]+"), F.lit(0))
-    in_words = F.aggregate(runs, F.lit(0), lambda n, w: n + F.ceil(F.length(w) / 4).cast("int"))
-    other = F.length(F.regexp_replace(c, rf"[\p{{L}}\p{{N}}\p{{IsHan}}{SPACE}{EMOJI[1:-1]}]+", ""))
     count = lambda pattern: F.regexp_count(c, F.lit(pattern))
-    return (in_words + count(r"\p{IsHan}") + 2 * count(EMOJI) + count(f"[{SPACE}]+") + other).cast("long")
+    summed = lambda runs: F.aggregate(F.regexp_extract_all(c, F.lit(runs), F.lit(0)), F.lit(0), lambda n, w: n + F.ceil(F.length(w) / 4).cast("int"))
+    other = lambda inside: F.length(F.regexp_replace(c, rf"[\p{{L}}\p{{N}}{SPACE}{inside}]+", ""))
+    # The class of pictographs is dear: it is asked only of texts with a character that may be one (or Han).
+    plain = summed(r"[\p{L}\p{N}]+") + other("")
+    special = summed(rf"[\p{{L}}\p{{N}}&&[^\p{{IsHan}}]&&[^{EMOJI[1:-1]}]]+") + count(r"\p{IsHan}") + 2 * count(EMOJI) + other(rf"\p{{IsHan}}{EMOJI[1:-1]}")
+    rare = c.rlike(r"[\x{A9}\x{AE}\x{203C}\x{2049}\x{2100}-\x{10FFFF}]")
+    return (F.when(rare, special).otherwise(plain) + count(f"[{SPACE}]+")).cast("long")
 
 
 def canonical(c: Column) -> Column:
