@@ -102,23 +102,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     found = map_text(texts, _sample_features, "hashes array<long>, counts array<int>, bands array<long>", drop=("text",)).toArrow()
     # In the order of the ids, one of those that share a band; only their words are kept from here on.
     order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
-    bands, seen, kept = list(_lists(found["bands"])), set(), []
-    for i in order.tolist():
-        keys = {(j, int(v)) for j, v in enumerate(bands[i])}
-        if not keys & seen:
-            kept.append(i)
-        seen |= keys
-    found = found.select(["_toxic", "hashes", "counts"]).take(pa.array(kept, pa.int64()))
-    del bands, seen
+    bands, kept = found["bands"].combine_chunks().flatten().to_numpy().reshape(-1, _BANDS)[order], np.ones(len(order), bool)
+    for band in bands.T:
+        first = np.zeros(len(order), bool)
+        first[np.unique(band, return_index=True)[1]] = True
+        kept &= first
+    found = found.select(["_toxic", "hashes", "counts"]).take(pa.array(order[kept]))
+    del bands
     pa.default_memory_pool().release_unused()
     hashes = found["hashes"].combine_chunks()
     return fit_rows(hashes.value_lengths().to_numpy(), hashes.flatten().to_numpy().view(np.uint64), found["counts"].combine_chunks().flatten().to_numpy(), np.array(found["_toxic"].to_pylist(), bool))
 
 
-def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
-    flat = column.combine_chunks()
-    at, values = flat.offsets.to_numpy(), flat.values.to_numpy(zero_copy_only=False)
-    return [values[a:b] for a, b in zip(at, at[1:])]
+def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, rising, and the place of each hash among them, in half the memory of ``np.unique`` with its inverse."""
+    order = np.argsort(hashes)
+    rising = hashes[order]
+    new = np.append(True, rising[1:] != rising[:-1])[: len(rising)]
+    which = np.empty(len(hashes), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    return rising[new], which
 
 
 def fit_rows(size: np.ndarray, hashes: np.ndarray, counts: np.ndarray, toxic: np.ndarray) -> Model:
@@ -127,8 +130,8 @@ def fit_rows(size: np.ndarray, hashes: np.ndarray, counts: np.ndarray, toxic: np
     if not toxic.any() or toxic.all():
         return nothing
     text = np.repeat(np.arange(n, dtype=np.int32), size)
-    distinct, which = np.unique(hashes, return_inverse=True)
-    which, value = which.astype(np.int32), np.log1p(counts.astype(np.float32))
+    distinct, which = _numbered(hashes)
+    value = np.log1p(counts.astype(np.float32))
 
     def design(use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The features that tell the toxic texts among ``use``, and their values in all texts."""
