@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +100,50 @@ def code_points(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return cps, first[at]
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[*b" \t\n\x0b\x0c\r"]] = True
+
+
+@dataclass
+class Words:
+    """Where the words of texts end to end start and end (bytes), how many each row has, and which is its first."""
+
+    start: np.ndarray
+    end: np.ndarray
+    size: np.ndarray
+    first: np.ndarray
+
+    def ids(self, raw: np.ndarray) -> np.ndarray:
+        """A number for each word; equal numbers for equal words only."""
+        length = self.end - self.start
+        offsets = np.concatenate([[0], np.cumsum(length)])
+        letters = pa.py_buffer(raw[~_BLANK[raw]])
+        array = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(offsets), letters])
+        return array.dictionary_encode().indices.to_numpy()
+
+    def joined(self, raw: np.ndarray, kept: np.ndarray) -> pa.Array:
+        """The kept words of each row, joined by one space."""
+        row = np.repeat(np.arange(len(self.size)), self.size)[kept]
+        length = (self.end - self.start)[kept]
+        last = np.append(row[1:] != row[:-1], True)[: len(row)]
+        wide = length + ~last
+        at = ranges(self.start[kept], wide)
+        out = raw[np.minimum(at, len(raw) - 1)] if len(at) else np.zeros(0, np.uint8)
+        out[(np.cumsum(wide) - 1)[~last]] = 32
+        rows = np.concatenate([[0], np.cumsum(np.bincount(row, wide, len(self.size)).astype(np.int64))])
+        return pa.Array.from_buffers(pa.large_string(), len(self.size), [None, pa.py_buffer(rows), pa.py_buffer(out)]).cast(pa.string())
+
+
+def blank_words(raw: np.ndarray, at: np.ndarray) -> Words:
+    """The words, parted by space and tab to carriage return, of texts end to end."""
+    solid, edge = ~_BLANK[raw], np.zeros(len(raw) + 1, bool)
+    edge[at] = True
+    start = np.flatnonzero(solid & (edge[:-1] | ~np.append(False, solid[:-1])[: len(solid)]))
+    end = np.flatnonzero(solid & (edge[1:] | ~np.append(solid[1:], False)[: len(solid)])) + 1
+    size = np.bincount(np.searchsorted(at, start, "right") - 1, minlength=len(at) - 1)
+    return Words(start, end, size, np.cumsum(size) - size)
+
+
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 

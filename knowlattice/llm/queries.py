@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, lm, packing, pii, sharding, simhash, tokens, toxicity, urlfilter
+from . import decontamination, fingerprints, lm, packing, pii, runs, sharding, simhash, tokens, toxicity, urlfilter
 from .common import table
 
 
@@ -89,6 +89,36 @@ def op10_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("url", "html")
 
 
+def _with_periodic_words(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) where every tenth text, by the CRC of its id, repeats a stretch of its words to the end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = docs.withColumn("_g", F.when(h % 10 == 0, F.floor(h / 10))).withColumn("_w", F.when(F.col("_g").isNotNull(), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))))
+    n = F.size("_w")
+    placed = words.withColumn("_n", n).withColumn("_a", (F.col("_g") % F.nullif("_n", F.lit(0))).cast("int"))
+    placed = placed.withColumn("_p", F.expr("cast(1 + (_n - _a) div (3 + _g % 8) as int)"))
+    again = F.flatten(F.array_repeat(F.slice("_w", F.col("_a") + 1, F.col("_p")), F.expr("cast((_n - _a) div _p + 1 as int)")))
+    text = F.array_join(F.concat(F.slice("_w", F.lit(1), F.col("_a")), F.slice(again, F.lit(1), F.col("_n") - F.col("_a"))), " ")
+    return placed.select("doc_id", F.when(F.col("_n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _with_periodic_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = runs.find_runs(docs, keep_text=False)
+    better = lambda best, x: F.when(best.isNull() | (x["length"] * best["period"] > best["length"] * x["period"]), x).otherwise(best)  # noqa: E731  runs come by start and period
+    found = found.withColumn("best", F.aggregate("runs", F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>"), better))
+    lines = F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"]))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def _address_sql(url: str) -> str:
     host = f"coalesce(translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
     path = f"coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
