@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, lm, packing, pii, runs, sharding, simhash, tokens, toxicity, urlfilter
+from . import decontamination, fingerprints, lm, packing, pii, runs, sharding, simhash, spelling, tokens, toxicity, urlfilter
 from .common import table
 
 
@@ -119,6 +119,17 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_lost_letters(words: DataFrame) -> DataFrame:
+    """``words`` (doc_id, word) where one in 97, by the CRC of id and word, lacks a letter; those without id stay as they are."""
+    h = words.withColumn("_h", F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "word")))
+    return h.select(F.expr("CASE WHEN _h % 97 = 0 THEN overlay(word PLACING '' FROM cast(_h % length(word) as int) + 1 FOR 1) ELSE word END").alias("word"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.occurrences(table(spark, sf_dir, "documents"))
+    return spelling.variants(spelling.vocabulary(_with_lost_letters(words)))
+
+
 def _address_sql(url: str) -> str:
     host = f"coalesce(translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
     path = f"coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
