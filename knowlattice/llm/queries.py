@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, lm, packing, pii, runs, sharding, simhash, spelling, tokens, toxicity, urlfilter
+from . import decontamination, fingerprints, lm, packing, pii, runs, sharding, simhash, spelling, substrings, tokens, toxicity, urlfilter
 from .common import table
 
 
@@ -89,6 +89,11 @@ def op10_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("url", "html")
 
 
+def op11_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _with_periodic_words(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) where every tenth text, by the CRC of its id, repeats a stretch of its words to the end."""
     h = F.crc32(F.col("doc_id").cast("string"))
