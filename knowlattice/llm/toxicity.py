@@ -38,6 +38,27 @@ CHANCE_SHARE = 0.2
 _BANDS, _ROWS = 10, 8
 
 
+@dataclass
+class Sparse:
+    """A matrix of ``shape`` by its entries: row, column and value of each."""
+
+    shape: tuple[int, int]
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights[self.column] * self.value, self.shape[0])
+
+    def transposed_times(self, of_row: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, of_row[self.row] * self.value, self.shape[1])
+
+    def rows(self, use: np.ndarray) -> "Sparse":
+        """The rows where ``use`` is true, numbered anew."""
+        held, number = use[self.row], np.cumsum(use) - 1
+        return Sparse((int(use.sum()), self.shape[1]), number[self.row[held]], self.column[held], self.value[held])
+
+
 @dataclass
 class Model:
     features: np.ndarray  # hashes of words and beginnings, rising
@@ -133,7 +154,7 @@ def fit_rows(size: np.ndarray, hashes: np.ndarray, counts: np.ndarray, toxic: np
     distinct, which = _numbered(hashes)
     value = np.log1p(counts.astype(np.float32))
 
-    def design(use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def design(use: np.ndarray) -> tuple[np.ndarray, Sparse]:
         """The features that tell the toxic texts among ``use``, and their values in all texts."""
         inside = use[text]
         of_toxic, of_all = np.bincount(which[inside], toxic[text[inside]], len(distinct)), np.bincount(which[inside], minlength=len(distinct))
@@ -141,9 +162,7 @@ def fit_rows(size: np.ndarray, hashes: np.ndarray, counts: np.ndarray, toxic: np
         place = np.full(len(distinct), -1)
         place[chosen] = np.arange(len(chosen))
         held = place[which] >= 0
-        x = np.zeros((n, len(chosen)))
-        x[text[held], place[which[held]]] = value[held]
-        return chosen, x
+        return chosen, Sparse((n, len(chosen)), text[held], place[which[held]], value[held])
 
     chosen, x = design(np.ones(n, bool))
     if not len(chosen):
@@ -155,8 +174,9 @@ def fit_rows(size: np.ndarray, hashes: np.ndarray, counts: np.ndarray, toxic: np
         if toxic[others].any() and not toxic[others].all():
             _, x_k = design(others)
             if x_k.shape[1]:
-                w, t = _proportional_odds(x_k[others], toxic[others].astype(int), steps=300, grades=1, floor=0.0)
-                strength[own] = np.where(x_k[own].any(1), x_k[own] @ w - t[0], -np.inf)
+                w, t = _proportional_odds(x_k.rows(others), toxic[others].astype(int), steps=300, grades=1, floor=0.0)
+                holds = np.bincount(x_k.row, minlength=n) > 0
+                strength[own] = np.where(holds, x_k.times(w) - t[0], -np.inf)[own]
     strong = strength[toxic & np.isfinite(strength)]
     cuts = np.quantile(strong, [i / GRADES for i in range(1, GRADES)]) if len(strong) else np.zeros(GRADES - 1)
     grade = np.where(toxic, 1 + (strength[:, None] > cuts[None, :]).sum(1), 0)
@@ -202,7 +222,7 @@ def _beyond_chance(of_toxic: np.ndarray, of_all: np.ndarray) -> np.ndarray:
     return (most & (tail <= at[good[-1]]))[which.ravel()] if len(good) else np.zeros(len(of_all), bool)
 
 
-def _proportional_odds(x: np.ndarray, grade: np.ndarray, steps: int = 800, ridge: float = 1e-3, rate: float = 0.05, grades: int = GRADES, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+def _proportional_odds(x: Sparse, grade: np.ndarray, steps: int = 800, ridge: float = 1e-3, rate: float = 0.05, grades: int = GRADES, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood with a small ridge, by Adam; thresholds are the first and positive steps from it; no weight below ``floor``."""
     n, m = x.shape
     theta = np.concatenate([np.zeros(m), [1.0], np.zeros(grades - 1)])
@@ -212,7 +232,7 @@ def _proportional_odds(x: np.ndarray, grade: np.ndarray, steps: int = 800, ridge
     for step in range(1, steps + 1):
         weights, gaps = theta[:m], np.exp(theta[m + 1 :])
         thresholds = theta[m] + np.concatenate([[0], np.cumsum(gaps)])
-        up = np.concatenate([np.ones((n, 1)), sigmoid((x @ weights)[:, None] - thresholds[None, :]), np.zeros((n, 1))], 1)
+        up = np.concatenate([np.ones((n, 1)), sigmoid(x.times(weights)[:, None] - thresholds[None, :]), np.zeros((n, 1))], 1)
         here, above = up[row, grade], up[row, grade + 1]
         share = np.maximum(here - above, 1e-12)
         slope_here, slope_above = here * (1 - here) / share, above * (1 - above) / share
@@ -222,7 +242,7 @@ def _proportional_odds(x: np.ndarray, grade: np.ndarray, steps: int = 800, ridge
         np.add.at(of_threshold, grade + 1, -slope_above / n)
         of_threshold = of_threshold[1 : grades + 1]
         tail = np.cumsum(of_threshold[::-1])[::-1]
-        gradient = np.concatenate([x.T @ of_logit + ridge * weights, [tail[0]], tail[1:] * gaps])
+        gradient = np.concatenate([x.transposed_times(of_logit) + ridge * weights, [tail[0]], tail[1:] * gaps])
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         theta = theta - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)

@@ -46,5 +46,7 @@ def test_gradient_reaches_the_odds():
     logit = x @ [3.0, -2.0]
     u = rng.random(4000)
     grade = sum((u < 1 / (1 + np.exp(t - logit))).astype(int) for t in (0.5, 1.5, 2.5))
-    w, t = toxicity._proportional_odds(x, grade, ridge=0.0)
+    row, at = np.nonzero(x)
+    sparse = toxicity.Sparse(x.shape, row, at, x[row, at])
+    w, t = toxicity._proportional_odds(sparse, grade, ridge=0.0)
     assert np.abs(w - [3, -2]).max() < 0.5 and np.abs(t - [0.5, 1.5, 2.5]).max() < 0.4
