@@ -1,175 +1,397 @@
-"""Structural chunks: units of lines, safe cuts, pieces, greedy packing, overlap, parents and children.
+"""Structural chunks of documents: parents and children by a strategy that fits the text, as one narrow pass.
 
-Lines, units and boundaries are windows within a document; cutting and packing are folds over arrays of one unit or of one
-document's pieces (places only, never texts). Everything stays in Spark expressions. A document's key must be distinct;
-a null or empty text has no chunks; a text of one endless line is cut by length.
+What a chunk is depends on its own document only, so nothing is shuffled: Spark deals out the documents, a task cuts each
+of its texts (``functions.layout`` knows lines, units and cuts) and rows of chunks come out. Parsers' pages and blocks,
+where there are any, travel with their document.
 """
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import layout as Y
+from ..functions.layout import Span, Text, joined, path_header
+
+STRATEGIES = ("auto", "parser", "heading", "heuristic", "legacy")
+#: Boundaries of these nodes are never packed over.
+_SECTIONS = ("page", "heading", "section")
+
+
+@dataclass(frozen=True)
+class Config:
+    """Sizes in code points; ``child_tokens`` and ``parent_tokens`` are limits by the tokenizer file at ``tokenizer``."""
+
+    strategy: str = "auto"
+    parent: int = 4096
+    child: int = 384
+    overlap: int = 76
+    protected: int = 7500
+    parent_tokens: int | None = None
+    child_tokens: int | None = None
+    tokenizer: str | None = None
+
+    def __post_init__(self):
+        if self.strategy not in STRATEGIES:
+            raise ValueError(f"strategy is one of {', '.join(STRATEGIES)}")
+        if not self.parent > self.child > 0 or self.overlap < 0 or self.protected <= 0:
+            raise ValueError("sizes are positive, and a parent is longer than a child")
+        if (self.parent_tokens or self.child_tokens) and not self.tokenizer:
+            raise ValueError("a limit in tokens needs a tokenizer")
+
+
+@dataclass(frozen=True)
+class Parser:
+    """Pages (number, start, end) and blocks (kind, start, end, page, headings) in the order of the text."""
+
+    pages: tuple = ()
+    blocks: tuple = ()
+
+    def page_at(self, place: int) -> tuple:
+        k = bisect_right(self.pages, place, key=lambda p: p[1])
+        return (("page", "", self.pages[k - 1][0]),) if k and place < self.pages[k - 1][2] else ()
+
+    def cells(self, n: int) -> Iterator[tuple[int, int, tuple, tuple | None]]:
+        """Ranges that cover the text: blocks, cut where pages begin and end, and what stands between (pages, where there are no blocks)."""
+        at = 0
+        for start, end, block in [(b[1], b[2], b) for b in self.blocks] or [(p[1], p[2], None) for p in self.pages]:
+            if start > at:
+                yield at, start, self.page_at(at), None
+            if block is None:
+                yield start, end, self.page_at(start), None
+            else:
+                edges = sorted({start, end, *(e for p in self.pages for e in p[1:] if start < e < end)})
+                for a, b in zip(edges, edges[1:]):
+                    page = self.page_at(a) or ((("page", "", block[3]),) if block[3] else ())
+                    path = joined(page, tuple(("heading", h, k + 1) for k, h in enumerate(block[4])), (("block", block[0], 0),))
+                    yield a, b, path, block
+            at = end
+        if at < n:
+            yield at, n, self.page_at(at), None
+
+    def units(self, text: Text) -> Iterator[Span]:
+        for a, b, path, block in self.cells(len(text.text)):
+            if block and block[0] in Y.PROTECTED:
+                yield Span(a, b, block[0], f"{block[0]}:{block[1]}:{block[2]}", path=path)
+            else:
+                yield from (Y._with(u, path=path) for u in Y.Lines(text.text[a:b], a).units())
+
+
+@lru_cache(maxsize=4)
+def counter(path: str) -> Callable[[str], tuple[int, list[int]]]:
+    """Counts a text's tokens, and says where each ends, by the tokenizer file; one for each Python worker."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+
+    def count(text: str) -> tuple[int, list[int]]:
+        found = tokenizer.encode(text, add_special_tokens=False)
+        return len(found.ids), [b for _, b in found.offsets]
 
-from . import segments as S
+    return count
 
-TARGET, PARENT, OVERLAP = 1200, 4800, 120
-#: Code, tables and formulas up to so many code points stay whole.
-ATOMIC = 7500
-# Patterns of formula lines.
-FORMULA_START = r"^\s*(?:\$\$|\\\[|\\begin\{[^}]+\})"
-FORMULA_END = r"(?:\$\$|\\\]|\\end\{[^}]+\})\s*$"
-FORMULA_WHOLE = r"^\s*(?:\$\$.*\$\$.*|\\\[.*\\\]|\\begin\{[^}]+\}.*\\end\{[^}]+\})\s*$"
-#: What a cut looks for, dearest first: a blank line, a line's end, punctuation, white space.
-SEPARATORS = ["\n\n", "\n", "[。！？；，.!?,;:：]", r"\s"]
 
+def sections(text: str, strategy: str) -> list[tuple[int, int, tuple]]:
+    """(start, end, path) of the sections that a strategy sees; together they cover the text."""
+    starts = Y.Lines(text).headings() if strategy == "heading" else Y.Lines(text).markers() if strategy == "heuristic" else []
+    if not starts or starts[0][0] > 0:
+        starts = [(0, ()), *starts]
+    return [(a, b, path) for (a, path), b in zip(starts, [*(s for s, _ in starts[1:]), len(text)])]
 
-def units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, unit, start, end, type): ranges that cover each text: code, formula, table, heading, paragraph, blank.
 
-    A fence or formula runs to its end or that of the text. A heading leads the lines after it, and a paragraph takes
-    the blank lines that follow it.
+def profile(text: str) -> dict[str, float]:
+    lines = Y.Lines(text)
+    plain = [t for t, code in zip(lines.text, lines.fenced) if not code]
+    headings = sum(Y.heading(t) is not None for t in plain)
+    marks = sum(bool(Y.NUMBERED.match(t) or Y.RULE.match(t)) or Y.is_capitals(t) for t in plain)
+    return {"headings": headings, "density": headings / len(text) if text else 0.0, "markers": marks, "page_breaks": sum("\f" in t for t in plain)}
+
+
+def choose(text: str, parser: Parser) -> str:
+    """The strategy that fits a text: a parser's blocks, many headings, other section marks, or its size alone."""
+    pages = max(len(parser.pages), len({b[3] for b in parser.blocks if b[3]}))
+    if len(parser.blocks) > 1 or pages > 1 or any(b[0] in Y.PROTECTED for b in parser.blocks):
+        return "parser"
+    seen = profile(text)
+    if seen["headings"] >= 3 and seen["density"] > 0.005:
+        return "heading"
+    return "heuristic" if seen["markers"] >= 5 or seen["page_breaks"] else "legacy"
+
+
+@dataclass(frozen=True)
+class Chunk:
+    start: int
+    end: int
+    header: str
+    spans: tuple[Span, ...]
+    path: tuple = ()
+    overlap: int = 0
+    reason: str | None = None
+    forced: bool = False
+
+    @property
+    def protected(self) -> str | None:
+        return ",".join(dict.fromkeys(s.type for s in self.spans if s.protected)) or None
+
+    @property
+    def group(self) -> str | None:
+        return next((s.group for s in self.spans if s.group), None) or (f"{self.protected.split(',')[0]}:{self.start}:{self.end}" if self.protected else None)
+
+    def of_one(self, name: str):
+        return getattr(self.spans[0], name) if len(self.spans) == 1 else None
+
+
+def _chunk(spans: list[Span], path: tuple) -> Chunk:
+    path = joined(path, spans[0].path)
+    header = "\n".join(filter(None, [path_header(path), *dict.fromkeys(s.context for s in spans)]))
+    reason = ",".join(dict.fromkeys(s.reason for s in spans if s.reason)) or None
+    return Chunk(spans[0].start, spans[-1].end, header, tuple(spans), path, reason=reason, forced=any(s.forced for s in spans))
+
+
+def _border(path: tuple) -> tuple:
+    return tuple(node for node in path if node[0] in _SECTIONS)
+
+
+def pack(spans: Iterator[Span], target: int, path: tuple = ()) -> Iterator[Chunk]:
+    """Neighbouring spans as one chunk. A protected span is a chunk by itself, and none goes over a page, heading or section.
+
+    A span is taken in while the place reached in the text and its length together stay within the target: from
+    there on each span is a chunk.
     """
-    line = F.col("line_text")
-    upto, before = W.partitionBy(key).orderBy("line").rowsBetween(W.unboundedPreceding, 0), W.partitionBy(key).orderBy("line")
-    found = S.lines(docs, key, text).withColumn("_fence", line.rlike(S.FENCE)).withColumn("_fences", F.sum(F.col("_fence").cast("int")).over(upto))
-    found = found.withColumn("_code", F.col("_fence") | (F.col("_fences") % 2 == 1))
-    # A formula opens where none is open: opening and closing lines alternate, so their running balance tells.
-    opens = ~F.col("_code") & line.rlike(FORMULA_START) & ~line.rlike(FORMULA_WHOLE)
-    bare = F.trim(line).isin("$$")
-    step = F.when(F.col("_code"), 0).when(bare, 2).when(opens, 1).when(line.rlike(FORMULA_END) & ~line.rlike(FORMULA_WHOLE), -1).otherwise(0)
-    marks = F.col("_marks")
-    found = found.withColumn("_step", step).withColumn("_bare", F.sum((F.col("_step") == 2).cast("int")).over(upto)).withColumn("_marks", F.last(F.when(F.col("_step").isin(1, -1), F.col("_step")), True).over(upto))
-    formula = ~F.col("_code") & ((F.col("_bare") % 2 == 1) | (F.col("_step") != 0) | (marks == 1) | line.rlike(FORMULA_WHOLE))
-    separated = F.coalesce(F.lead(S.is_separator(line)).over(before), F.lit(False))
-    table = S.is_table_line(line) | (S.is_table_row(line) & separated)
-    kind = F.when(F.col("_code"), "code").when(formula, "formula").when(table, "table").when(line.rlike(S.HEADING), "heading").when(S.trimmed(line) == "", "blank").otherwise("paragraph")
-    found = found.withColumn("_kind", kind)
-    last = F.lag("_kind").over(before)
-    same = F.col("_kind") == last
-    joins = (
-        F.when(F.col("_kind") == "code", same & ~(F.col("_fence") & (F.col("_fences") % 2 == 1)))
-        .when(F.col("_kind").isin("formula", "table"), same & ~((F.col("_step") == 1) | ((F.col("_step") == 2) & (F.col("_bare") % 2 == 1)) | ((F.col("_kind") == "formula") & line.rlike(FORMULA_WHOLE))))
-        .when(F.col("_kind") == "heading", F.lit(False))
-        .when(F.col("_kind") == "blank", last.isin("blank", "paragraph", "heading", "table"))
-        .otherwise(last.isin("paragraph", "heading"))
-    )
-    numbered = found.withColumn("unit", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(upto).cast("int"))
-    size = F.length("line_text") + 1
-    grouped = numbered.groupBy(key, "unit").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + size).alias("end"), F.min_by("_kind", "line").alias("type"), F.min_by("line_text", "line").alias("first_line"),
-        # Where lines end, for cuts between them: at most one number a line of the unit.
-        F.array_sort(F.collect_list(F.col("start") + size)).alias("line_ends"),
-    )
-    whole = docs.select(key, F.length(text).cast("long").alias("_n")).where("_n > 0")
-    bounded = grouped.join(whole, key).withColumn("end", F.least("end", "_n")).where("end > start")
-    return bounded.withColumn("line_ends", F.transform("line_ends", lambda e: F.least(e, F.col("_n")))).drop("_n")
+    held: list[Span] = []
+    for span in spans:
+        if held and (span.protected or held[-1].protected or held[-1].end + span.size > target or _border(held[0].path) != _border(span.path)):
+            yield _chunk(held, path)
+            held = []
+        held.append(span)
+    if held:
+        yield _chunk(held, path)
 
 
-def safe_cut(text: Column, target: int) -> Column:
-    """How many of the first ``target`` code points to take: up to the last separator beyond 55 % of them, else all."""
-    head, least = F.substr(text, F.lit(1), F.lit(target)), int(target * 0.55)
-    places = [F.length(F.regexp_extract(head, rf"(?s)^(.*{s})", 1)) for s in SEPARATORS]
-    return F.coalesce(*[F.when(p > least, p) for p in places], F.least(F.length(head), F.lit(target)))
+def split(text: str, strategy: str, target: int, protected: int, parser: Parser | None = None, overlap: int = 0) -> list[Chunk]:
+    """The chunks of a text by one strategy, with ``overlap`` into the one before where neither is protected."""
+    whole, out = Text(text), []
+    if strategy == "parser" and parser and (parser.blocks or parser.pages):
+        parts = [((), parser.units(whole))]
+    else:
+        parts = [(path, Y.Lines(text[a:b], a).units()) for a, b, path in sections(text, strategy)]
+    for path, units in parts:
+        out += pack((piece for unit in units for piece in Y.cut_unit(whole, unit, target, protected)), target, path)
+    if overlap:
+        for before, chunk, k in zip(out[:-1], out[1:], range(1, len(out))):
+            if not (chunk.protected or before.protected) and _border(chunk.path) == _border(before.path):
+                earlier = whole.overlap_start(chunk.start, max(before.spans[0].start, chunk.start - overlap))
+                out[k] = Chunk(**{**chunk.__dict__, "start": earlier, "overlap": chunk.start - earlier})
+    return out
 
 
-def cut_long(content: Column, target: int) -> Column:
-    """Rising places at which a text is cut so that no piece has more than ``target`` code points; the last is its length."""
-    most = F.ceil(F.length(content) / int(target * 0.55 + 1)).cast("int") + 1
-    step = lambda ends, _: F.when(F.element_at(ends, -1) >= F.length(content), ends).otherwise(
-        F.concat(ends, F.array(F.element_at(ends, -1) + safe_cut(F.substr(content, F.element_at(ends, -1) + 1, F.lit(target)), target)))
-    )
-    return F.slice(F.aggregate(F.sequence(F.lit(1), most), F.array(F.lit(0)), step), 2, 1 << 30)
+def faults(chunks: list[Chunk], n: int, target: int) -> list[str]:
+    """Why chunks are no division of a text of ``n`` code points: ends, gaps, overlaps, and sizes nothing explains."""
+    if not chunks:
+        return ["empty-output"] if n else []
+    whole = lambda c: c.reason == "protected-atomic"
+    found = ["coverage-boundary"] * (chunks[0].start != 0 or chunks[-1].end != n)
+    for at, c in zip([0, *(c.end for c in chunks)], chunks):
+        found += ["unexpected-parent-overlap"] * (c.start < at) + ["coverage-gap"] * (c.start > at) + ["empty-chunk"] * (c.end <= c.start)
+        found += ["oversized-chunk"] * (c.end - c.start > 2 * target and not c.forced and not whole(c))
+    return found + ["large-document-single-chunk"] * (n > 2 * target and len(chunks) == 1 and not whole(chunks[0]))
 
 
-def pieces(docs: DataFrame, target: int = TARGET, atomic: int = ATOMIC, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, unit, start, end, type, reason, context): units, the long ones in parts.
+def by_tokens(text: str, chunk: Chunk, target: int | None, count: Callable | None, prefix: str = "") -> list[Chunk]:
+    """The chunk in parts of at most ``target`` tokens, counted with ``prefix`` before them; protected chunks stay whole.
 
-    Code, tables and formulas stay whole up to ``atomic``; longer ones are cut between whole lines (so between rows),
-    a line beyond the target by length. ``context`` is a table's header or a fence's language for parts after the first.
+    How far a part may go is first read from where the tokens of the rest end, then made exact by counts on both
+    sides of that place; the cut is then the last good separator. An inline link or formula around the cut is kept whole. A
+    prefix that fills the target leaves the chunk as it is.
     """
-    found = units(docs, key, text).withColumn("_len", F.col("end") - F.col("start"))
-    kept, protected = F.col("_len") <= target, F.col("type").isin("code", "formula", "table")
-    small = found.where(kept | (protected & (F.col("_len") <= atomic)))
-    small = small.withColumns({"reason": F.when(~kept, "protected-atomic"), "context": F.lit(None).cast("string")})
-    long = found.where(~(kept | (protected & (F.col("_len") <= atomic)))).join(docs.select(key, F.col(text).alias("_text")), key)
-    content = F.substr("_text", (F.col("start") + 1).cast("int"), F.col("_len").cast("int"))
-    # Greedy groups of whole lines: a line starts a new part where the open one would grow beyond the target.
-    grouped = F.aggregate(
-        "line_ends", F.struct(F.col("start").alias("at"), F.array().cast("array<bigint>").alias("ends"), F.col("start").alias("last")),
-        lambda s, e: F.when((e - s["at"] > target) & (s["last"] > s["at"]), F.struct(s["last"].alias("at"), F.concat(s["ends"], F.array(s["last"])).alias("ends"), e.alias("last"))).otherwise(F.struct(s["at"].alias("at"), s["ends"].alias("ends"), e.alias("last"))),
-    )["ends"]
-    by_line = long.withColumn("_text", content).withColumn("_ends", F.when(protected, F.concat(grouped, F.array("end"))).otherwise(F.array("end")))
-    part = by_line.select("*", F.posexplode("_ends").alias("_part", "_to"))
-    starts = F.when(F.col("_part") == 0, F.col("start")).otherwise(F.get("_ends", F.col("_part") - 1))
-    part = part.withColumn("_from", starts).withColumn("_content", F.substr("_text", (F.col("_from") - F.col("start") + 1).cast("int"), (F.col("_to") - F.col("_from")).cast("int")))
-    cut = part.withColumn("_cuts", F.when(F.col("_to") - F.col("_from") > target, cut_long(F.col("_content"), target)).otherwise(F.array((F.col("_to") - F.col("_from")).cast("int"))))
-    cut = cut.select("*", F.posexplode("_cuts").alias("_sub", "_end"))
-    begin = F.col("_from") + F.when(F.col("_sub") == 0, 0).otherwise(F.get("_cuts", F.col("_sub") - 1))
-    language = F.regexp_extract("first_line", r"^\s*(?:```|~~~)\s*(.*?)\s*$", 1)
-    label = F.when(F.col("type") == "table", F.concat(F.lit("Table header:\n"), S.trimmed(F.col("first_line")))).when(F.col("type") == "code", F.concat(F.lit("Code block"), F.when(language != "", F.concat(F.lit(" ("), language, F.lit(")"))).otherwise(""), F.lit(" continuation"))).when(F.col("type") == "formula", "Formula continuation")
-    reason = F.when(~protected, "size").when(F.size("_cuts") > 1, F.concat("type", F.lit("-line-too-large"))).otherwise(F.concat("type", F.lit("-line-group")))
-    cut = cut.select(key, "unit", begin.alias("start"), (F.col("_from") + F.col("_end")).alias("end"), "type", reason.alias("reason"), F.when((F.col("_part") > 0) | (F.col("_sub") > 0), label).alias("context"))
-    return small.select(cut.columns).unionByName(cut)
-
-
-def pack(found: DataFrame, target: int = TARGET, key: str = "doc_id") -> DataFrame:
-    """(key, sequence, start, end, reason, context): pieces in order, together while they fit the target.
-
-    A heading starts a chunk of its own, and a protected piece is one by itself. The fold sees one document's places.
+    size = lambda a, b: count("\n\n".join(filter(None, (prefix, text[a:b]))))[0]
+    if not target or chunk.protected or count(prefix)[0] >= target or size(chunk.start, chunk.end) <= target:
+        return [chunk]
+    local, base, out, start = Text(text[chunk.start : chunk.end]), chunk.start, [], chunk.start
+    reason = ",".join(dict.fromkeys([*filter(None, (chunk.reason or "").split(",")), "token-target"]))
+    ends = [base + e for e in count(local.text)[1]]  # one encoding of the whole; later parts look up where they begin in it
+    room = target - (count(prefix + "\n\n")[0] if prefix else 0)
+    while start < chunk.end:
+        if size(start, chunk.end) <= target:
+            cut = chunk.end
+        else:
+            k = bisect_right(ends, start) + room - 1
+            good, bad = start, chunk.end
+            place, step = min(max(ends[min(k, len(ends) - 1)], start + 1), chunk.end - 1), 4
+            while bad - good > 1:
+                if size(start, place) <= target:
+                    good = place
+                    place = min(good + step, bad - 1) if bad == chunk.end else (good + bad) // 2
+                else:
+                    bad = place
+                    place = max(bad - step, good + 1) if good == start else (good + bad) // 2
+                step *= 2
+            good = max(good, start + 1)
+            cut = base + local.cut(start - base, good - base, len(local.text), local.ranges)
+            if cut < good and size(start, cut) > target:  # rare: fewer letters can be more tokens
+                cut = good
+        out.append(Chunk(**{**chunk.__dict__, "start": start, "end": cut, "reason": reason, "forced": True}))
+        start = cut
+    return out
+
+
+def chunk_text(text: str, config: Config = Config(), parser: Parser = Parser()) -> list[dict]:
+    """Rows of one canonical text's chunks: stored parents, each before its children, in the order of the text.
+
+    The strategies are tried in turn until one divides the text without faults; the last one's result stands. A parent
+    with one child of the same range is not stored, but for a long or partial protected one. Blank children without header are left out.
     """
-    row = F.struct("start", "end", F.col("type").isin("code", "formula", "table").alias("alone"), (F.col("type") == "heading").alias("opens"), "reason", "context")
-    ordered = found.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("p"))
-    chunk = lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["alone"].alias("alone"), p["reason"].alias("reason"), p["context"].alias("context"))
-    empty = F.slice(F.transform("p", chunk), 1, 0)
-
-    def step(done: Column, p: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        fits = last.isNotNull() & ~last["alone"] & ~p["alone"] & ~p["opens"] & (p["end"] - last["start"] <= target)
-        grown = F.struct(last["start"].alias("start"), p["end"].alias("end"), F.lit(False).alias("alone"), F.coalesce(last["reason"], p["reason"]).alias("reason"), last["context"].alias("context"))
-        return F.when(F.coalesce(fits, F.lit(False)), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(chunk(p))))
-
-    packed = ordered.select(key, F.posexplode(F.aggregate("p", empty, step)).alias("sequence", "c"))
-    return packed.select(key, "sequence", "c.start", "c.end", "c.alone", "c.reason", "c.context")
-
-
-def overlapped(chunks: DataFrame, docs: DataFrame, overlap: int = OVERLAP, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The chunks with ``content``, begun earlier by up to ``overlap`` code points at a line, sentence or word of the one before; never across code, a table, a formula or a heading."""
-    w = W.partitionBy(key).orderBy("sequence")
-    held = chunks.withColumns({"_before": F.lag("start").over(w), "_alone": F.coalesce(F.lag("alone").over(w), F.lit(True))}).join(docs.select(key, F.col(text).alias("_text")), key)
-    room = F.least(F.lit(overlap), F.col("start") - F.col("_before")).cast("int")
-    tail = F.substr("_text", (F.col("start") - room + 1).cast("int"), room)
-    after = [F.length(tail) - F.length(F.regexp_extract(tail, rf"(?s)^.*?{s}(?=\S)", 0)) for s in (r"\n", r"[。！？.!?]\s*", r"\s")]
-    back = F.coalesce(*[F.when((n > 0) & (n < F.length(tail)), n) for n in after], F.lit(0))
-    headed = F.substr("_text", (F.col("start") + 1).cast("int"), F.lit(10)).rlike(r"^\s{0,3}#{1,6}\s")
-    begin = F.when(F.col("alone") | F.col("_alone") | headed | F.col("_before").isNull(), F.col("start")).otherwise(F.col("start") - back)
-    content = F.substr("_text", (begin + 1).cast("int"), (F.col("end") - begin).cast("int"))
-    return held.select(key, "sequence", "start", "end", begin.alias("from"), "reason", "context", content.alias("content"))
-
-
-def chunk_document(docs: DataFrame, target: int = TARGET, parent: int = PARENT, overlap: int = OVERLAP, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, parent, sequence, start, end, from, reason, context, content): children, packed from pieces, of parents packed from the same pieces.
-
-    A parent with one child that is the same range is not stored (parent null). Blank children are left out.
+    first = choose(text, parser) if config.strategy == "auto" else config.strategy
+    chain = dict.fromkeys([first, "heading", "heuristic", "legacy"] if config.strategy == "auto" else [first, "legacy"])
+    count = counter(config.tokenizer) if config.tokenizer else None
+    windows: list[Chunk] = []
+    strategy = first
+    for strategy in chain:
+        windows = [part for c in split(text, strategy, config.parent, config.protected, parser) for part in by_tokens(text, c, config.parent_tokens, count)]
+        if not faults(windows, len(text), config.parent):
+            break
+    out: list[dict] = []
+
+    def add(chunk: Chunk, kind: str, parent: int | None, child: int | None, header: str, group: str | None, reason: str | None, forced: bool, types: list[str]) -> None:
+        one = chunk.of_one
+        out.append({
+            "sequence": len(out), "kind": kind, "parent_index": parent, "child_index": child, "start": chunk.start, "end": chunk.end, "content": text[chunk.start : chunk.end], "context_header": header or None, "block_types": types,
+            "protected_type": chunk.protected, "protected_group": group, "table_header": one("header"), "split_reason": reason, "forced_split": forced, "part_index": one("part"), "part_count": one("parts"), "overlap": chunk.overlap, "strategy": strategy,
+        })
+
+    for k, parent in enumerate(windows):
+        content = text[parent.start : parent.end]
+        if parent.protected:
+            span = parent.spans[0]
+            unit, local = Span(0, len(content), span.type, path=parent.path), Text(content)
+            if span.type == "table":
+                parts = Y.cut_table(local, unit, config.child, config.protected, span.header if span.part else None)
+            else:
+                parts = Y.cut_code(local, unit, config.child, config.protected, not ((span.parts or 0) > 1 or (span.reason or "").startswith(span.type + "-")))
+            made = [Chunk(s.start, s.end, s.context or "", (s,), s.path, reason=s.reason, forced=s.forced) for s in parts]
+        else:
+            made = split(content, "legacy", config.child, config.protected, overlap=min(config.overlap, config.child // 2))
+        children = []
+        for c in made:
+            header = "\n".join(filter(None, (parent.header, c.header)))
+            reason = ",".join(dict.fromkeys(filter(None, (parent.reason if parent.protected else None, c.reason)))) or None
+            moved = Chunk(**{**c.__dict__, "start": c.start + parent.start, "end": c.end + parent.start, "reason": reason, "forced": c.forced or bool(parent.protected and parent.forced), "header": header})
+            children += by_tokens(text, moved, config.child_tokens, count, header)
+        children = [c for c in children if Y.trim(text[c.start : c.end]) or Y.trim(c.header)]
+        same = len(children) == 1 and (children[0].start, children[0].end) == (parent.start, parent.end)
+        long = parent.protected and (len(content) > config.child or (parent.of_one("parts") or 0) > 1)
+        stored = bool(children) and (not same or bool(long))
+        types = lambda c: list(dict.fromkeys(s.type for s in c.spans))
+        if stored:
+            add(parent, "parent", k, None, parent.header, parent.group, parent.reason, parent.forced, types(parent))
+        for j, c in enumerate(children):
+            add(c, "child", k if stored else None, j, c.header, parent.group or c.group, c.reason, c.forced, types(c))
+    return out
+
+
+CHUNK = (
+    "sequence int, kind string, parent_index int, child_index int, start int, end int, content string, context_header string, block_types array<string>, protected_type string, protected_group string, "
+    "table_header string, split_reason string, forced_split boolean, part_index int, part_count int, overlap int, strategy string"
+)
+PAGES = "array<struct<number: int, start: int, end: int>>"
+BLOCKS = "array<struct<kind: string, start: int, end: int, page: int, headings: array<string>>>"
+
+
+def canonical(text: Column) -> Column:
+    """Without a mark of byte order, all line ends one line feed."""
+    return F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
+
+
+def parser_problem(pages: Column, blocks: Column, n: Column) -> Column:
+    """What is wrong with a document's pages and blocks, or null: ranges outside of its ``n`` code points, numbers used twice, overlaps."""
+    outside = lambda x: x["start"].isNull() | x["end"].isNull() | (x["start"] < 0) | (x["end"] <= x["start"]) | (x["end"] > n)
+    ordered = lambda a: F.array_sort(F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    overlap = lambda a: F.exists(F.arrays_zip(F.slice(ordered(a), 1, F.greatest(F.size(a) - 1, F.lit(0))).alias("x"), F.slice(ordered(a), 2, F.greatest(F.size(a), F.lit(0))).alias("y")), lambda z: z["y"]["start"] < z["x"]["end"])
+    numbers = F.transform(pages, lambda p: p["number"])
+    return (
+        F.when(F.exists(pages, lambda p: p["number"].isNull() | (p["number"] < 1)), "page_number")
+        .when(F.exists(pages, outside), "page_range")
+        .when(F.size(F.array_distinct(numbers)) < F.size(numbers), "page_twice")
+        .when(overlap(pages), "pages_overlap")
+        .when(F.exists(blocks, outside), "block_range")
+        .when(F.exists(blocks, lambda b: b["page"] < 1), "block_page")
+        .when(overlap(blocks), "blocks_overlap")
+    )
+
+
+#: Names of parsers' blocks and what they are; all others are paragraphs.
+_KINDS = {"code": "code", "code_block": "code", "fenced_code": "code", "table": "table", "table_block": "table", "formula": "formula", "math": "formula", "equation": "formula", "heading": "heading", "header": "heading", "title": "heading"}
+
+
+def _parser(pages: list[dict] | None, blocks: list[dict] | None) -> Parser:
+    ordered = sorted(((p["number"], p["start"], p["end"]) for p in pages or []), key=lambda p: p[1:])
+    found = [(_KINDS.get((b["kind"] or "").strip().lower(), "paragraph"), b["start"], b["end"], b["page"], [h.strip() for h in b["headings"] or [] if h and h.strip()]) for b in blocks or []]
+    return Parser(tuple(ordered), tuple(sorted(found, key=lambda b: b[1:3])))
+
+
+def _rows(docs: DataFrame, key: str, text: str, made: Callable[[str, Parser], list[dict]], fields: str) -> DataFrame:
+    """``made`` of each text with a key, in one narrow pass; documents whose pages or blocks have a problem are left out."""
+    pages = F.col("pages").cast(PAGES) if "pages" in docs.columns else F.lit(None).cast(PAGES)
+    blocks = F.col("blocks").cast(BLOCKS) if "blocks" in docs.columns else F.lit(None).cast(BLOCKS)
+    taken = docs.select(F.col(key).alias("key"), canonical(F.col(text)).alias("text"), pages.alias("pages"), blocks.alias("blocks")).where("text is not null")
+    taken = taken.where(parser_problem(F.coalesce("pages", F.array().cast(PAGES)), F.coalesce("blocks", F.array().cast(BLOCKS)), F.length("text")).isNull())
+    schema = T.StructType([T.StructField("key", taken.schema["key"].dataType), *T.StructType.fromDDL(fields)])
+    arrow = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a text's chunks go out before the next one's are made
+                one = {n: batch.column(j)[i] for j, n in enumerate(batch.schema.names)}
+                rows = made(one["text"].as_py(), _parser(one["pages"].as_py(), one["blocks"].as_py()))
+                if rows:
+                    keys = pa.array([one["key"].as_py()] * len(rows), batch.schema.field("key").type)
+                    columns = [pa.array([r[n] for r in rows], _arrow(schema[n].dataType)) for n in arrow[1:]]
+                    yield pa.RecordBatch.from_arrays([keys, *columns], names=arrow)
+
+    return taken.mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def _arrow(kind: T.DataType) -> pa.DataType:
+    if isinstance(kind, T.ArrayType):
+        return pa.list_(_arrow(kind.elementType))
+    return {T.IntegerType: pa.int32(), T.StringType: pa.string(), T.BooleanType: pa.bool_()}[type(kind)]
+
+
+def chunk_documents(docs: DataFrame, config: Config = Config(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(``key``, ``CHUNK``): the chunks of each document, by ``chunk_text``; ``docs`` may have ``pages`` (``PAGES``) and ``blocks`` (``BLOCKS``) of a parser.
+
+    Places count code points of the canonical text. Null and empty texts have no chunks; nor have documents whose pages or
+    blocks have a problem (``parser_problem``). Repeated rows are each cut; further columns are not read. A very long text is cut in time in proportion to it.
     """
-    found = pieces(docs, target, key=key, text=text)
-    parents = pack(found, parent, key).select(key, F.col("sequence").alias("parent"), F.col("start").alias("_pstart"), F.col("end").alias("_pend"))
-    inside = found.join(parents, key).where((F.col("start") >= F.col("_pstart")) & (F.col("end") <= F.col("_pend")))
-    # Children never cross their parent: each is packed by itself, and numbered in document order.
-    children = pack(inside.withColumn("_parent", F.struct(F.col(key).alias("k"), F.col("parent").alias("p"), F.col("_pstart").alias("s"), F.col("_pend").alias("e"))), target, "_parent")
-    children = children.select(F.col("_parent.k").alias(key), F.when((F.col("start") == F.col("_parent.s")) & (F.col("end") == F.col("_parent.e")), F.lit(None)).otherwise(F.col("_parent.p")).alias("parent"), "start", "end", "alone", "reason", "context")
-    numbered = children.withColumn("sequence", F.row_number().over(W.partitionBy(key).orderBy("start")) - 1)
-    made = overlapped(numbered, docs, overlap, key, text).where(F.col("content").rlike(r"\S"))
-    return made.join(numbered.select(key, "sequence", "parent"), [key, "sequence"])
-
-
-def problems(chunks: DataFrame, docs: DataFrame, target: int = TARGET, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, reasons) of documents whose ranges don't cover the text in order, or are longer than twice the target without a reason."""
-    w = W.partitionBy(key).orderBy("start")
-    n = docs.select(key, F.length(text).alias("_n"))
-    seen = chunks.join(n, key).withColumns({"_last": F.lag("end", 1, 0).over(w), "_next": F.lead("start").over(w)})
-    bad = F.array_compact(F.array(
-        F.when(F.col("end") <= F.col("start"), "empty"), F.when(F.col("start") > F.col("_last"), "gap"), F.when(F.col("start") < F.col("_last"), "overlap"),
-        F.when(F.col("_next").isNull() & (F.col("end") != F.col("_n")), "end"), F.when(F.col("reason").isNull() & (F.col("end") - F.col("start") > 2 * target), "size"),
-    ))
-    return seen.select(key, F.explode(bad).alias("r")).groupBy(key).agg(F.array_sort(F.collect_set("r")).alias("reasons"))
+    return _rows(docs, key, text, lambda t, p: chunk_text(t, config, p), CHUNK)
+
+
+def document_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(``key``, unit, start, end, type, path): the block units that cover each text, those of its parser's pages and blocks where it has any."""
+
+    def made(t: str, parser: Parser) -> list[dict]:
+        units = parser.units(Text(t)) if parser.pages or parser.blocks else Y.Lines(t).units()
+        return [{"unit": k, "start": u.start, "end": u.end, "type": u.type, "path": json.dumps(u.path, ensure_ascii=False)} for k, u in enumerate(units)]
+
+    return _rows(docs, key, text, made, "unit int, start int, end int, type string, path string")
+
+
+def document_pieces(docs: DataFrame, config: Config = Config(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(``key``, piece, start, end, type, reason, context): the units, those longer than a child in parts; as ``document_units`` otherwise."""
+
+    def made(t: str, parser: Parser) -> list[dict]:
+        whole = Text(t)
+        units = parser.units(whole) if parser.pages or parser.blocks else Y.Lines(t).units()
+        parts = [p for u in units for p in Y.cut_unit(whole, u, config.child, config.protected)]
+        return [{"piece": k, "start": p.start, "end": p.end, "type": p.type, "reason": p.reason, "context": p.context} for k, p in enumerate(parts)]
+
+    return _rows(docs, key, text, made, "piece int, start int, end int, type string, reason string, context string")

@@ -83,13 +83,21 @@ def strategy(headings: Column, density: Column, markers: Column, page_breaks: Co
     return F.when((count(strong_blocks) > 0) | (count(parser_blocks) > 1) | (count(parser_pages) > 1), "parser").when((headings >= 3) & (density > 0.005), "heading").when((markers >= 5) | (page_breaks > 0), "heuristic").otherwise("legacy")
 
 
-def sections(docs: DataFrame, starts: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+def heading_title(line: str = "line_text") -> Column:
+    return F.trim(F.regexp_replace(line, r"^\s*#+", ""))
+
+
+def marker_title(line: str = "line_text") -> Column:
+    return trimmed(F.regexp_replace(line, "\f", " "))
+
+
+def sections(docs: DataFrame, starts: Column, key: str = "doc_id", text: str = "text", title: Column | None = None) -> DataFrame:
     """(key, section, start, end, title): ranges that begin at the lines where ``starts`` holds; what stands before the first is section 0."""
     found = classified(docs, key, text).withColumn("begins", starts)
     upto = W.partitionBy(key).orderBy("line").rowsBetween(W.unboundedPreceding, 0)
     numbered = found.withColumn("section", F.sum(F.col("begins").cast("int")).over(upto).cast("int"))
     return numbered.groupBy(key, "section").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.length("line_text")).alias("end"), F.max(F.when(F.col("begins"), F.trim(F.regexp_replace("line_text", r"^\s*#+", "")))).alias("title")
+        F.min("start").alias("start"), F.max(F.col("start") + F.length("line_text")).alias("end"), F.max(F.when(F.col("begins"), heading_title() if title is None else title)).alias("title")
     )
 
 

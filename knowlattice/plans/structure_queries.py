@@ -61,9 +61,9 @@ def split_reason_counts(spark, sf):
     return S.classified(_marked(spark, sf)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def _sections_sql(kind: str) -> str:
-    return f"""{_LINES}, numbered AS (SELECT *, CAST(sum(CASE WHEN kind = '{kind}' THEN 1 ELSE 0 END) {_UPTO} CURRENT ROW) AS INTEGER) AS section FROM cls),
-sec AS (SELECT doc_id, section, min(start) AS start, max(start + length(line_text)) AS "end", max(CASE WHEN kind = '{kind}' THEN trim(regexp_replace(line_text, '^\\s*#+', '')) END) AS title FROM numbered GROUP BY doc_id, section)"""
+def _sections_sql(starts: str, title: str = r"trim(regexp_replace(line_text, '^\s*#+', ''))") -> str:
+    return f"""{_LINES}, numbered AS (SELECT *, CAST(sum(CASE WHEN {starts} THEN 1 ELSE 0 END) {_UPTO} CURRENT ROW) AS INTEGER) AS section FROM cls),
+sec AS (SELECT doc_id, section, min(start) AS start, max(start + length(line_text)) AS "end", max(CASE WHEN {starts} THEN {title} END) AS title FROM numbered GROUP BY doc_id, section)"""
 
 
 @query(f"WITH {_sections_sql('heading')} SELECT * FROM sec")
@@ -71,9 +71,23 @@ def heading_sections(spark, sf):
     return S.sections(_marked(spark, sf), F.col("kind") == "heading")
 
 
-@query(f"WITH {_sections_sql('marker')} SELECT * FROM sec")
+_MARKS = "(marker OR page_break) AND start > 0"
+#: A heading in capitals and lines with form feeds, which begin sections as well.
+_BREAKS = "\n# ALPHA\nbefore \fafter\n\f\nlast"
+
+
+def _broken(spark, sf) -> DataFrame:
+    return _marked(spark, sf).withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(_BREAKS))).otherwise(F.col("text")))
+
+
+_BREAKS_SQL = "'" + _BREAKS.replace("\n", "' || chr(10) || '").replace("\f", "' || chr(12) || '") + "'"
+_BROKEN = _sections_sql(_MARKS, r"regexp_replace(replace(line_text, chr(12), ' '), '^\s+|\s+$', '', 'g')").replace("FROM documents)", f"FROM (SELECT doc_id, text FROM documents)), md AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || {_BREAKS_SQL} ELSE text END AS text FROM md0)").replace("md AS (SELECT doc_id, CASE WHEN doc_id % 3", "md0 AS (SELECT doc_id, CASE WHEN doc_id % 3", 1)
+
+
+@query(f"WITH {_BROKEN} SELECT * FROM sec")
 def heuristic_sections(spark, sf):
-    return S.sections(_marked(spark, sf), F.col("kind") == "marker")
+    marks = (F.col("marker") | F.col("page_break")) & (F.col("start") > 0)
+    return S.sections(_broken(spark, sf), marks, title=S.marker_title())
 
 
 _STEP = S.TARGET - S.OVERLAP
