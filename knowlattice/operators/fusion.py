@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,3 +36,11 @@ def gate(fused: DataFrame, query: str = "item_id") -> DataFrame:
         .when(F.round(margin, 9) < MIN_MARGIN, "margin_below_min")
     )
     return fused.withColumns({"margin": margin, "reason": reason}).withColumn("passes", F.col("reason").isNull())
+
+
+def refused(text: Column, top_k: Column, token_budget: Column, most_chars: int = 256, most_results: int = 20, most_tokens: int = 50_000) -> Column:
+    """Why a request is refused, or null: an empty query, one of too many code points, results or tokens out of range (null stands for the default)."""
+    beyond = lambda c, most: ~F.coalesce(c.between(1, most), F.lit(True))
+    return (
+        F.when(F.coalesce(F.trim(text), F.lit("")) == "", "query_empty").when(F.length(text) > most_chars, "query_too_long").when(beyond(top_k, most_results), "results_out_of_range").when(beyond(token_budget, most_tokens), "tokens_out_of_range")
+    )

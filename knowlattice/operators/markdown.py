@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from .segments import lines
 
 HEADING = r"^(#{1,6})\s+(\S.*?)\s*$"
-#: Beyond so many pairs of lines a difference is all lines out, then all lines in.
+#: Fixed value: beyond so many pairs of lines a difference is all lines out, then all lines in.
 MOST_CELLS = 4_000_000
 
 
@@ -40,33 +40,58 @@ def blocks(pages: DataFrame, key: str = "page_id", text: str = "text") -> DataFr
     return made.select(key, "ordinal", "type", "path", "start", "end", F.substring(F.sha2(named, 256), 1, 32).alias("block_key"))
 
 
-def _difference(before: str, after: str) -> list[tuple[str, str]]:
-    """Lines as (context, added or removed; the line): a longest common subsequence, added before removed where either may come."""
+def _suffix_row(line: int, right: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of the left lines from ``line`` on and each rest of the right lines."""
+    reach = np.maximum(below[:-1], np.where(right == line, below[1:] + 1, 0))
+    return np.append(np.maximum.accumulate(reach[::-1])[::-1], 0).astype(np.int32)
+
+
+def _difference(before: str, after: str, most_cells: int | None = None) -> list[tuple[str, str]]:
+    """Lines as (context, added or removed; the line): a longest common subsequence, added before removed where either may come.
+
+    Each left line ends a run of added lines: at its match, or where going on would lose one. Every so many rows of lengths
+    are kept, and those between are made again when they are needed, so memory grows with the longer version times the root of the
+    shorter's lines.
+    """
     a, b = before.split("\n"), after.split("\n")
-    if len(a) * len(b) > MOST_CELLS:
+    if most_cells is not None and len(a) * len(b) > most_cells:
         return [("removed", x) for x in a] + [("added", x) for x in b]
-    code = {x: i for i, x in enumerate({*a, *b})}
-    left, right = np.array([code[x] for x in a]), np.array([code[x] for x in b])
-    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        here = np.maximum(best[i + 1, :-1], (left[i] == right) * (best[i + 1, 1:] + 1))
-        best[i, :-1] = np.maximum.accumulate(here[::-1])[::-1]
-    out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            out.append(("context", a[i]))
-            i, j = i + 1, j + 1
-        elif j < len(b) and (i == len(a) or best[i, j + 1] >= best[i + 1, j]):
-            out.append(("added", b[j]))
-            j += 1
-        else:
-            out.append(("removed", a[i]))
-            i += 1
-    return out
-
-
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("value", T.StringType())])))
-def line_diff(before: pa.Array, after: pa.Array) -> pa.Array:
-    """The lines of two versions as context, added or removed; a null version is empty."""
-    found = [[{"type": k, "value": v} for k, v in _difference(a or "", b or "")] for a, b in zip(before.to_pylist(), after.to_pylist())]
-    return pa.array(found, pa.list_(pa.struct([("type", pa.string()), ("value", pa.string())])))
+    code: dict[str, int] = {}
+    left, right = (np.array([code.setdefault(x, len(code)) for x in lines_]) for lines_ in (a, b))
+    step = max(1, int(len(a) ** 0.5))
+    row = np.zeros(len(b) + 1, np.int32)
+    kept = {len(a): row}
+    for i in range(len(a) - 1, 0, -1):
+        row = _suffix_row(left[i], right, row)
+        if i % step == 0:
+            kept[i] = row
+    out: list[tuple[str, str]] = []
+    j = 0
+    for first in range(0, len(a), step):
+        last = min(first + step, len(a))
+        rows = [kept.pop(last)]
+        for i in range(last - 1, first - 1, -1):
+            rows.append(_suffix_row(left[i], right, rows[-1]))
+        for i in range(first, last):
+            here, below = rows[last - i][j:], rows[last - i - 1][j:]
+            stops = np.flatnonzero((right[j:] == left[i]) | (here[1:] < below[:-1]))
+            stop = j + int(stops[0]) if len(stops) else len(b)
+            out += [("added", x) for x in b[j:stop]]
+            same = stop < len(b) and right[stop] == left[i]
+            out.append(("context" if same else "removed", a[i]))
+            j = stop + same
+    return out + [("added", x) for x in b[j:]]
+
+
+def line_diff(before: Column | str, after: Column | str, most_cells: int | None = MOST_CELLS) -> Column:
+    """The lines of two versions as context, added or removed; a null version is empty.
+
+    Versions of more than ``most_cells`` pairs of lines are all lines out and all in; without that bound each difference is exact.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("value", T.StringType())])))
+    def found(one: pa.Array, other: pa.Array) -> pa.Array:
+        rows = [[{"type": k, "value": v} for k, v in _difference(x or "", y or "", most_cells)] for x, y in zip(one.to_pylist(), other.to_pylist())]
+        return pa.array(rows, pa.list_(pa.struct([("type", pa.string()), ("value", pa.string())])))
+
+    return found(before, after)

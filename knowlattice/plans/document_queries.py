@@ -140,14 +140,21 @@ def markdown_blocks(spark, sf):
     return M.blocks(_marked(spark, sf), "doc_id").groupBy("doc_id").agg(F.count("*").alias("blocks"))
 
 
-@query("SELECT doc_id, CAST(1 AS BIGINT) AS added, CAST(0 AS BIGINT) AS removed, true AS rebuilt FROM documents WHERE text IS NOT NULL")
+_EDITED = """v AS (SELECT doc_id, text, string_split(text, chr(10)) AS l, 'Line ' || doc_id || ' more' AS extra FROM documents WHERE text IS NOT NULL),
+e AS (SELECT *, array_to_string(list_concat(list_concat(l[1:doc_id % len(l)], [extra]), l[doc_id % len(l) + 2:]), chr(10)) AS after FROM v)"""
+
+
+@query(f"WITH {_EDITED} SELECT doc_id, CAST(1 AS BIGINT) AS added, CAST(1 AS BIGINT) AS removed, CAST(len(l) - 1 AS BIGINT) AS context, md5(after) AS after, md5(text) AS before FROM e")
 def line_diff(spark, sf):
-    """Each text against itself with one more line: the lines of the second version are those kept and added."""
-    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text", F.concat("text", F.lit("\nOne line more")).alias("after"))
-    diff = docs.withColumn("d", M.line_diff("text", "after"))
+    """Each text against itself with one line replaced at a place that depends on the id: both versions are made again from the difference."""
+    lines = F.split("text", "\n")
+    at = (F.col("doc_id") % F.size("_l")).cast("int")
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text", lines.alias("_l"))
+    changed = F.concat(F.slice("_l", F.lit(1), at), F.array(F.concat(F.lit("Line "), F.col("doc_id").cast("string"), F.lit(" more"))), F.slice("_l", at + 2, F.size("_l")))
+    diff = docs.withColumn("after", F.array_join(changed, "\n")).withColumn("d", M.line_diff("text", "after"))
     n = lambda kind: F.size(F.filter("d", lambda x: x["type"] == kind)).cast("long")
-    rebuilt = F.array_join(F.transform(F.filter("d", lambda x: x["type"] != "removed"), lambda x: x["value"]), "\n") == F.col("after")
-    return diff.select("doc_id", n("added").alias("added"), n("removed").alias("removed"), rebuilt.alias("rebuilt"))
+    again = lambda lost: F.md5(F.array_join(F.transform(F.filter("d", lambda x: x["type"] != lost), lambda x: x["value"]), "\n"))
+    return diff.select("doc_id", n("added").alias("added"), n("removed").alias("removed"), n("context").alias("context"), again("removed").alias("after"), again("added").alias("before"))
 
 
 @query("SELECT c.event_id, p.event_type AS parent_event_type FROM events c LEFT JOIN (SELECT * FROM events WHERE event_type != 'error') p ON p.event_id = c.event_id // 3")

@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import evaluation, fusion, keyword, nearest
+from ..operators import markdown as M
 from ..sources.tables import table
 from .registry import query
 from .text_queries import bigrams_sql, query_terms_sql, words_sql
 
-QUERY_CHARS = 256
+#: Bounds of a request.
+QUERY_CHARS, MOST_RESULTS, MOST_TOKENS = 256, 20, 50_000
 
 
 def _queries(spark, sf) -> DataFrame:
-    text = F.substring("text", 1, QUERY_CHARS)
-    return table(spark, sf, "benchmark").select("item_id", text.alias("text"), X.query_terms(text).alias("terms"))
+    """The benchmark's texts as queries, whole."""
+    return table(spark, sf, "benchmark").select("item_id", "text", X.query_terms(X.nfkc("text")).alias("terms"))
 
 
 _TERMS = f"list_concat({words_sql('text')}, {bigrams_sql('text')})"
-_Q = f"q AS (SELECT item_id, text, {query_terms_sql('text')} AS terms FROM (SELECT item_id, substring(text, 1, {QUERY_CHARS}) AS text FROM benchmark))"
+_Q = f"q AS (SELECT item_id, text, {query_terms_sql('text')} AS terms FROM benchmark)"
 _BM25 = f"""{_Q}, d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
 sized AS (SELECT doc_id, len(t) AS len FROM d), stats AS (SELECT count(*) AS n, avg(len) AS average FROM sized),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY ALL),
@@ -32,8 +34,9 @@ scored AS (SELECT item_id, doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS keyword_rank FROM scored)"""
 
 
-def _scored(spark, sf) -> DataFrame:
-    return keyword.bm25(keyword.index(table(spark, sf, "documents")), _queries(spark, sf))
+def _scored(spark, sf, title: str | None = None) -> DataFrame:
+    docs = _titled(spark, sf) if title else table(spark, sf, "documents")
+    return keyword.bm25(keyword.index(docs, title=title), _queries(spark, sf))
 
 
 def _ranked(spark, sf, k: int) -> DataFrame:
@@ -68,7 +71,7 @@ def _titled(spark, sf) -> DataFrame:
 
 
 def _matched(spark, sf, k: int) -> DataFrame:
-    found = keyword.top(_scored(spark, sf), k, rank="keyword_rank")
+    found = keyword.top(_scored(spark, sf, "title"), k, rank="keyword_rank")
     return keyword.match_scores(found, _titled(spark, sf), _queries(spark, sf), title="title").withColumnRenamed("key", "doc_id")
 
 
@@ -141,7 +144,7 @@ def embedding_cache_hits(spark, sf):
 
 
 DIMS = 64
-_VECTOR = f"""dv AS {_hash_sql('documents', 'doc_id', DIMS)}, qt AS (SELECT item_id, substring(text, 1, {QUERY_CHARS}) AS text FROM benchmark), qv AS {_hash_sql('qt', 'item_id', DIMS)},
+_VECTOR = f"""dv AS {_hash_sql('documents', 'doc_id', DIMS)}, qv AS {_hash_sql('benchmark', 'item_id', DIMS)},
 cosines AS (SELECT item_id, doc_id, CASE WHEN list_max(list_transform(dv.embedding, lambda x: abs(x))) = 0 THEN 0.0 ELSE list_cosine_similarity(qv.embedding, dv.embedding) END AS cosine FROM qv, dv WHERE list_max(list_transform(qv.embedding, lambda x: abs(x))) > 0),
 vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(cosine, 9) DESC, doc_id) AS vector_rank FROM cosines) WHERE vector_rank <= 200)"""
 _FUSED = f"""{_BM25}, {_VECTOR}, {_MATCH},
@@ -156,7 +159,7 @@ def fused(spark, sf, k: int = 10) -> DataFrame:
     Texts are taken apart once, into an index that BM25 and the embeddings both read.
     """
     asked = _queries(spark, sf)
-    indexed = keyword.index(table(spark, sf, "documents"))
+    indexed = keyword.index(_titled(spark, sf), title="title")
     found = keyword.top(keyword.bm25(indexed, asked), 400, rank="keyword_rank")
     words = keyword.match_scores(found, _titled(spark, sf), asked, title="title").select("item_id", F.col("key").alias("doc_id"), "keyword_rank", F.col("match_score").alias("keyword_score"))
     vectors = V.hash_embedding(indexed.select(F.col("key").alias("doc_id"), "terms"), "doc_id", None, DIMS)
@@ -198,14 +201,14 @@ def hybrid_search(spark, sf):
 
 
 def qrels(spark, sf) -> DataFrame:
-    """(item_id, doc_id, grade): 2 holds the whole item, 1 its first 40 characters, 0 stated negatives."""
+    """(item_id, doc_id, grade): 2 holds the whole item, 1 its first 40 characters, 0 stated negatives (each document is one of at most one item)."""
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     held = evaluation.passages(docs, items.select("item_id", F.col("text").alias("item")), 40)
-    stated = docs.select("doc_id", (F.col("doc_id") % 97).alias("r")).join(items.select("item_id", (F.col("item_id") % 97).alias("r")), "r").select("item_id", "doc_id", F.lit(0).alias("grade"))
+    stated = docs.select("doc_id", (F.col("doc_id") % 997).alias("item_id")).join(items.select("item_id"), "item_id").select("item_id", "doc_id", F.lit(0).alias("grade"))
     return held.unionByName(stated).groupBy("item_id", "doc_id").agg(F.max("grade").alias("grade"))
 
 
-_QRELS = """qrels AS (SELECT * FROM (SELECT item_id, doc_id, CASE WHEN contains(d.text, b.text) THEN 2 WHEN contains(d.text, substring(b.text, 1, 40)) THEN 1 WHEN doc_id % 97 = item_id % 97 THEN 0 END AS grade FROM documents d, benchmark b) WHERE grade IS NOT NULL)"""
+_QRELS = """qrels AS (SELECT * FROM (SELECT item_id, doc_id, CASE WHEN contains(d.text, b.text) THEN 2 WHEN contains(d.text, substring(b.text, 1, 40)) THEN 1 WHEN doc_id % 997 = item_id THEN 0 END AS grade FROM documents d, benchmark b) WHERE grade IS NOT NULL)"""
 
 
 @query(f"WITH {_QRELS} SELECT item_id, doc_id, CAST(grade AS INTEGER) AS grade FROM qrels")
@@ -299,11 +302,25 @@ def v_ranking(spark, sf):
     return evaluation.ranking_violations(bent)
 
 
-@query()
+@query(rf"""WITH {_BM25}, best AS (SELECT item_id, doc_id FROM ranked WHERE keyword_rank <= 10), page AS (SELECT DISTINCT doc_id FROM best),
+ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents JOIN page USING (doc_id)),
+of_ AS (SELECT *, sum(CASE WHEN regexp_matches(l, '^#{{1,6}}\s+\S') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o FROM ln),
+bl AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS INTEGER) AS block, string_agg(l, chr(10) ORDER BY i) AS text FROM of_ GROUP BY doc_id, o HAVING o > 0 OR bool_or(trim(l) != '')),
+bt AS (SELECT DISTINCT doc_id, block, unnest({_TERMS}) AS term FROM bl)
+SELECT DISTINCT item_id, doc_id, block FROM best JOIN bt USING (doc_id) JOIN wanted USING (item_id, term)""")
 def matched_blocks(spark, sf):
-    """(item_id, doc_id, block): the blocks (lines) of all documents that hold a term of each benchmark query."""
+    """(item_id, doc_id, block): of each query's ten best documents the Markdown blocks that hold a term of it."""
+    best = _ranked(spark, sf, 10).select("item_id", "doc_id")
+    pages = table(spark, sf, "documents").join(best.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    content = F.expr("substring(text, cast(start as int) + 1, cast(end - start as int))")
+    blocks = M.blocks(pages, "doc_id").join(pages, "doc_id").select("doc_id", F.col("ordinal").alias("block"), F.explode(F.array_distinct(X.terms(X.nfkc(content)))).alias("term"))
     asked = _queries(spark, sf).select("item_id", F.explode("terms").alias("term"))
-    lines = F.filter(F.split("text", "\n"), lambda l: F.trim(l) != "")
-    blocks = table(spark, sf, "documents").select("doc_id", F.posexplode(lines).alias("block", "line"))
-    found = blocks.select("doc_id", "block", F.explode(F.array_distinct(X.terms(F.col("line")))).alias("term")).join(asked, "term")
-    return found.select("item_id", "doc_id", "block").distinct()
+    return best.join(blocks, "doc_id").join(asked, ["item_id", "term"]).select("item_id", "doc_id", "block").distinct()
+
+
+@query(f"""SELECT item_id, CASE WHEN trim(text) = '' THEN 'query_empty' WHEN length(text) > {QUERY_CHARS} THEN 'query_too_long' WHEN item_id % 30 NOT BETWEEN 1 AND {MOST_RESULTS} THEN 'results_out_of_range'
+WHEN (item_id % 7) * 10000 NOT BETWEEN 1 AND {MOST_TOKENS} THEN 'tokens_out_of_range' END AS refused FROM benchmark""")
+def request_bounds(spark, sf):
+    """Which requests are refused, and why; none is cut to fit."""
+    asked = table(spark, sf, "benchmark").select("item_id", "text", (F.col("item_id") % 30).alias("top_k"), (F.col("item_id") % 7 * 10000).alias("token_budget"))
+    return asked.select("item_id", fusion.refused(F.col("text"), F.col("top_k"), F.col("token_budget"), QUERY_CHARS, MOST_RESULTS, MOST_TOKENS).alias("refused"))

@@ -44,7 +44,7 @@ def tok_bigrams_literal(spark, sf):
 
 @query(f"SELECT item_id, array_to_string({query_terms_sql('text')}, ' ') AS terms FROM benchmark")
 def tok_query_terms(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", F.array_join(X.query_terms(F.col("text")), " ").alias("terms"))
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(X.query_terms(X.nfkc("text")), " ").alias("terms"))
 
 
 def est_tokens_sql(c: str) -> str:
