@@ -237,22 +237,26 @@ _EVENTS = """e AS (SELECT user_id AS task_id, event_id AS seq, CASE event_type W
 o AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY seq) AS k FROM e)"""
 
 
-def _task_events(spark, sf):
+def task_events(events):
+    """Task events (task_id, seq, ts, kind, code) made of the event feed."""
     t = F.col("event_type")
     kind = F.when(t.isin("click", "view"), "claim").when(t == "purchase", "success").when(t == "error", "failure").otherwise("interrupt")
     code = F.when(F.col("event_id") % 2 == 0, "TRANSIENT_ERROR").otherwise("FATAL")
-    return table(spark, sf, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), kind.alias("kind"), code.alias("code"))
+    return events.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), "ts", kind.alias("kind"), code.alias("code"))
 
 
-@query(f"""WITH RECURSIVE {_EVENTS}, f AS (SELECT task_id, CAST(0 AS BIGINT) AS k, 'queued' AS status, 0 AS retry_count FROM (SELECT DISTINCT task_id FROM e)
+TASK_STATE_SQL = f"""WITH RECURSIVE {_EVENTS}, f AS (SELECT task_id, CAST(0 AS BIGINT) AS k, 'queued' AS status, 0 AS retry_count FROM (SELECT DISTINCT task_id FROM e)
 UNION ALL SELECT f.task_id, o.k, CASE WHEN kind = 'claim' AND status IN ('queued', 'retrying') THEN 'running' WHEN kind = 'success' AND status = 'running' THEN 'succeeded'
  WHEN kind = 'failure' AND status = 'running' THEN CASE WHEN code = 'TRANSIENT_ERROR' AND retry_count < 3 THEN 'retrying' ELSE 'failed' END
  WHEN kind = 'interrupt' AND status = 'running' THEN CASE WHEN retry_count + 1 < 3 THEN 'retrying' ELSE 'failed' END ELSE status END,
  retry_count + CASE WHEN (kind = 'claim' AND status IN ('queued', 'retrying')) OR (kind = 'interrupt' AND status = 'running') THEN 1 ELSE 0 END
  FROM f JOIN o ON o.task_id = f.task_id AND o.k = f.k + 1)
-SELECT task_id, status, retry_count, CASE WHEN status = 'retrying' THEN CASE WHEN retry_count <= 1 THEN 1 ELSE 5 END ELSE 0 END AS wait_s FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY k DESC) AS last FROM f) WHERE last = 1""")
+SELECT task_id, status, retry_count, CASE WHEN status = 'retrying' THEN CASE WHEN retry_count <= 1 THEN 1 ELSE 5 END ELSE 0 END AS wait_s FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY k DESC) AS last FROM f) WHERE last = 1"""
+
+
+@query(TASK_STATE_SQL)
 def task_state_fold(spark, sf):
-    return L.fold_tasks(_task_events(spark, sf))
+    return L.fold_tasks(task_events(table(spark, sf, "events")))
 
 
 @query("SELECT user_id AS task_id, CASE WHEN count(*) < 3 THEN 'retrying' ELSE 'failed' END AS status FROM events WHERE event_type = 'click' GROUP BY user_id")

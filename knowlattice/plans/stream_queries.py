@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from ..streaming import events as S
+from ..streaming import tasks as T
+from .lifecycle_queries import TASK_STATE_SQL, task_events
 from .registry import query
 
 _OUT = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
@@ -33,3 +35,9 @@ def stream_session(spark, sf):
 @query("SELECT DISTINCT event_id, ts FROM events")
 def stream_dedup(spark, sf):
     return S.drained(S.once(S.events(spark, sf)), "once")
+
+
+@query(TASK_STATE_SQL)
+def stream_task_states(spark, sf):
+    """The task states of the batch fold, from a stream whose state is kept between micro-batches."""
+    return T.latest_states(T.run_states(task_events(S.unmarked(spark, sf))))

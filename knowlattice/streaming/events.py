@@ -10,10 +10,15 @@ from ..sources.tables import shared_folder, table
 LATE = "10 minutes"
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
+def unmarked(spark: SparkSession, folder: str) -> DataFrame:
     """The event files of a folder as a stream; new files are new events."""
     schema = table(spark, folder, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(folder).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def events(spark: SparkSession, folder: str) -> DataFrame:
+    """``unmarked`` with a watermark."""
+    return unmarked(spark, folder).withWatermark("ts", LATE)
 
 
 def drained(stream: DataFrame, what: str) -> DataFrame:
