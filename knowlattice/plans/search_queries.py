@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import evaluation, fusion, keyword, nearest
 from ..operators import markdown as M
-from ..sources.tables import table
+from ..sources.tables import shared_folder, stored_once, table, version
 from .registry import query
 from .text_queries import bigrams_sql, query_terms_sql, words_sql
 
@@ -34,9 +34,14 @@ scored AS (SELECT item_id, doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS keyword_rank FROM scored)"""
 
 
-def _scored(spark, sf, title: str | None = None) -> DataFrame:
-    docs = _titled(spark, sf) if title else table(spark, sf, "documents")
-    return keyword.bm25(keyword.index(docs, title=title), _queries(spark, sf))
+def _index(spark, sf) -> DataFrame:
+    """The stored index of the documents, built when these files are first searched."""
+    path = stored_once(spark, f"index-{version(spark, sf, 'documents')}", lambda p: keyword.build_index(_titled(spark, sf), p, title="title"))
+    return keyword.read_index(spark, path)
+
+
+def _scored(spark, sf) -> DataFrame:
+    return keyword.bm25(_index(spark, sf), _queries(spark, sf))
 
 
 def _ranked(spark, sf, k: int) -> DataFrame:
@@ -71,7 +76,7 @@ def _titled(spark, sf) -> DataFrame:
 
 
 def _matched(spark, sf, k: int) -> DataFrame:
-    found = keyword.top(_scored(spark, sf, "title"), k, rank="keyword_rank")
+    found = keyword.top(_scored(spark, sf), k, rank="keyword_rank")
     return keyword.match_scores(found, _titled(spark, sf), _queries(spark, sf), title="title").withColumnRenamed("key", "doc_id")
 
 
@@ -84,7 +89,7 @@ def match_score_topk(spark, sf):
 
 @query(f"WITH {_BM25}, {_HITS} SELECT item_id, doc_id FROM hits JOIN documents d USING (doc_id) JOIN q USING (item_id) WHERE contains({_FLAT('d.text')}, {_FLAT('q.text')})")
 def phrase_hits(spark, sf):
-    return keyword.phrase_hits(_scored(spark, sf), table(spark, sf, "documents"), _queries(spark, sf))
+    return keyword.phrase_hits(_scored(spark, sf), _titled(spark, sf), _queries(spark, sf), title="title")
 
 
 @query(rf"""WITH {_BM25}, best AS (SELECT item_id, doc_id FROM ranked WHERE keyword_rank <= 3),
@@ -159,7 +164,7 @@ def fused(spark, sf, k: int = 10) -> DataFrame:
     Texts are taken apart once, into an index that BM25 and the embeddings both read.
     """
     asked = _queries(spark, sf)
-    indexed = keyword.index(_titled(spark, sf), title="title")
+    indexed = _index(spark, sf)
     found = keyword.top(keyword.bm25(indexed, asked), 400, rank="keyword_rank")
     words = keyword.match_scores(found, _titled(spark, sf), asked, title="title").select("item_id", F.col("key").alias("doc_id"), "keyword_rank", F.col("match_score").alias("keyword_score"))
     vectors = V.hash_embedding(indexed.select(F.col("key").alias("doc_id"), "terms"), "doc_id", None, DIMS)
@@ -324,3 +329,15 @@ def request_bounds(spark, sf):
     """Which requests are refused, and why; none is cut to fit."""
     asked = table(spark, sf, "benchmark").select("item_id", "text", (F.col("item_id") % 30).alias("top_k"), (F.col("item_id") % 7 * 10000).alias("token_budget"))
     return asked.select("item_id", fusion.refused(F.col("text"), F.col("top_k"), F.col("token_budget"), QUERY_CHARS, MOST_RESULTS, MOST_TOKENS).alias("refused"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_TERMS} AS t FROM (SELECT doc_id, CASE WHEN doc_id % 50 = 1 THEN text || ' newly added words' ELSE text END AS text FROM documents WHERE doc_id % 50 != 3))
+SELECT doc_id, CAST(len(t) AS INTEGER) AS len, md5(array_to_string(list_sort(t), ' ')) AS terms FROM d""")
+def index_projection(spark, sf):
+    """A stored index after some documents were changed and some removed: only their parts are written again."""
+    path = f"{shared_folder(spark, 'projected_index')}"
+    docs = _titled(spark, sf)
+    keyword.build_index(docs, path, title="title")
+    changed = docs.where("doc_id % 50 = 1").withColumn("text", F.concat("text", F.lit(" newly added words")))
+    keyword.project(path, changed, docs.where("doc_id % 50 = 3"), title="title")
+    return keyword.read_index(spark, path).select(F.col("key").alias("doc_id"), "len", F.md5(F.array_join(F.array_sort("terms"), " ")).alias("terms"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,3 +36,20 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     path = shared_folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def version(spark: SparkSession, folder: str, name: str) -> str:
+    """What tells this state of a table from any other: a hash of its files' paths, sizes and times, and how many there are."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/{name}.parquet").select("path", "length", "modificationTime")
+    n, summed = files.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)"))).first()
+    return f"{n:x}-{int(summed or 0) % 2**64:016x}"
+
+
+def stored_once(spark: SparkSession, what: str, write: Callable[[str], object]) -> str:
+    """The path below the shared folder that ``write`` has filled, now or before: ``what`` must name the content fully."""
+    base = shared_folder(spark, "x").rsplit("/", 1)[0]
+    path = f"{base}/{what}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        write(path)
+    return path
