@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
 import pandas as pd
@@ -16,7 +17,10 @@ ITEMS = "{query} {kind}, channel string, rank int, id {id_kind}, text string, to
 
 
 def first_of_sources(sources: Iterable[DataFrame], by: list[str], page: str = "page_id") -> DataFrame:
-    """Rows of the sources one after the other, of each page (per ``by``) the first: by source, then ``rank``."""
+    """Rows of the sources one after the other, of each page (per ``by``) the first: by source, then ``rank``.
+
+    The sources have the same columns. Among rows of one page, source and rank an arbitrary one stays; null pages are one page.
+    """
     out = None
     for i, s in enumerate(sources):
         s = s.withColumn("_source", F.lit(i))
@@ -86,37 +90,60 @@ def assemble(ranked: DataFrame, query: str = "item_id") -> DataFrame:
     return ranked.groupBy(query).applyInPandas(run, ITEMS.format(query=query, kind=kinds[query], id_kind=kinds["id"]))
 
 
-#: What a locator may say, and of these what must be whole numbers.
+# What a locator may say; of these what must be whole numbers, page numbers, and texts.
+FIELDS = ["chunkId", "startOffset", "endOffset", "page", "pageStart", "pageEnd", "pages", "lineStart", "lineEnd", "blockId", "selector"]
 NUMBERS = ["startOffset", "endOffset", "page", "pageStart", "pageEnd", "lineStart", "lineEnd"]
-FIELDS = [*NUMBERS, "chunkId", "pages", "blockId", "selector"]
+PAGES, TEXTS = ["page", "pageStart", "pageEnd"], ["chunkId", "blockId", "selector"]
+MOST_SELECTOR = 1000
 
 
 def locator_problem(locator: Column, source_length: Column, page_count: Column) -> Column:
-    """The first rule that a citation's locator (JSON) breaks, null if none. Lengths or counts that aren't known (null) bind nothing."""
-    value = lambda k: F.get_json_object(locator, f"$.{k}")
-    number = lambda k: F.expr("null").cast("long") if k is None else F.when(value(k).rlike(r"^\d{1,18}$"), value(k)).cast("long")
-    keys = F.json_object_keys(locator)
-    any_of = lambda conditions: F.coalesce(F.greatest(*[c.cast("int") for c in conditions], F.lit(0), F.lit(0)) == 1, F.lit(False))
-    start, end = number("startOffset"), number("endOffset")
-    pages = F.from_json(value("pages"), "array<int>")
-    beyond = [number(k) > page_count for k in ("page", "pageStart", "pageEnd")]
-    listed = F.exists(pages, lambda p: p > page_count)
+    """The first rule that a citation's locator (JSON) breaks, null if none. Lengths or counts that aren't known (null) bind nothing.
+
+    Types are those of the JSON text: a number in quotes is none, 1.0 is a whole number, and null is no value that any field may have.
+    """
+    v, keys = F.try_parse_json(locator), F.json_object_keys(locator)
+    kind = {k: F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) for k in FIELDS}
+    number = {k: F.when(_numeric(kind[k]), F.try_variant_get(v, f"$.{k}", "double")) for k in NUMBERS}
+    pages = F.when(kind["pages"].isin("ARRAY<VOID>", "ARRAY<BIGINT>", "ARRAY<DOUBLE>") | kind["pages"].startswith("ARRAY<DECIMAL"), F.try_variant_get(v, "$.pages", "array<double>"))
+    text = {k: F.when(kind[k] == "STRING", F.try_variant_get(v, f"$.{k}", "string")) for k in TEXTS}
+    has = lambda k: F.array_contains(keys, k)
+    known = F.array(*map(F.lit, FIELDS))
+    some = lambda conditions: functools.reduce(lambda a, b: a | b, (F.coalesce(c, F.lit(False)) for c in conditions))
+    whole = lambda c: F.coalesce((c >= 0) & (c == F.floor(c)), F.lit(False))
     return (
-        F.when(keys.isNull(), "not_an_object")
-        .when(F.size(F.array_except(keys, F.array(*map(F.lit, FIELDS)))) > 0, F.when(F.size(F.array_intersect(keys, F.array(*map(F.lit, FIELDS)))) == 0, "no_position").otherwise("unknown_field"))
-        .when(F.size(keys) == 0, "no_position")
-        .when(any_of([F.array_contains(keys, k) & number(k).isNull() for k in NUMBERS]), "not_a_number")
-        .when(any_of([number(k) < 1 for k in ("page", "pageStart", "pageEnd")]), "page_below_one")
-        .when((F.array_contains(keys, "startOffset") | F.array_contains(keys, "endOffset")) & ~F.coalesce(end > start, F.lit(False)), "range_not_rising")
-        .when(end > source_length, "beyond_source")
-        .when(number("pageEnd") < number("pageStart"), "page_range_not_rising")
-        .when(F.array_contains(keys, "pages") & (pages.isNull() | F.exists(pages, lambda p: p.isNull() | (p < 1))), "pages_not_numbers")
-        .when(any_of([*beyond, listed]), "beyond_pages")
-        .when(any_of([F.array_contains(keys, k) & (F.trim(F.coalesce(value(k), F.lit(""))) == "") for k in ("chunkId", "blockId", "selector")]) | (F.length(value("selector")) > 1000), "empty_or_long")
+        F.when(keys.isNull() | v.isNull(), "not_an_object")
+        .when(F.size(F.array_intersect(keys, known)) == 0, "no_position")
+        .when(F.size(F.array_except(keys, known)) > 0, "unknown_field")
+        .when(some(has(k) & ~whole(number[k]) for k in NUMBERS), "not_a_number")
+        .when(some(number[k] < 1 for k in PAGES), "page_below_one")
+        .when((has("startOffset") | has("endOffset")) & ~F.coalesce(number["endOffset"] > number["startOffset"], F.lit(False)), "range_not_rising")
+        .when(number["endOffset"] > source_length, "beyond_source")
+        .when(number["pageEnd"] < number["pageStart"], "page_range_not_rising")
+        .when(has("pages") & (pages.isNull() | F.exists(pages, lambda p: ~whole(p) | (p < 1))), "pages_not_numbers")
+        .when(some([*(number[k] > page_count for k in PAGES), F.exists(pages, lambda p: p > page_count)]), "beyond_pages")
+        .when(some([*(has(k) & (F.trim(F.coalesce(text[k], F.lit(""))) == "") for k in TEXTS), F.length(text["selector"]) > MOST_SELECTOR]), "empty_or_long")
     )
 
 
+def _numeric(kind: Column) -> Column:
+    return kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
+
+
+def cited_sources(seeds: DataFrame, citations: DataFrame, versions: DataFrame, resources: DataFrame) -> DataFrame:
+    """The sources of pages: ``seeds`` (page_id, page_version) with their ``citations`` (page_id, page_version, version_id, ...) of
+    ``versions`` (version_id, resource_id, ...) of ``resources`` (resource_id, ...). One joined batch; what any side lacks is left out.
+
+    A page that is named twice among the seeds is taken once; a citation that repeats is kept.
+    """
+    pages = seeds.select("page_id", "page_version").distinct()
+    return citations.join(pages, ["page_id", "page_version"], "left_semi").join(versions, "version_id").join(resources, "resource_id")
+
+
 def in_scope(rows: DataFrame, stated: DataFrame, traces: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` is stated (key) or named by a trace (ids: an array of keys); ids that no row has are passed over."""
+    """Rows whose ``key`` is stated (key) or named by a trace (ids: an array of keys); ids that no row has are passed over.
+
+    A key that is named often counts once; rows that repeat are each kept; null keys name nothing, nor do null arrays.
+    """
     named = traces.select(F.explode("ids").alias(key)).unionByName(stated.select(key)).distinct()
     return rows.join(named, key, "left_semi")

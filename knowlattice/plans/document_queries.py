@@ -163,11 +163,16 @@ def child_parent(spark, sf):
     return L.with_active_parent(events, "event_id", "up", F.col("event_type") != "error", ["event_type"]).select("event_id", "parent_event_type")
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'range_not_rising' WHEN event_id % 7 = 0 THEN 'beyond_source' WHEN event_id % 5 = 0 THEN 'unknown_field' END AS problem FROM events""")
+#: Locators with planted faults, one of each kind, and what is wrong with them (sources of 1000 letters and 3 pages).
+_LOCATORS = [
+    ('{"startOffset": 3, "endOffset": 9}', None), ('{"startOffset": 9, "endOffset": 9}', "range_not_rising"), ('{"startOffset": 3, "endOffset": 1001}', "beyond_source"), ('{"page": 1, "color": 1}', "unknown_field"), ('{"color": 1}', "no_position"),
+    ('{"page": "1"}', "not_a_number"), ('{"page": 1.0}', None), ('{"page": 0}', "page_below_one"), ('{"pageStart": 3, "pageEnd": 2}', "page_range_not_rising"), ('{"pages": [1, "2"]}', "pages_not_numbers"), ('{"pages": [1, 4]}', "beyond_pages"),
+    ('{"chunkId": 5}', "empty_or_long"), ('{"selector": " "}', "empty_or_long"), ("[1]", "not_an_object"), ('{"lineStart": -1}', "not_a_number"), ('{"chunkId": "c1", "pages": [3]}', None),
+]
+
+
+@query("SELECT event_id, CASE event_id % " + str(len(_LOCATORS)) + "".join(f" WHEN {k} THEN '{p}'" for k, (_, p) in enumerate(_LOCATORS) if p) + " END AS problem FROM events")
 def locator_problems(spark, sf):
-    """What is wrong with locators that have planted faults."""
-    e = F.col("event_id")
-    start, end = e % 50, F.when(e % 11 == 0, e % 50).when(e % 7 == 0, 1001).otherwise(e % 50 + 9)
-    more = F.when((e % 11 != 0) & (e % 7 != 0) & (e % 5 == 0), F.lit(', "color": 1')).otherwise("")
-    locator = F.concat(F.lit('{"startOffset": '), start.cast("string"), F.lit(', "endOffset": '), end.cast("string"), more, F.lit("}"))
+    """What is wrong with locators that have planted faults, one kind for each remainder of the id."""
+    locator = F.get(F.array(*[F.lit(x) for x, _ in _LOCATORS]), (F.col("event_id") % len(_LOCATORS)).cast("int"))
     return table(spark, sf, "events").select("event_id", X.locator_problem(locator, F.lit(1000), F.lit(3)).alias("problem"))

@@ -32,7 +32,9 @@ def test_assemble(spark):
     ('{"startOffset": 0, "endOffset": 5}', None), ('{"page": 2}', None), ('{"chunkId": "c"}', None), ("{}", "no_position"), ("nonsense", "not_an_object"), (None, "not_an_object"),
     ('{"other": 1}', "no_position"), ('{"page": 1, "other": 1}', "unknown_field"), ('{"page": -1}', "not_a_number"), ('{"page": "x"}', "not_a_number"), ('{"page": 0}', "page_below_one"),
     ('{"startOffset": 5, "endOffset": 5}', "range_not_rising"), ('{"startOffset": 5}', "range_not_rising"), ('{"startOffset": 0, "endOffset": 101}', "beyond_source"), ('{"pageStart": 3, "pageEnd": 2}', "page_range_not_rising"),
-    ('{"page": 4}', "beyond_pages"), ('{"pages": [1, 9]}', "beyond_pages"), ('{"pages": [0]}', "pages_not_numbers"), ('{"chunkId": " "}', "empty_or_long"),
+    ('{"page": "1"}', "not_a_number"), ('{"page": 1.0}', None), ('{"page": 1.5}', "not_a_number"), ('{"page": null}', "not_a_number"), ('{"chunkId": 5}', "empty_or_long"), ('{"selector": true}', "empty_or_long"), ('{"blockId": null}', "empty_or_long"),
+    ('{"pages": [1.0]}', None), ('{"pages": ["1"]}', "pages_not_numbers"), ('{"pages": [1, null]}', "pages_not_numbers"), ('{"pages": []}', None), ('{"pages": 1}', "pages_not_numbers"), ('{"lineStart": 0, "lineEnd": 3}', None), ("[1]", "not_an_object"),
+    ('{"selector": "' + "s" * 1001 + '"}', "empty_or_long"), ('{"page": 4}', "beyond_pages"), ('{"pages": [1, 9]}', "beyond_pages"), ('{"pages": [0]}', "pages_not_numbers"), ('{"chunkId": " "}', "empty_or_long"),
 ])
 def test_locators(spark, locator, want):
     df = spark.createDataFrame([(locator, 100, 3)], "l string, n int, p int")
@@ -65,3 +67,21 @@ def test_pages_edges_and_generations(spark):
     kids = spark.createDataFrame([(1, None, "ok"), (2, 1, "ok"), (3, 9, "ok"), (4, 5, "ok"), (5, None, "gone")], "id int, up int, status string")
     assert {r.id: r.parent_status for r in L.with_active_parent(kids, "id", "up", F.col("status") == "ok", ["status"]).collect()} == {1: None, 2: "ok", 3: None, 4: None, 5: None}
     assert [tuple(r) for r in L.common_columns(kids.where("id = 2"), spark.createDataFrame([], "status string, extra date, id long")).collect()] == [("ok", None, 2)]
+
+
+def test_sources_and_scope(spark):
+    a = spark.createDataFrame([(0, 5, 1, "a"), (0, 6, 2, "a")], "item_id int, page_id int, rank int, of string")
+    b = spark.createDataFrame([(0, 6, 1, "b"), (0, 7, 1, "b"), (0, 7, 2, "b"), (1, 5, 9, "b"), (1, None, 1, "b")], "item_id int, page_id int, rank int, of string")
+    got = sorted((r.item_id, r.page_id or 0, r["rank"], r.of) for r in X.first_of_sources([a, b], ["item_id"]).collect())
+    assert got == [(0, 5, 1, "a"), (0, 6, 2, "a"), (0, 7, 1, "b"), (1, 0, 1, "b"), (1, 5, 9, "b")]
+    rows = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "k int")
+    traces = spark.createDataFrame([([2, 2, 9],), (None,), ([None],)], "ids array<int>")
+    assert sorted(r.k for r in X.in_scope(rows, rows.where("k = 3"), traces, "k").collect()) == [2, 2, 3]
+
+
+def test_cited_sources(spark):
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    seeds = frame([(1, 2), (1, 2), (2, 1)], "page_id int, page_version int")
+    citations = frame([(1, 2, 10, "x"), (1, 1, 10, "old"), (2, 1, 11, "y"), (2, 1, 99, "no version"), (3, 1, 10, "no seed")], "page_id int, page_version int, version_id int, quote string")
+    got = X.cited_sources(seeds, citations, frame([(10, 100), (11, 101)], "version_id int, resource_id int"), frame([(100, "r")], "resource_id int, name string")).collect()
+    assert [(r.page_id, r.quote, r.name) for r in got] == [(1, "x", "r")]
