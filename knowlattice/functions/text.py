@@ -5,6 +5,7 @@ All are Column expressions, so they stay inside Spark's own code; ``nfkc`` and `
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
 
@@ -131,6 +132,30 @@ def redacted_map(m: Column) -> Column:
     return F.transform_values(m, hidden)
 
 
+# Names of keys whose values hold whole texts, which an audit leaves out.
+PRIVATE_KEY = r"(?i)^(?:prompt|promptText|prompt_text|fullPrompt|full_prompt|sourceText|source_text|rawText|raw_text|contentMarkdown|content_markdown|content)$"
+
+
+def redacted_json(c: Column, audit: bool = False) -> Column:
+    """JSON with the values of secret keys hidden at any depth and secrets in other texts replaced; ``audit`` also omits whole texts. What is no JSON is treated as a text."""
+    key, value, private = (regex.compile(p) for p in (SECRET_KEY, SECRET, PRIVATE_KEY))
+
+    def clean(v: object) -> object:
+        if isinstance(v, list):
+            return [clean(x) for x in v]
+        if isinstance(v, dict):
+            return {k: "[REDACTED]" if key.search(k) else "[OMITTED]" if audit and private.search(k) else clean(x) for k, x in v.items()}
+        return value.sub("[REDACTED]", v) if isinstance(v, str) else v
+
+    def one(t: str) -> str:
+        try:
+            return json.dumps(clean(json.loads(t)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return value.sub("[REDACTED]", t)
+
+    return F.arrow_udf(lambda texts: pa.array([None if t is None else one(t) for t in texts.to_pylist()], pa.string()), T.StringType())(c)
+
+
 def quality(c: Column) -> Column:
     """Struct of the shares of replacement and printable characters, and whether the text passes (not blank, at most 1 %, at least 85 %)."""
     n = F.greatest(F.length(c), F.lit(1))

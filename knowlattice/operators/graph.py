@@ -62,8 +62,15 @@ def closure(parents: DataFrame) -> DataFrame:
     return found.withColumn("cyclic", F.col("node") == F.col("ancestor"))
 
 
+# The roles of pages below the root, by their kind.
+ROLES = {"concept": "category", "entity": "entity", "source-summary": "source"}
+
+
 def tree_rules(nodes: DataFrame, most_nodes: int = 50, fan_out: int = 8, most_depth: int = 4) -> DataFrame:
-    """(plan, rule) for plans (plan, node, parent, title, kind) that break a rule of a plan tree."""
+    """(plan, rule) for plans (plan, node, parent, title, kind, and maybe role) that break a rule of a plan tree.
+
+    A stated role must be the one that the place and kind of a node give it; a node of another kind must state one.
+    """
     per = nodes.groupBy("plan").agg(
         F.count("*").alias("n"), F.countDistinct("node").alias("ids"), F.count_if(F.col("parent").isNull()).alias("roots"),
         F.count_if(F.col("parent").isNull() & (F.col("kind") != "synthesis")).alias("odd_roots"),
@@ -80,7 +87,16 @@ def tree_rules(nodes: DataFrame, most_nodes: int = 50, fan_out: int = 8, most_de
     above = closure(nodes.select(key("node").alias("node"), F.when(F.col("parent").isNotNull(), key("parent")).alias("parent")))
     cyclic = above.where("cyclic").select("node.plan", F.lit("cycle").alias("rule"))
     deep = above.where((F.col("depth") >= most_depth) & ~F.col("cyclic")).select("node.plan", F.lit("depth").alias("rule"))
-    out = counted
+    keyed = nodes.select("plan", key("node").alias("node"), "parent", "kind", *(["role"] if "role" in nodes.columns else []))
+    roots = keyed.where("parent is null").select(F.col("node").alias("ancestor"))
+    reached = above.join(roots, "ancestor", "left_semi").select("node").distinct()
+    lost = keyed.where("parent is not null").join(reached, "node", "left_anti").select("plan", F.lit("unreachable").alias("rule"))
+    out = counted.unionByName(lost)
+    if "role" in nodes.columns:
+        by_kind = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+        wanted = F.when(F.col("parent").isNull(), "root").otherwise(by_kind[F.col("kind")])
+        bad = F.when(F.col("role").isNotNull() & ~F.col("role").eqNullSafe(wanted), "role_mismatch").when(F.col("role").isNull() & wanted.isNull(), "role_missing")
+        out = out.unionByName(keyed.select("plan", bad.alias("rule")).where("rule is not null"))
     for more in (orphans, wide, same, cyclic, deep):
         out = out.unionByName(more)
     return out.distinct()

@@ -149,3 +149,30 @@ def fold_tasks(events: DataFrame, limit: int = 3) -> DataFrame:
         return F.struct(status.alias("status"), count.alias("retry_count"), wait.alias("wait_s"))
 
     return ordered.select("task_id", F.aggregate("e", start, step).alias("s")).select("task_id", "s.*")
+
+
+def public(rows: DataFrame, *private: str) -> DataFrame:
+    """Without columns that begin with an underscore, and those named."""
+    return rows.select(*[c for c in rows.columns if not c.startswith("_") and c not in private])
+
+
+def first_success(rows: DataFrame, candidates: Sequence[tuple[str, Column, Column]]) -> DataFrame:
+    """Each row with the result of the first candidate (name, text, error) that gives one: ``reader``, ``text``, and all ``attempts`` made until then.
+
+    A candidate fails with an error, or without text; candidates behind the first success are not attempts. If none succeeds, reader and text are null.
+    """
+    ok = [F.coalesce((F.coalesce(text, F.lit("")) != "") & error.isNull(), F.lit(False)) for _, text, error in candidates]
+    tried, attempts = F.lit(True), []
+    for (name, _, error), good in zip(candidates, ok):
+        attempts.append(F.when(tried, F.struct(F.lit(name).alias("reader"), good.alias("succeeded"), F.when(~good, F.coalesce(error, F.lit("EMPTY_RESULT"))).alias("error"))))
+        tried = tried & ~good
+    pick = lambda values: F.coalesce(*[F.when(good, v) for good, v in zip(ok, values)])
+    return rows.withColumns({"reader": pick([F.lit(n) for n, _, _ in candidates]), "text": pick([t for _, t, _ in candidates]), "attempts": F.array_compact(F.array(*attempts))})
+
+
+def written_once(writes: DataFrame, keys: Sequence[str], order: Sequence[str], ignore: Sequence[str]) -> DataFrame:
+    """(keys, writes, conflicts): how many writes a snapshot had, and how many differ from the first in anything but ``ignore``."""
+    content = F.struct(*[c for c in writes.columns if c not in (*keys, *order, *ignore)])
+    first = writes.groupBy(*keys).agg(F.min_by(content, F.struct(*order)).alias("_first"))
+    told = writes.withColumn("_content", content).join(first, [*keys])
+    return told.groupBy(*keys).agg(F.count("*").alias("writes"), F.count_if(~F.col("_content").eqNullSafe(F.col("_first"))).alias("conflicts"))

@@ -137,9 +137,12 @@ def cycle_check(spark, sf):
 per AS (SELECT plan, count(*) AS c, count(*) FILTER (parent IS NULL) AS roots, count(*) FILTER (parent IS NULL AND kind != 'synthesis') AS odd FROM n GROUP BY plan)
 SELECT plan, 'root_count' AS rule FROM per WHERE roots != 1 UNION SELECT plan, 'root_kind' FROM per WHERE odd > 0 UNION SELECT plan, 'too_many_nodes' FROM per WHERE c > 50
 UNION SELECT plan, 'missing_parent' FROM n WHERE parent IS NOT NULL AND parent NOT IN (SELECT node FROM n) UNION SELECT plan, 'fan_out' FROM kids WHERE n > 8 UNION SELECT plan, 'sibling_title' FROM kids WHERE titles < n
-UNION SELECT plan, 'cycle' FROM near JOIN n USING (node) WHERE node = anc UNION SELECT plan, 'depth' FROM near JOIN n USING (node) WHERE depth >= 4 AND node != anc""")
+UNION SELECT plan, 'cycle' FROM near JOIN n USING (node) WHERE node = anc UNION SELECT plan, 'depth' FROM near JOIN n USING (node) WHERE depth >= 4 AND node != anc
+UNION SELECT plan, 'unreachable' FROM n WHERE parent IS NOT NULL AND node NOT IN (SELECT near.node FROM near JOIN n r ON near.anc = r.node WHERE r.parent IS NULL)
+UNION SELECT plan, CASE WHEN role IS NULL THEN 'role_missing' ELSE 'role_mismatch' END FROM (SELECT *, CASE node % 6 WHEN 0 THEN 'root' WHEN 1 THEN 'category' END AS role FROM n) WHERE CASE WHEN role IS NULL THEN parent IS NOT NULL ELSE role IS DISTINCT FROM CASE WHEN parent IS NULL THEN 'root' END END""")
 def plan_tree_rules(spark, sf):
-    return graph.tree_rules(_plans(spark, sf))
+    role = F.when(F.col("node") % 6 == 0, "root").when(F.col("node") % 6 == 1, "category")
+    return graph.tree_rules(_plans(spark, sf).withColumn("role", role))
 
 
 @query("SELECT o_orderkey AS version, lag(o_orderkey) OVER w AS parent, CASE WHEN o_orderstatus = 'P' THEN first_value(o_orderkey) OVER w END AS restores FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")

@@ -54,10 +54,10 @@ def progress_status(spark, sf):
     return c.select("run", L.progress_percent(F.col("purchase"), F.col("total")).alias("percent"), status.alias("status"))
 
 
-@query("SELECT 'E' || CAST(event_id % 9 AS VARCHAR) AS code, event_type AS provider, count(*) AS n FROM events WHERE event_type != 'view' GROUP BY ALL")
+@query("SELECT 'E' || CAST(event_id % 9 AS VARCHAR) AS code, event_type AS provider, 'm' || CAST(user_id % 4 AS VARCHAR) AS model, count(*) AS n FROM events WHERE event_type != 'view' GROUP BY ALL")
 def error_groups(spark, sf):
     code = F.concat(F.lit("E"), (F.col("event_id") % 9).cast("string"))
-    return table(spark, sf, "events").where("event_type != 'view'").groupBy(code.alias("code"), F.col("event_type").alias("provider")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "code", "provider")
+    return table(spark, sf, "events").where("event_type != 'view'").groupBy(code.alias("code"), F.col("event_type").alias("provider"), F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string")).alias("model")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "code", "provider", "model")
 
 
 _TASK = ["queued", "running", "retrying", "succeeded", "failed"]
@@ -318,18 +318,18 @@ def _history(newest: bool):
     def builder(spark, sf):
         order = F.col("turn").desc() if newest else F.col("turn")
         c = table(spark, sf, "conversations").withColumn("k", F.row_number().over(W.partitionBy("conv_id").orderBy(order)))
-        return c.where("k <= 4").select("conv_id", "turn", "role").orderBy("conv_id", "turn")
+        return c.where("k <= 10").select("conv_id", "turn", "role").orderBy("conv_id", "turn")
 
     return builder
 
 
-@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 4")
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 10")
 def history_window(spark, sf):
     """The newest messages of each conversation, in order."""
     return _history(True)(spark, sf)
 
 
-@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k <= 4")
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k <= 10")
 def oldest_history(spark, sf):
     return _history(False)(spark, sf)
 
@@ -390,11 +390,16 @@ def v_corpus(spark, sf):
     return docs.join(ids, "doc_id").join(same, "h").select("doc_id", F.explode(rules).alias("rule"))
 
 
-@query("SELECT source, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source")
+_BLOCK = 4096
+
+
+@query(f"""WITH b AS (SELECT source, doc_id // {_BLOCK} AS block, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS h FROM documents GROUP BY ALL) SELECT source, sha256(string_agg(h, '' ORDER BY block)) AS fingerprint FROM b GROUP BY source""")
 def corpus_fingerprint(spark, sf):
-    """Order-independent hash of a group's content: rows' hashes joined by id."""
-    hashes = F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h"))))
-    return table(spark, sf, "documents").groupBy("source").agg(F.sha2(F.array_join(F.transform(hashes, lambda x: x["h"]), ""), 256).alias("fingerprint"))
+    """Order-independent hash of a group's content, in two levels: of the hashes of each range of ids, and of the ranges' hashes."""
+    in_order = lambda place, h: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, h))), lambda x: x["h"]), ""), 256)
+    rows = table(spark, sf, "documents").select("source", F.floor(F.col("doc_id") / _BLOCK).alias("block"), "doc_id", F.sha2("text", 256).alias("h"))
+    blocks = rows.groupBy("source", "block").agg(in_order("doc_id", "h").alias("h"))
+    return blocks.groupBy("source").agg(in_order("block", "h").alias("fingerprint"))
 
 
 @query("SELECT conv_id, sha256(string_agg(text, chr(10) ORDER BY turn)) AS digest, count(*) AS parts FROM conversations GROUP BY conv_id")

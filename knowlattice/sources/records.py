@@ -93,3 +93,24 @@ def bundles(spark: SparkSession, path: str, array: str, schema: str, version: st
     checked = whole.withColumn("problem", problem)
     rows = checked.where("problem is null").select("file", F.posexplode(F.try_variant_get("_v", f"$['{array}']", f"array<struct<{schema}>>")).alias("at", "r")).select("file", "at", "r.*")
     return rows, checked.where("problem is not null").select("file", "problem")
+
+
+def layout_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Pages of layout results (JSON Lines with result.layoutParsingResults), and what is wrong with lines.
+
+    Pages: (file, page, line, text), numbered through each file from 1. Problems: (file, line, problem): invalid_json, no_layouts, or empty_page for a line
+    with a page without text. A page's text is its markdown, or the ``text`` of that.
+    """
+    rows = numbered_lines(spark, path).where(F.trim("value") != "").withColumn("_v", F.try_parse_json("value"))
+    where = "$.result.layoutParsingResults"
+    array = F.coalesce(F.schema_of_variant(F.try_variant_get("_v", where, "variant")).startswith("ARRAY<"), F.lit(False))
+    layouts = F.try_variant_get("_v", where, "array<variant>")
+    of = lambda x: F.coalesce(F.try_variant_get(x, "$.markdown.text", "string"), F.when(F.schema_of_variant(F.try_variant_get(x, "$.markdown", "variant")) == "STRING", F.try_variant_get(x, "$.markdown", "string")), F.lit(""))
+    seen = rows.withColumn("_texts", F.when(array, F.transform(layouts, of)))
+    problem = F.when(F.col("_v").isNull(), "invalid_json").when(F.col("_texts").isNull(), "no_layouts").when(F.exists("_texts", lambda t: F.trim(t) == ""), "empty_page")
+    seen = seen.withColumn("problem", problem)
+    good = seen.where("problem is null").select("file", "line", "_texts")
+    before = W.partitionBy("file").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
+    numbered = good.withColumn("_before", F.coalesce(F.sum(F.size("_texts")).over(before), F.lit(0)))
+    pages = numbered.select("file", "line", "_before", F.posexplode("_texts").alias("at", "text")).select("file", (F.col("_before") + F.col("at") + 1).cast("int").alias("page"), "line", "text")
+    return pages, seen.where("problem is not null").select("file", "line", "problem")
