@@ -36,6 +36,14 @@ def structural_units(spark, sf):
     return C.document_units(_marked(spark, sf)).drop("path")
 
 
+@query(f"""WITH {_UNITS} SELECT type, CASE WHEN type IN ('code', 'table') THEN type END AS protected, count(*) AS blocks, CAST(sum("end" - start) AS BIGINT) AS chars FROM units GROUP BY type""")
+def block_type_counts(spark, sf):
+    """How many blocks of each type the documents have, and which of these are protected."""
+    kind = F.col("type")
+    found = C.document_units(_marked(spark, sf)).groupBy("type").agg(F.count("*").alias("blocks"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+    return found.select("type", F.when(kind.isin("code", "formula", "table"), kind).alias("protected"), "blocks", "chars")
+
+
 @query(f"""WITH {_UNITS} SELECT doc_id, true AS joined, true AS small, CAST(coalesce(sum("end" - start) FILTER (type IN ('paragraph', 'heading', 'blank') AND "end" - start > 384), 0) AS BIGINT) AS cut,
 CAST(coalesce(sum("end" - start) FILTER (type IN ('paragraph', 'heading', 'blank') AND "end" - start <= 384), 0) AS BIGINT) AS whole, CAST(max("end") AS INTEGER) AS ends FROM units GROUP BY doc_id""")
 def structural_pieces(spark, sf):

@@ -112,6 +112,17 @@ def cosine_topk(spark, sf):
     return nearest.cosine_topk(vectors, asked, 10, "vec_id", "query_id").withColumn("cosine", F.round("cosine", 6))
 
 
+@query("""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN NULL WHEN vec_id % 13 = 0 THEN embedding[1:60] WHEN vec_id % 17 = 0 THEN list_transform(embedding, lambda x: 0.0) ELSE embedding END::DOUBLE[] AS e FROM embeddings)
+SELECT a.vec_id, CASE WHEN a.e IS NULL OR b.e IS NULL OR len(a.e) != len(b.e) THEN NULL WHEN list_max(list_transform(a.e, lambda x: abs(x))) = 0 OR list_max(list_transform(b.e, lambda x: abs(x))) = 0 THEN 0.0 ELSE round(list_cosine_similarity(a.e, b.e), 6) END AS cosine FROM v a JOIN v b ON b.vec_id = a.vec_id + 1""")
+def cosine_of_pairs(spark, sf):
+    """Cosines of neighbours, some of them missing, of another length or without length."""
+    k, v = F.col("vec_id"), F.col("embedding").cast("array<double>")
+    bent = F.when(k % 11 == 0, F.lit(None)).when(k % 13 == 0, F.slice(v, 1, 60)).when(k % 17 == 0, F.transform(v, lambda x: F.lit(0.0))).otherwise(v)
+    rows = table(spark, sf, "embeddings").select("vec_id", bent.alias("e"))
+    both = rows.join(rows.select((k - 1).alias("vec_id"), F.col("e").alias("f")), "vec_id")
+    return both.select("vec_id", F.round(V.cosine(F.col("e"), F.col("f")), 6).alias("cosine"))
+
+
 def _hash_sql(source: str, key: str, dims: int) -> str:
     return f"""(WITH parts AS (SELECT {key}, sha256(term) AS h, n FROM (SELECT {key}, term, count(*) AS n FROM (SELECT {key}, unnest({_TERMS}) AS term FROM {source}) GROUP BY ALL)),
   signed AS (SELECT {key}, CAST('0x' || h[1:8] AS BIGINT) % {dims} AS a, CAST('0x' || h[11:18] AS BIGINT) % {dims} AS b, n * CASE WHEN CAST('0x' || h[10:10] AS INTEGER) % 2 = 1 THEN -1.0 ELSE 1.0 END AS s FROM parts),

@@ -238,3 +238,14 @@ def benchmark_convert(spark, sf):
     """Queries as an evaluation takes them: normal form, trimmed, prefixed ids."""
     t = F.trim(X.nfkc(F.col("text")))
     return table(spark, sf, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"), t.alias("query"), F.length(t).alias("n"))
+
+
+@query("""WITH t AS (SELECT item_id, CASE WHEN item_id % 3 = 1 THEN ' ' || text || ' ' WHEN item_id % 3 = 2 THEN replace(text, ' ', chr(160)) ELSE text END AS raw, trim(text) AS plain FROM benchmark)
+SELECT count(*) AS rows, count(*) FILTER (raw != plain) AS changed, arg_max('q' || item_id, item_id) AS last, CAST(max(length(plain)) AS INTEGER) AS longest FROM t""")
+def conversion_counts(spark, sf):
+    """What a conversion to normal form has changed, and the last id in the order of numbers."""
+    k = F.col("item_id") % 3
+    raw = F.when(k == 1, F.concat(F.lit(" "), "text", F.lit(" "))).when(k == 2, F.regexp_replace("text", " ", "\u00a0")).otherwise(F.col("text"))
+    rows = table(spark, sf, "benchmark").select("item_id", raw.alias("raw")).withColumn("plain", F.trim(X.nfkc("raw")))
+    named = F.concat(F.lit("q"), F.col("item_id").cast("string"))
+    return rows.agg(F.count("*").alias("rows"), F.count_if(F.col("raw") != F.col("plain")).alias("changed"), F.max_by(named, "item_id").alias("last"), F.max(F.length("plain")).alias("longest"))

@@ -73,9 +73,17 @@ def test_repeated_and_null_keys_in_search(spark):
     assert keyword.bm25(keyword.index(docs.limit(0)), queries).count() == 0
 
 
-def test_passages_against_all_pairs(spark):
+def test_cosine_of_odd_vectors(spark):
+    rows = [([1.0, 0.0], [0.0, 1.0]), ([1.0, 2.0], [3.0, 4.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 2.0]), ([], []), (None, [1.0]), ([float("nan")], [1.0]), ([None], [1.0]), ([float("inf")], [1.0])]
+    got = values(spark, rows, "a array<double>, b array<double>", V.cosine(F.col("a"), F.col("b")))
+    assert [None if g[0] is None else round(g[0], 9) for g in got] == [0.0, round(11 / 125**0.5, 9), 0.0, None, None, None, None, None, None]
+
+
+@pytest.mark.parametrize("block", [500, 1])
+def test_passages_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(evaluation, "BLOCK", block)
     docs = [(1, "so the quick brown fox jumps over it"), (2, "the quick brown fox jumps over the lazy dog today"), (3, None), (4, "quick brown"), (5, "xabcdefghijy")]
-    items = [(0, "the quick brown fox jumps over the lazy dog"), (1, "abcdefghij"), (2, None)]
+    items = [(0, "the quick brown fox jumps over the lazy dog"), (1, "abcdefghij"), (2, None), (3, "fox"), (4, "today")]
     got = evaluation.passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item string"), 25).collect()
     want = {(i, d, 2 if item in t else 1) for i, item in items if item for d, t in docs if t and item[:25] in t}
     assert {tuple(r) for r in got} == want
