@@ -87,13 +87,13 @@ _CUTOFF = "1997-06-01"
 _GONE = f"runs AS ({_RUNS}), gone AS (SELECT run_id, status, archived FROM runs WHERE updated < TIMESTAMP '{_CUTOFF}' AND (status = 'superseded' OR (NOT is_current AND status IN ('indexed', 'superseded')) OR (archived AND status IN ('indexed', 'superseded'))) AND run_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'))"
 
 
-def _gone(spark, sf):
+def _gone(spark, sf, keep_active: bool = True):
     orders = table(spark, sf, "orders")
     current = L.latest(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_orderkey", F.lit(True).alias("cur"))
     customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") < 0).alias("archived"))
     status = F.when(F.col("o_orderstatus") == "F", "superseded").when(F.col("o_orderstatus") == "O", "indexed").otherwise("failed")
     runs = orders.join(current, "o_orderkey", "left").join(customers, "o_custkey").select(F.col("o_orderkey").alias("run_id"), status.alias("status"), F.coalesce("cur", F.lit(False)).alias("is_current"), "archived", F.col("o_orderdate").alias("updated"))
-    active = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("run_id"))
+    active = table(spark, sf, "lineitem").where("l_returnflag = 'R'").where(F.lit(keep_active)).select(F.col("l_orderkey").alias("run_id"))
     return L.retention_candidates(runs, _CUTOFF, active)
 
 
