@@ -151,6 +151,14 @@ def fold_tasks(events: DataFrame, limit: int = 3) -> DataFrame:
     return ordered.select("task_id", F.aggregate("e", start, step).alias("s")).select("task_id", "s.*")
 
 
+def recovered(states: DataFrame, limit: int = 3) -> DataFrame:
+    """Task states (task_id, status, retry_count, wait_s) at a start: what was running counts one more attempt and is retried below the limit, else it has failed."""
+    running, count = F.col("status") == "running", F.col("retry_count") + 1
+    again = running & (count < limit)
+    wait = F.when(again, F.when(count <= 1, 1).otherwise(5)).when(running, 0).otherwise(F.col("wait_s"))
+    return states.withColumns({"status": F.when(again, "retrying").when(running, "failed").otherwise(F.col("status")), "retry_count": F.when(running, count).otherwise(F.col("retry_count")), "wait_s": wait})
+
+
 def public(rows: DataFrame, *private: str) -> DataFrame:
     """Without columns that begin with an underscore, and those named."""
     return rows.select(*[c for c in rows.columns if not c.startswith("_") and c not in private])

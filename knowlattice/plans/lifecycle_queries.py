@@ -259,10 +259,14 @@ def task_state_fold(spark, sf):
     return L.fold_tasks(task_events(table(spark, sf, "events")))
 
 
-@query("SELECT user_id AS task_id, CASE WHEN count(*) < 3 THEN 'retrying' ELSE 'failed' END AS status FROM events WHERE event_type = 'click' GROUP BY user_id")
+_EARLY = TASK_STATE_SQL.replace("FROM events)", "FROM events WHERE event_id % 13 < 4)")
+
+
+@query(f"SELECT task_id, CASE WHEN status = 'running' THEN CASE WHEN retry_count + 1 < 3 THEN 'retrying' ELSE 'failed' END ELSE status END AS status, retry_count + CASE WHEN status = 'running' THEN 1 ELSE 0 END AS retry_count FROM ({_EARLY})")
 def interrupted_recovery(spark, sf):
-    """Tasks found running at a start: one more retry, or failed at the limit."""
-    return table(spark, sf, "events").where("event_type = 'click'").groupBy(F.col("user_id").alias("task_id")).agg(F.when(F.count("*") < 3, "retrying").otherwise("failed").alias("status"))
+    """Tasks that are found running at a start were interrupted: one more attempt counts, and they are retried or have failed."""
+    states = L.fold_tasks(task_events(table(spark, sf, "events").where("event_id % 13 < 4")))
+    return L.recovered(states).select("task_id", "status", "retry_count")
 
 
 @query("SELECT event_id FROM events WHERE event_type = 'click' AND value > 20 AND user_id < 500")

@@ -352,3 +352,12 @@ def index_projection(spark, sf):
     changed = docs.where("doc_id % 50 = 1").withColumn("text", F.concat("text", F.lit(" newly added words")))
     keyword.project(path, changed, docs.where("doc_id % 50 = 3"), title="title")
     return keyword.read_index(spark, path).select(F.col("key").alias("doc_id"), "len", F.md5(F.array_join(F.array_sort("terms"), " ")).alias("terms"))
+
+
+@query(f"""WITH {_BM25}, b AS (SELECT item_id, doc_id, terms AS wa, list_distinct({_TERMS.replace('text', 'd.text')}) AS wb FROM ranked JOIN documents d USING (doc_id) JOIN q USING (item_id) WHERE keyword_rank <= 10)
+SELECT item_id, doc_id, array_to_string(list_filter(wa, lambda x, i: list_contains(wb, x)), ' ') AS matched, array_to_string(list_filter(wa, lambda x, i: NOT list_contains(wb, x)), ' ') AS missing FROM b""")
+def term_set_ops(spark, sf):
+    """Which terms of a query each of its ten best documents holds, and which it lacks."""
+    docs = table(spark, sf, "documents").select("doc_id", X.words_and_bigrams_once(X.nfkc("text")).alias("wb"))
+    found = _ranked(spark, sf, 10).select("item_id", "doc_id").join(docs, "doc_id").join(_queries(spark, sf).select("item_id", F.col("terms").alias("wa")), "item_id")
+    return found.select("item_id", "doc_id", F.array_join(F.array_intersect("wa", "wb"), " ").alias("matched"), F.array_join(F.array_except("wa", "wb"), " ").alias("missing"))

@@ -36,10 +36,17 @@ def tok_doc_stats(spark, sf):
 _LITERALS = ["知识库 retrieval", "what is the BM25", "漢", "検索エンジン and 知识图谱 2024", "naïve Ünïcode 字", ""]
 
 
-@query("SELECT t AS text, array_to_string(" + bigrams_sql("t") + ", ' ') AS bigrams, array_to_string(" + query_terms_sql("t") + ", ' ') AS terms FROM (SELECT unnest([" + ", ".join(f"'{t}'" for t in _LITERALS) + "]) AS t)")
+_MIXED = "[" + ", ".join(f"'{t}'" for t in _LITERALS) + f"][CAST(doc_id % {len(_LITERALS)} AS INTEGER) + 1] || ' ' || substring(text, 1, 40 + CAST(doc_id % 200 AS INTEGER)) || ' 第' || doc_id || '章知识'"
+
+
+@query(f"SELECT doc_id, array_to_string({bigrams_sql('t')}, ' ') AS bigrams, array_to_string({query_terms_sql('t')}, ' ') AS terms FROM (SELECT doc_id, {_MIXED} AS t FROM documents)")
 def tok_bigrams_literal(spark, sf):
-    texts = spark.range(1).select(F.explode(F.array(*map(F.lit, _LITERALS))).alias("text"))
-    return texts.select("text", F.array_join(X.bigrams(F.col("text")), " ").alias("bigrams"), F.array_join(X.query_terms(F.col("text")), " ").alias("terms"))
+    """Bigrams and query terms of texts that mix scripts: a part of each document among words in other scripts."""
+    first = F.get(F.array(*map(F.lit, _LITERALS)), (F.col("doc_id") % len(_LITERALS)).cast("int"))
+    part = F.substr("text", F.lit(1), (F.col("doc_id") % 200).cast("int") + 40)
+    mixed = F.concat(first, F.lit(" "), part, F.lit(" 第"), F.col("doc_id").cast("string"), F.lit("章知识"))
+    texts = table(spark, sf, "documents").select("doc_id", mixed.alias("t"))
+    return texts.select("doc_id", F.array_join(X.bigrams(F.col("t")), " ").alias("bigrams"), F.array_join(X.query_terms(F.col("t")), " ").alias("terms"))
 
 
 @query(f"SELECT item_id, array_to_string({query_terms_sql('text')}, ' ') AS terms FROM benchmark")
@@ -169,14 +176,6 @@ def prefix_truncate(spark, sf):
     return cut.select("doc_id", (X.estimate_tokens(F.col("prefix")) <= 100).alias("within"), F.col("text").startswith(F.col("prefix")).alias("begins"), ((X.estimate_tokens(more) > 100) | (F.length("prefix") == 400)).alias("longest"))
 
 
-@query(f"""SELECT a.item_id, array_to_string(list_filter(wa, lambda x, i: list_contains(wb, x)), ' ') AS matched, array_to_string(list_filter(wa, lambda x, i: NOT list_contains(wb, x)), ' ') AS missing
-  FROM (SELECT item_id, {query_terms_sql('text')} AS wa FROM benchmark) a JOIN (SELECT doc_id, {words_sql('text')} AS wb FROM documents) d ON a.item_id = d.doc_id""")
-def term_set_ops(spark, sf):
-    wanted = table(spark, sf, "benchmark").select("item_id", X.query_terms(F.col("text")).alias("wa"))
-    have = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), X.words(F.col("text")).alias("wb"))
-    return wanted.join(have, "item_id").select("item_id", F.array_join(F.array_intersect("wa", "wb"), " ").alias("matched"), F.array_join(F.array_except("wa", "wb"), " ").alias("missing"))
-
-
 @query("SELECT l_orderkey AS order_key, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS modes FROM (SELECT l_orderkey, list(l_returnflag || l_linestatus ORDER BY l_linenumber, l_returnflag || l_linestatus) AS l FROM lineitem GROUP BY l_orderkey)")
 def ordered_union(spark, sf):
     """First-seen order of distinct values, by group."""
