@@ -37,6 +37,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(usable, F.when(length == 0, F.lit(0.0)).otherwise(dot(a, b) / length))
 
 
+def compatible(rows: DataFrame, provider: str, model: str, dimensions: int, embedding: str = "embedding") -> DataFrame:
+    """Stored vectors (provider, model, status, embedding) that a query's vector may be compared with: of its provider, model and size, and ready."""
+    return rows.where((F.col("provider") == provider) & (F.col("model") == model) & (F.size(embedding) == dimensions) & (F.col("status") == "ready"))
+
+
 def unit(v: Column) -> Column:
     """The vector at length 1; one without length stays zero."""
     n = norm(v)

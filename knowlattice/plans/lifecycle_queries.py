@@ -186,9 +186,12 @@ def insert_ignore(spark, sf):
     return L.insert_ignore(current, incoming, ["k"], ["v"])
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS INTEGER) AS sequence FROM lineitem")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY (7 - l_linenumber) // 3, CASE WHEN l_linenumber % 3 = 1 THEN 0 ELSE 1 END, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS INTEGER) AS sequence FROM lineitem""")
 def sequence_numbers(spark, sf):
-    place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")) - 1
+    """Numbers without a gap over the chunks of each run: by parent, and a parent before its children."""
+    line = F.col("l_linenumber")
+    parent, child = F.floor((F.lit(7) - line) / 3), F.when(line % 3 == 1, 0).otherwise(1)
+    place = F.row_number().over(W.partitionBy("l_orderkey").orderBy(parent, child, "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")) - 1
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", place.alias("sequence"))
 
 
@@ -199,10 +202,14 @@ def case_sort_page(spark, sf):
     return table(spark, sf, "part").orderBy(rank, "p_name", "p_partkey").offset(50).limit(25).select("p_partkey", "p_name")
 
 
-@query("SELECT s_nationkey AS page, CAST(sum(a) AS BIGINT) AS citations, CAST(sum(b) AS BIGINT) AS page_citations FROM (SELECT s_nationkey, 1 AS a, 0 AS b FROM supplier UNION ALL SELECT c_nationkey, 0, 1 FROM customer) GROUP BY s_nationkey")
+@query("""SELECT page, count(*) FILTER (source = 'resource') AS citations, count(*) FILTER (source = 'page') AS page_citations, count(*) AS total, count(*) FILTER (bal < 500) AS pending
+FROM (SELECT s_nationkey AS page, 'resource' AS source, s_acctbal AS bal FROM supplier UNION ALL SELECT c_nationkey, 'page', c_acctbal FROM customer) GROUP BY page""")
 def citation_counts(spark, sf):
-    both = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("page"), F.lit("resource").alias("source")).unionByName(table(spark, sf, "customer").select(F.col("c_nationkey").alias("page"), F.lit("page").alias("source")))
-    return both.groupBy("page").agg(F.count_if(F.col("source") == "resource").alias("citations"), F.count_if(F.col("source") == "page").alias("page_citations"))
+    """Citations of each page from both tables: by source, in all, and those that are broken or wait for a review."""
+    state = lambda c: F.when(F.col(c) < 0, "broken").when(F.col(c) < 500, "needs_review").otherwise("active").alias("status")
+    both = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("page"), F.lit("resource").alias("source"), state("s_acctbal")).unionByName(table(spark, sf, "customer").select(F.col("c_nationkey").alias("page"), F.lit("page").alias("source"), state("c_acctbal")))
+    pending = F.col("status").isin("needs_review", "broken")
+    return both.groupBy("page").agg(F.count_if(F.col("source") == "resource").alias("citations"), F.count_if(F.col("source") == "page").alias("page_citations"), F.count("*").alias("total"), F.count_if(pending).alias("pending"))
 
 
 @query("SELECT 'resource' AS source, s_suppkey AS id, s_nationkey AS target FROM supplier UNION ALL SELECT 'page', c_custkey, c_nationkey FROM customer")

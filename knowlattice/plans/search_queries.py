@@ -112,6 +112,17 @@ def cosine_topk(spark, sf):
     return nearest.cosine_topk(vectors, asked, 10, "vec_id", "query_id").withColumn("cosine", F.round("cosine", 6))
 
 
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id % 2 = 1 AND vec_id % 3 != 0 AND vec_id % 5 != 0 AND vec_id % 7 != 0")
+def compatible_vectors(spark, sf):
+    """Stored vectors of the query's provider, model and size that are ready."""
+    k = F.col("vec_id")
+    rows = table(spark, sf, "embeddings").select(
+        "vec_id", "label", F.when(k % 2 == 1, "local").otherwise("mock").alias("provider"), F.when(k % 3 == 0, "old").otherwise("m1").alias("model"), F.when(k % 5 == 0, "failed").otherwise("ready").alias("status"),
+        F.when(k % 7 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")).alias("embedding"),
+    )
+    return V.compatible(rows, "local", "m1", 64).select("vec_id", "label")
+
+
 @query("""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN NULL WHEN vec_id % 13 = 0 THEN embedding[1:60] WHEN vec_id % 17 = 0 THEN list_transform(embedding, lambda x: 0.0) ELSE embedding END::DOUBLE[] AS e FROM embeddings)
 SELECT a.vec_id, CASE WHEN a.e IS NULL OR b.e IS NULL OR len(a.e) != len(b.e) THEN NULL WHEN list_max(list_transform(a.e, lambda x: abs(x))) = 0 OR list_max(list_transform(b.e, lambda x: abs(x))) = 0 THEN 0.0 ELSE round(list_cosine_similarity(a.e, b.e), 6) END AS cosine FROM v a JOIN v b ON b.vec_id = a.vec_id + 1""")
 def cosine_of_pairs(spark, sf):
