@@ -136,13 +136,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
 
 
 def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes, rising, and the place of each hash among them, in half the memory of ``np.unique`` with its inverse."""
-    order = np.argsort(hashes)
-    rising = hashes[order]
-    new = np.append(True, rising[1:] != rising[:-1])[: len(rising)]
+    """The distinct hashes, rising, and the place of each hash among them; looked up in blocks, so no order of all hashes is held."""
+    rising = np.sort(hashes)
+    distinct = rising[np.append(True, rising[1:] != rising[:-1])[: len(rising)]]
+    del rising
     which = np.empty(len(hashes), np.int32)
-    which[order] = np.cumsum(new, dtype=np.int32) - 1
-    return rising[new], which
+    for i in range(0, len(hashes), 1 << 20):
+        which[i : i + (1 << 20)] = np.searchsorted(distinct, hashes[i : i + (1 << 20)])
+    return distinct, which
 
 
 def fit_rows(size: np.ndarray, hashes: np.ndarray, counts: np.ndarray, toxic: np.ndarray) -> Model:
