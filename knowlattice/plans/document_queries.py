@@ -126,8 +126,8 @@ def parser_chunks(spark, sf):
     return made.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(parts, lambda p: p["own"]), "")).alias("held"), F.first("strategy").alias("strategy"), F.bool_and(~over).alias("inside"))
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) < 40 THEN 'page_range' WHEN doc_id % 7 = 0 THEN 'page_twice' WHEN doc_id % 7 = 1 THEN 'pages_overlap' WHEN doc_id % 7 = 2 THEN 'block_range' WHEN doc_id % 7 = 3 THEN 'blocks_overlap'
-WHEN doc_id % 7 = 4 THEN 'block_page' WHEN doc_id % 7 = 5 THEN 'page_number' END AS problem FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 5 THEN 'page_number' WHEN length(text) < 40 THEN 'page_range' WHEN doc_id % 7 = 0 THEN 'page_twice' WHEN doc_id % 7 = 1 THEN 'pages_overlap' WHEN doc_id % 7 = 2 THEN 'block_range' WHEN doc_id % 7 = 3 THEN 'blocks_overlap'
+WHEN doc_id % 7 = 4 THEN 'block_page' END AS problem FROM documents WHERE text IS NOT NULL""")
 def parser_problems(spark, sf):
     """What is wrong with pages and blocks that have planted faults."""
     k = F.col("doc_id") % 7
