@@ -12,3 +12,7 @@ def tables(spark, folder):
 def test_stated_negatives_are_all_pairs_of_equal_ids_modulo_97(spark, tmp_path):
     got = sorted(tuple(r) for r in catalog.QUERIES["qrels_build"](spark, tables(spark, tmp_path)).select("item_id", "doc_id", "grade").collect())
     assert got == [(0, 97, 0), (5, 5, 2), (5, 199, 0), (97, 5, 2), (97, 97, 0), (194, 97, 0)]
+
+
+def test_all_of_them_are_counted(spark, tmp_path):
+    assert [tuple(r) for r in catalog.QUERIES["qrel_counts"](spark, tables(spark, tmp_path)).select("queries", "judgments", "relevant").collect()] == [(4, 6, 2)]
