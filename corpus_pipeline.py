@@ -11,8 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowlattice.llm import decontamination, packing, pii, shingles, toxicity
+from knowlattice.llm import decontamination, packing, pii, shingles, simhash, toxicity
 from knowlattice.llm.common import shared_dir, table, written
+from knowlattice.llm.components import components
 
 
 def _with_text(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -30,12 +31,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (likeness of five-word shingles 0.8 or more) the document of the smallest id stays; rows without id come last."""
+    """Of each group of near duplicates the document of the smallest id stays; rows without id come last.
+
+    SimHash links fingerprints of at most 3 differing bits; sets of five-word shingles with a likeness of 0.8 or more, which
+    often differ in more bits, are linked besides. Groups are what both kinds of links hold together.
+    """
     # Row numbers follow the splits of a scan, which change when executors come or go: they are drawn once and written.
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    found = shingles.near_duplicates(rows.select(key.alias("key"), "text"), key="key")
-    kept = found.where(F.col("key") == F.col("component_id")).select(F.col("key._row").alias("_row"))
+    keyed = rows.select(key.alias("key"), "text")
+    prints = written(simhash.near_duplicates(keyed, key="key").select("key", "component_id"), "by_simhash")
+    sets = written(shingles.near_duplicates(keyed, key="key"), "by_shingles")
+    # Both name a group by its smallest key: a row that is smallest in its two groups goes if these lead to a smaller one.
+    both = prints.join(sets.select("key", F.col("component_id").alias("b")), "key").select(F.col("component_id").alias("a"), "b").where("a != b")
+    gone = components(both).where("node != root").select(F.col("node._row").alias("_row"))
+    first = lambda found: found.where("key = component_id").select(F.col("key._row").alias("_row"))
+    kept = first(prints).join(first(sets), "_row", "left_semi").join(gone, "_row", "left_anti")
     return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 

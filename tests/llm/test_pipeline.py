@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
@@ -147,3 +148,13 @@ def test_near_duplicates_survive_another_cluster_size(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
     assert kept[0] == kept[1] and len(kept[0]) == len(set(kept[0])) > 800
+
+
+def test_near_duplicates_by_both_kinds_of_links(spark, monkeypatch):
+    """SimHash holds 1 and 2 together, shingles 2 and 3: one group."""
+    monkeypatch.setattr(cp.simhash, "near_duplicates", lambda docs, key: docs.select("key", F.when(F.col("key.doc_id") == 2, one).otherwise(F.col("key")).alias("component_id")))
+    monkeypatch.setattr(cp.shingles, "near_duplicates", lambda docs, key: docs.select("key", F.when(F.col("key.doc_id") == 3, two).otherwise(F.col("key")).alias("component_id")))
+    docs = spark.createDataFrame([(i, f"text {i}") for i in (4, 3, 2, 1)], "doc_id long, text string").coalesce(1)
+    row = lambda i: F.struct(F.lit(False).alias("none"), F.lit(i).cast("long").alias("doc_id"), F.lit(4 - i).cast("long").alias("_row"))
+    one, two = row(1), row(2)
+    assert sorted(r.doc_id for r in cp.drop_near_duplicates(spark, docs, D).collect()) == [1, 4]
