@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..sources.tables import spread
 from .text import nfkc, terms
 
-HASH_DIMENSIONS = 32
+HASH_DIMENSIONS, HASH_ROWS = 32, 256
 
 
 def _doubles(v: Column) -> Column:
@@ -71,7 +71,8 @@ def hash_embedding(docs: DataFrame, key: str, text: str | None, dimensions: int
     schema = T.StructType([made.schema[0], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Some rows at a time: the distinct terms of a whole batch may be millions.
+        for batch in (b.slice(i, HASH_ROWS) for b in batches for i in range(0, b.num_rows, HASH_ROWS)):
             lists = batch.column(1).fill_null([])
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             coded = lists.flatten().dictionary_encode()
