@@ -19,26 +19,30 @@ def citation_states(citations: DataFrame, versions: DataFrame, files: DataFrame,
     length, page_count, canonical: whether its canonical text is intact). ``files``: (name, size, sha256) as they are. ``chunks``: active (chunk_id, version_id). ``blocks``:
     (page_version_id, block_key). ``current``: (resource_id, current_version_id). All by plain joins on keys that are distinct there; citations may repeat.
     """
-    known = versions.select("version_id", "resource_id", F.col("name").alias("_name"), F.col("size").alias("_size"), F.col("sha256").alias("_sha"), "mime", "length", "page_count", "canonical", F.lit(True).alias("_version"))
+    # What is known of each version comes first, and reasons as soon as they can be told: citations, of which there are most, move few columns.
+    known = versions.select("version_id", "resource_id", F.col("name").alias("_name"), F.col("size").alias("_size"), F.col("sha256").alias("_sha"), "mime", "length", "page_count", "canonical")
     there = files.select(F.col("name").alias("_name"), F.col("size").alias("_real_size"), F.col("sha256").alias("_real_sha"))
-    cited = citations.withColumn("_locator", F.try_parse_json("locator")).withColumn("_chunk", F.try_variant_get("_locator", "$.chunkId", "string"))
-    found = cited.join(known, "version_id", "left").join(there, "_name", "left").join(current, "resource_id", "left")
-    found = found.join(chunks.select(F.col("chunk_id").alias("_chunk"), "version_id", F.lit(True).alias("_has_chunk")), ["_chunk", "version_id"], "left")
-    found = found.join(blocks.select("page_version_id", "block_key", F.lit(True).alias("_has_block")), ["page_version_id", "block_key"], "left")
+    kept = F.when(F.col("_real_size").isNull(), "storage_missing").when((F.col("_real_size") != F.col("_size")) | (F.col("_real_sha") != F.col("_sha")), "integrity_failed")
+    facts = known.join(there, "_name", "left").join(current, "resource_id", "left").select("version_id", F.lit(True).alias("_version"), kept.alias("_kept"), (F.col("mime") == PDF).alias("_pdf"), "length", "page_count", "canonical", "current_version_id")
     keys = F.json_object_keys("locator")
     names = lambda *ks: F.arrays_overlap(keys, F.array(*map(F.lit, ks)))
     locator = locator_problem(F.col("locator"), F.col("length"), F.col("page_count"))
-    pdf = F.col("mime") == PDF
-    reason = (
-        F.when(F.col("_version").isNull(), "version_missing").when(F.col("_real_size").isNull(), "storage_missing").when((F.col("_real_size") != F.col("_size")) | (F.col("_real_sha") != F.col("_sha")), "integrity_failed")
-        .when(locator.isNotNull(), F.concat(F.lit("locator:"), locator)).when(pdf & names("startOffset", "endOffset") & ~F.coalesce("canonical", F.lit(False)), "canonical_missing")
-        .when(pdf & names("page", "pageStart", "pageEnd", "pages") & F.col("page_count").isNull(), "page_count_unavailable").when(F.col("_chunk").isNotNull() & F.col("_has_chunk").isNull(), "chunk_missing")
-        .when((F.coalesce("block_key", F.lit("")) != "") & F.col("_has_block").isNull(), "block_missing")
+    early = (
+        F.when(F.col("_version").isNull(), "version_missing").when(F.col("_kept").isNotNull(), F.col("_kept"))
+        .when(locator.isNotNull(), F.concat(F.lit("locator:"), locator)).when(F.col("_pdf") & names("startOffset", "endOffset") & ~F.coalesce("canonical", F.lit(False)), "canonical_missing")
+        .when(F.col("_pdf") & names("page", "pageStart", "pageEnd", "pages") & F.col("page_count").isNull(), "page_count_unavailable")
     )
     newer = ~F.col("version_id").eqNullSafe(F.col("current_version_id"))
+    chunk = F.try_variant_get(F.try_parse_json("locator"), "$.chunkId", "string")
+    found = citations.join(facts, "version_id", "left").select(*citations.columns, early.alias("_early"), newer.alias("_newer"), chunk.alias("_chunk"))
+    found = found.join(chunks.select(F.col("chunk_id").alias("_chunk"), "version_id", F.lit(True).alias("_has_chunk")), ["_chunk", "version_id"], "left")
+    early = F.coalesce("_early", F.when(F.col("_chunk").isNotNull() & F.col("_has_chunk").isNull(), "chunk_missing"))
+    found = found.select(*citations.columns, early.alias("_early"), "_newer")
+    found = found.join(blocks.select("page_version_id", "block_key", F.lit(True).alias("_has_block")), ["page_version_id", "block_key"], "left")
+    reason = F.coalesce("_early", F.when((F.coalesce("block_key", F.lit("")) != "") & F.col("_has_block").isNull(), "block_missing"))
     judged = found.withColumn("_reason", reason)
-    status = F.when(F.col("_reason").isNotNull(), "broken").when(newer, "needs_review").otherwise("active")
-    return judged.select(*citations.columns, status.alias("status"), F.coalesce("_reason", F.when(newer, "newer_version")).alias("reason"))
+    status = F.when(F.col("_reason").isNotNull(), "broken").when(F.col("_newer"), "needs_review").otherwise("active")
+    return judged.select(*citations.columns, status.alias("status"), F.coalesce("_reason", F.when(F.col("_newer"), "newer_version")).alias("reason"))
 
 
 def evidence(policy: Column, item_type: Column, valid: Column, invalid: Column) -> Column:
