@@ -190,7 +190,9 @@ def _health(spark, sf) -> DataFrame:
         .when(F.col("l_orderkey") != F.col("cur"), "needs_review").otherwise("active")
     )
     cited = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return cited.join(versions, "l_orderkey", "left").join(current, "o_custkey", "left").join(parts, "l_partkey", "left").select("l_orderkey", "l_linenumber", status.alias("status"))
+    # The newest run of an owner is met by its few versions, not by each citation (those without a version would all meet at a null owner).
+    versions = versions.join(current, "o_custkey", "left").drop("o_custkey")
+    return cited.join(versions, "l_orderkey", "left").join(parts, "l_partkey", "left").select("l_orderkey", "l_linenumber", status.alias("status"))
 
 
 @query(f"WITH {_HEALTH} SELECT * FROM h")
