@@ -10,6 +10,7 @@ without it (on the other folds, with words chosen there), so no grade is made of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,6 +70,11 @@ class Model:
         return (1 / (1 + np.exp(self.thresholds[None, :] - logit[:, None]))).sum(1)
 
 
+def _nothing() -> Model:
+    """Rates everything 0."""
+    return Model(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES, 50.0))
+
+
 def _word_counts(raw: np.ndarray, at: np.ndarray, features: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, hash (or place among the features) and count of each distinct word and word beginning of each text."""
     hashes, start, end, row = words(raw, at)
@@ -120,7 +126,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     up_to = F.sum("m.size").over(W.orderBy(F.col("m.size") > LONG_BYTES, drawn, "doc_id").rowsBetween(W.unboundedPreceding, 0))
     chosen = one.withColumn("_upto", up_to).where((F.col("_upto") <= sample_bytes) | (F.col("_upto") == F.col("m.size"))).select("doc_id", "_toxic", F.col("m.h").alias("_h"))
     texts = texts.join(F.broadcast(chosen), "doc_id").where(F.xxhash64("text") == F.col("_h")).dropDuplicates(["doc_id"]).drop("_h")
-    found = map_text(texts, _sample_features, "hashes array<long>, counts array<int>, bands array<long>", drop=("text",)).toArrow()
+    sample = map_text(texts, _sample_features, "hashes array<long>, counts array<int>, bands array<long>", drop=("text",))
+    # The sample is bounded, and so meets in one task; the driver gets the model only.
+    fitted = sample.repartition(1).mapInArrow(_fit_sample, "features array<long>, weights array<double>, thresholds array<double>").toArrow()
+    if not fitted.num_rows:
+        return _nothing()
+    features, weights, thresholds = (fitted[c].combine_chunks().flatten().to_numpy() for c in ("features", "weights", "thresholds"))
+    return Model(features.view(np.uint64), weights, thresholds)
+
+
+def _fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (doc_id, _toxic, hashes, counts, bands) as one row, none for no rows."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    found = pa.Table.from_batches(held)
+    del held
     # In the order of the ids, one of those that share a band; only their words are kept from here on.
     order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
     bands, kept = found["bands"].combine_chunks().flatten().to_numpy().reshape(-1, _BANDS)[order], np.ones(len(order), bool)
@@ -132,7 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     del bands
     pa.default_memory_pool().release_unused()
     hashes = found["hashes"].combine_chunks()
-    return fit_rows(hashes.value_lengths().to_numpy(), hashes.flatten().to_numpy().view(np.uint64), found["counts"].combine_chunks().flatten().to_numpy(), np.array(found["_toxic"].to_pylist(), bool))
+    model = fit_rows(hashes.value_lengths().to_numpy(), hashes.flatten().to_numpy().view(np.uint64), found["counts"].combine_chunks().flatten().to_numpy(), np.array(found["_toxic"].to_pylist(), bool))
+    del found, hashes
+    pa.default_memory_pool().release_unused()
+    one = [pa.array([x]) for x in (model.features.view(np.int64), model.weights, model.thresholds)]
+    yield pa.RecordBatch.from_arrays(one, names=["features", "weights", "thresholds"])
 
 
 def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,9 +173,9 @@ def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_rows(size: np.ndarray, hashes: np.ndarray, counts: np.ndarray, toxic: np.ndarray) -> Model:
     """The model for texts of ``size`` distinct words each, whose ``hashes`` and ``counts`` lie end to end."""
-    n, nothing = len(size), Model(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES, 50.0))
+    n = len(size)
     if not toxic.any() or toxic.all():
-        return nothing
+        return _nothing()
     text = np.repeat(np.arange(n, dtype=np.int32), size)
     distinct, which = _numbered(hashes)
     value = np.log1p(counts.astype(np.float32))
@@ -167,7 +192,7 @@ def fit_rows(size: np.ndarray, hashes: np.ndarray, counts: np.ndarray, toxic: np
 
     chosen, x = design(np.ones(n, bool))
     if not len(chosen):
-        return nothing
+        return _nothing()
     # Log-odds of being toxic by the other folds' model; lowest where the text has none of its words.
     fold, strength = np.arange(n) % FOLDS, np.full(n, -np.inf)
     for k in range(FOLDS):

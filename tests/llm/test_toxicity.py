@@ -40,6 +40,15 @@ def test_nothing_to_learn(spark):
         assert [r.rejected for r in toxicity.score(docs, m).collect()] == [False] * 3
 
 
+def test_driver_gets_the_model_only(spark, model, monkeypatch):
+    """The fit runs in a task: what is put in its place here, in the driver's Python, is never called."""
+    monkeypatch.setattr(toxicity, "fit_rows", None)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 2 = 0").repartition(3)
+    again = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+    assert len(again.features) and (again.features == model.features).all()
+    assert (again.weights == model.weights).all() and (again.thresholds == model.thresholds).all()
+
+
 def test_gradient_reaches_the_odds():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 2))
