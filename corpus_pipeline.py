@@ -44,7 +44,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     sets = written(shingles.near_duplicates(keyed, key="key"), "by_shingles")
     # Both name a group by its smallest key: a row that is smallest in its two groups goes if these lead to a smaller one.
     both = prints.join(sets.select("key", F.col("component_id").alias("b")), "key").select(F.col("component_id").alias("a"), "b").where("a != b")
-    gone = components(both).where("node != root").select(F.col("node._row").alias("_row"))
+    both = written(both.distinct(), "both")
+    groups = components(both.select(F.col("a._row").alias("a"), F.col("b._row").alias("b")))
+    held = both.select(F.explode(F.array("a", "b")).alias("key")).join(groups, F.col("key._row") == F.col("node"))
+    gone = held.join(held.groupBy("root").agg(F.min("key").alias("least")), "root").where("key != least").select(F.col("node").alias("_row"))
     first = lambda found: found.where("key = component_id").select(F.col("key._row").alias("_row"))
     kept = first(prints).join(first(sets), "_row", "left_semi").join(gone, "_row", "left_anti")
     return rows.join(kept, "_row", "left_semi").select(docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .common import column, look_up, map_text, partitions, text_bytes, written
-from .components import components
+from .components import components, labels
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -81,18 +81,7 @@ def _signed(x: int) -> int:
 
 def _forest(prints: np.ndarray, near: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Links between the smallest fingerprint of each connected group and the others of it."""
-    label = np.arange(len(prints))
-    for a, b in near:
-        while len(a):
-            x, y = label[a], label[b]
-            differ = x != y
-            a, b, x, y = a[differ], b[differ], x[differ], y[differ]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-            while True:
-                jumped = label[label]
-                if (jumped == label).all():
-                    break
-                label = jumped
+    label = labels(len(prints), near)
     other = np.flatnonzero(label != np.arange(len(prints)))
     return prints[other], prints[label[other]]
 

@@ -158,3 +158,15 @@ def test_near_duplicates_by_both_kinds_of_links(spark, monkeypatch):
     row = lambda i: F.struct(F.lit(False).alias("none"), F.lit(i).cast("long").alias("doc_id"), F.lit(4 - i).cast("long").alias("_row"))
     one, two = row(1), row(2)
     assert sorted(r.doc_id for r in cp.drop_near_duplicates(spark, docs, D).collect()) == [1, 4]
+
+
+def test_near_duplicates_of_small_tables_take_few_queries(spark):
+    """Each query leaves plans in the driver: groups of few links are not found step by step."""
+    sc = spark.sparkContext
+    sc.setJobGroup("near", "near")
+    try:
+        assert cp.drop_near_duplicates(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), D).count() > 50
+        jobs = len(sc.statusTracker().getJobIdsForGroup("near"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 150, jobs

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import xxhash
 
+from knowlattice.llm import components as cm
 from knowlattice.llm import simhash as sh
 from knowlattice.llm.components import components
 
@@ -95,3 +96,20 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_components_in_one_task_and_by_steps(spark, monkeypatch):
+    """Few edges take two writes, not some for each round, and both ways give the same; edges of other types go by steps."""
+    rng, real, made = random.Random(2), cm.written, []
+    monkeypatch.setattr(cm, "written", lambda df, what: made.append(what) or real(df, what))
+    pairs = [(i, i + 1) for i in range(-30, 30)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(180)] + [(-(2**63), 2**63 - 1), (500, 500), (None, 1)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    found = lambda e: sorted((int(r.node), int(r.root)) for r in components(e).collect())
+    few = found(edges)
+    assert len(made) == 2
+    monkeypatch.setattr(cm, "TASK_EDGES", 200)
+    assert found(edges) == few and len(made) > 6
+    assert len({r for _, r in few}) > 3 and all(b <= a for a, b in few)
+    assert components(edges.limit(0)).collect() == []
+    texts = [(r.node, r.root) for r in components(spark.createDataFrame([("b", "a"), ("c", "b")], "a string, b string")).collect()]
+    assert sorted(texts) == [("a", "a"), ("b", "a"), ("c", "a")]
