@@ -10,7 +10,7 @@ from ..operators import context as X
 from ..operators import lifecycle as L
 from ..operators import markdown as M
 from ..operators import pages as P
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .registry import query
 from .structure_queries import _LINES, _PROFILE, _TAIL, _marked
 
@@ -84,7 +84,7 @@ def token_target_chunks(spark, sf):
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    made = C.chunk_documents(_marked(spark, sf), C.Config(child_tokens=128, tokenizer=path))
+    made = C.chunk_documents(spread(_marked(spark, sf)), C.Config(child_tokens=128, tokenizer=path))
     return made.where("kind = 'child'").select("doc_id", "sequence", "start", "end", "split_reason", F.md5("content").alias("h"))
 
 

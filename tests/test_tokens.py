@@ -53,7 +53,7 @@ def test_kept_pieces_are_bounded(monkeypatch):
     monkeypatch.setattr(K, "KEPT", 10)
     count, text = K.Counter(VOCABULARY), " ".join(f"w{i}q" for i in range(100))
     assert count.stretch(text, 0, len(text)).size(0, len(text)) == count(text)[0]
-    assert len(count.known) <= 10
+    assert len(count.known) <= 10 and len(count.known.older) <= 10
     count.known["y" * 10] = count.known["y" * 65]
     assert "y" * 65 not in count.known
 
