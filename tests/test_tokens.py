@@ -49,6 +49,20 @@ def test_code_points_of_another_kind_are_left_to_the_library():
     assert all(found.size(a, b) == len(encode(text[a:b]).ids) for a in range(len(text)) for b in range(a + 1, len(text) + 1))
 
 
+def test_other_parts_of_such_a_text_are_split():
+    count, encode = K.Counter(VOCABULARY), library(VOCABULARY)
+    other = next((c for c in map(chr, range(0x500, 0x3000)) if not count._agrees(c)), None)
+    if other is None:
+        pytest.skip("the library and the pattern agree on all")
+    text = f"one {other} two \n" + "some words, isn't it? " * 9
+    found = count.stretch(text, 10, len(text) - 1, "# Head")
+    assert isinstance(found, K.Shifted) and isinstance(count.stretch(text, 0, 9), K.Whole)
+    ends = [10 + b for _, b in encode(text[10:-1]).offsets]
+    for a in range(10, len(text) - 1, 3):
+        assert all(found.size(a, b) == len(encode("# Head\n\n" + text[a:b]).ids) for b in range(a + 1, len(text)))
+        assert found.end_of(a, 4) == ends[min(K.bisect_right(ends, a) + 3, len(ends) - 1)]
+
+
 def test_kept_pieces_are_bounded(monkeypatch):
     monkeypatch.setattr(K, "KEPT", 10)
     count, text = K.Counter(VOCABULARY), " ".join(f"w{i}q" for i in range(100))
